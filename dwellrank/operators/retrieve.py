@@ -191,6 +191,16 @@ def nest_results(evidence: DataFrame) -> DataFrame:
     )
 
 
+def result_lines(results: DataFrame) -> DataFrame:
+    """Results for JSON lines: ranked chunks as [chunk_id, score] pairs of mixed types."""
+    def pair(c: Column) -> Column:
+        name = F.to_json(F.array(c["chunk_id"]))
+        score = F.when(F.isnan(c["score"]), F.lit("null")).otherwise(c["score"].cast("string"))
+        return F.parse_json(F.concat(F.substr(name, F.lit(1), F.length(name) - 1), F.lit(","), score, F.lit("]")))
+
+    return results.withColumn("ranked_chunks", F.transform("ranked_chunks", pair))
+
+
 def retrieve(
     scored: DataFrame, conditions: list[str], k: int = 3, digits: int | None = None, ordinal: str | None = None
 ) -> DataFrame:

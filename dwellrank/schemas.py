@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 
 class SchemaInferenceError(ValueError):
     """An input relation lacks a needed column or has ambiguous ones."""
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)
-
-
 CHOICE_SHUFFLE = (
     "struct<enabled:boolean,seed:bigint,`order`:array<int>,original_answer_index:int,original_choices:array<string>>"
 )
@@ -34,13 +28,17 @@ GAZE_RECORD = (
     "struct<reader_id:string,paragraph_id:string,word_index:int,word:string,trt:double,"
     "fixation_count:double,skip:double,metadata:map<string,string>>"
 )
-ALIGNED_DDL = f"qa struct<{QA_DDL.replace(' string', ':string').replace(' array', ':array').replace(' int', ':int').replace(' struct', ':struct')}>, reader_gaze map<string,array<{GAZE_RECORD}>>"
+QA_STRUCT = (
+    "struct<example_id:string,paragraph_id:string,paragraph_text:string,question:string,"
+    f"choices:array<string>,answer_index:int,metadata:{QA_META}>"
+)
+ALIGNED_DDL = f"qa {QA_STRUCT}, reader_gaze map<string,array<{GAZE_RECORD}>>"
 EVIDENCE = (
     "struct<chunk_id:string,text:string,score:double,char_start:int,char_end:int,text_score:double,"
     "gaze_score:double,alpha:double,text_candidate_rank:int,candidate_top_n:int,selected_reader_id:string>"
 )
 RETRIEVAL_DDL = (
-    "example_id string, reader_id string, condition string, ranked_chunks array<array<string>>, "
+    "example_id string, reader_id string, condition string, ranked_chunks array<string>, "
     f"metadata struct<evidence:array<{EVIDENCE}>,paragraph_id:string,alpha:double,candidate_top_n:int,"
     "selected_reader_id:string,score_formula:string>"
 )
@@ -49,6 +47,11 @@ PREDICTION_DDL = (
     "predicted_index int, gold_index int, "
     f"metadata struct<scoring_mode:string,choice_shuffle:{CHOICE_SHUFFLE}>"
 )
+EMBEDDING_COLUMNS = (
+    "embedding_id", "example_id", "reader_id", "condition", "chunk_id", "paragraph_id", "text", "char_start",
+    "char_end", "token_indices", "vec",
+)
+QUERY_COLUMNS = ("example_id", "paragraph_id", "question", "choices", "answer_index", "qvec")
 EMBEDDING_DDL = (
     "embedding_id string, example_id string, reader_id string, condition string, chunk_id string, "
     "paragraph_id string, text string, char_start int, char_end int, token_indices array<int>, vec array<float>"
@@ -58,13 +61,7 @@ QUERY_DDL = (
     "qvec array<float>"
 )
 ARTICLE_DDL = "article_id string, title string, paragraphs array<map<string,string>>"
-
-QA = _struct(QA_DDL)
-RETRIEVAL = _struct(RETRIEVAL_DDL)
-PREDICTION = _struct(PREDICTION_DDL)
-EMBEDDING = _struct(EMBEDDING_DDL)
-QUERY = _struct(QUERY_DDL)
-ARTICLE = _struct(ARTICLE_DDL)
+ARTICLE = "struct<article_id:string,title:string,paragraphs:array<map<string,string>>>"
 
 BY_CONDITION_COLUMNS = ("condition", "reader_id", "accuracy", "count", "scored_count", "missing_parse_rate")
 PAIRED_COLUMNS = ("baseline", "treatment", "n", "mean_delta", "standard_error", "ci95_low", "ci95_high")

@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BATCH_ROWS = 250_000
 
@@ -61,10 +61,7 @@ def _member(archive: zipfile.ZipFile) -> str:
 
 def _read_zipped(spark: SparkSession, path: str, columns: list[str] | None) -> DataFrame:
     names = columns or _zip_header(spark, path)
-    schema = T.StructType(
-        [T.StructField(n, T.StringType()) for n in names]
-        + [T.StructField("src_ordinal", T._parse_datatype_string("struct<file:string,block:bigint,row:bigint>"))]
-    )
+    schema = ", ".join(f"`{n}` string" for n in names) + ", src_ordinal struct<file:string,block:bigint,row:bigint>"
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

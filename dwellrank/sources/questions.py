@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from dwellrank.functions.text import SPACE
 from dwellrank.operators.choices import qa_from_table, shuffle_choices
 from dwellrank.operators.gaze_table import paragraph_id_of_article
-from dwellrank.schemas import ARTICLE, CHOICE_SHUFFLE
+from dwellrank.schemas import ARTICLE, ARTICLE_DDL, CHOICE_SHUFFLE
 from dwellrank.sources.gaze import _exists, require
 
 # Where a question file is looked for when the dataset cannot be loaded.
@@ -29,8 +29,8 @@ def read_articles(spark: SparkSession, path: str, lines: bool = False) -> DataFr
     """
     require(spark, path)
     if lines:
-        return _numbered(spark.read.schema(ARTICLE).json(path), None)
-    item = ARTICLE.simpleString()
+        return _numbered(spark.read.schema(ARTICLE_DDL).json(path), None)
+    item = ARTICLE
     whole = spark.read.text(path, wholetext=True).select(
         F.when(
             F.col("value").rlike(rf"\A{SPACE}*\["), F.from_json("value", f"array<{item}>")
@@ -102,16 +102,26 @@ def qa_from_articles(articles: DataFrame, source: str = "", seed: int = 13, shuf
 def with_ordinals(qa: DataFrame, position: str = "source_position") -> DataFrame:
     """Adds ``example_ordinal``, the 0-based rank of the source position.
 
-    Ranked in two steps so that no task sees all questions: a sort over range
-    partitions, then each partition's row count as its offset.
+    The rank is the rank inside the article plus the number of questions of
+    earlier articles. That running count is taken per bucket of 4096 articles,
+    so only one row per bucket is ever ordered in one place.
     """
-    ordered = qa.sort(position).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id())
-    counts = ordered.groupBy("_part").agg(F.min("_in").alias("_first"), F.count("*").alias("_count"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_count").over(before), F.lit(0)))
-    return ordered.join(offsets, "_part").withColumn(
-        "example_ordinal", F.col("_offset") + F.col("_in") - F.col("_first")
-    ).drop("_part", "_in", "_first", "_count", "_offset", position)
+    article = F.col(f"{position}.article_ordinal")
+    sizes = qa.groupBy(article.alias("_article")).agg(F.count("*").alias("_n")).withColumn(
+        "_bucket", F.shiftright("_article", 12)
+    )
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = sizes.groupBy("_bucket").agg(F.sum("_n").alias("_n"))
+    buckets = buckets.select("_bucket", earlier(Window.orderBy("_bucket")).alias("_base"))
+    offsets = sizes.withColumn("_within", earlier(Window.partitionBy("_bucket").orderBy("_article"))).join(
+        buckets, "_bucket"
+    ).select("_article", (F.col("_base") + F.col("_within")).alias("_offset"))
+    in_article = F.row_number().over(Window.partitionBy("_article").orderBy(position)) - 1
+    return (
+        qa.withColumn("_article", article).withColumn("_in", in_article).join(offsets, "_article")
+        .withColumn("example_ordinal", F.col("_offset") + F.col("_in"))
+        .drop("_article", "_in", "_offset", position)
+    )
 
 
 def read_local_questions(spark: SparkSession, path: str, shuffle: bool = False, seed: int = 13, lines: bool = False) -> DataFrame:
