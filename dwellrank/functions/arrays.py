@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -20,6 +20,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def explode_rows(df: DataFrame, keep: list, items: Column, pos: str, value: str) -> DataFrame:
+    """One row per array item with its position.
+
+    A plain explode makes Spark add the filter ``size(items) > 0`` below it,
+    which computes a costly array twice and moves it before earlier
+    reductions; the outer form with a filter on the position does not.
+    """
+    return df.select(*keep, F.posexplode_outer(items).alias(pos, value)).where(F.col(pos).isNotNull())
+
+
 def index_range(n: Column) -> Column:
     """[0, 1, ..., n-1]; empty for n = 0 (``sequence(0, -1)`` would count down)."""
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))

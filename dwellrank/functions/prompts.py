@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from dwellrank.functions.arrays import let
-from dwellrank.functions.text import NON_SPACE, PY_SPACE, SPACE, strip
+from dwellrank.functions.text import NON_SPACE, SPACE, strip
 
 # The prompt texts the scoring models are given.
 MCQA_HEAD = "Answer the multiple-choice question using only the retrieved evidence.\nReturn exactly one choice label.\n\n"
@@ -80,9 +80,10 @@ def parse_choice(raw: Column, num_choices: Column) -> Column:
         return F.regexp_extract(raw, pattern, 1)
 
     label = r"[(\[]?([A-Za-z])[)\]]?"
-    word_edge = r"(?U)(?<!\w)"
+    letter_or_digit = r"[\p{L}\p{N}_]"
+    word_edge = f"(?<!{letter_or_digit})"
     standalone = F.filter(
-        F.transform(F.regexp_extract_all(raw, F.lit(r"(?U)\b([A-Za-z])\b"), F.lit(1)), index_of),
+        F.transform(F.regexp_extract_all(raw, F.lit(f"{word_edge}([A-Za-z])(?!{letter_or_digit})"), F.lit(1)), index_of),
         lambda x: x.isNotNull(),
     )
     leading = index_of(first_group(rf"\A{SPACE}*[(\[]?([A-Za-z])"))
@@ -98,8 +99,3 @@ def parse_choice(raw: Column, num_choices: Column) -> Column:
             F.coalesce(leading, named, F.when(F.size(found) == 1, F.get(found, F.lit(0)))),
         ),
     )
-
-
-__all__ = [
-    "PY_SPACE", "bare_prompt", "choice_block", "mcqa_prompt", "parse_choice", "reward_prompt",
-]

@@ -288,16 +288,17 @@ def adjust_offsets(offsets: Column, prefix_len: Column | int, text_len: Column)
     """Move tokenizer offsets from the prefixed text to the text; (-1,-1) when outside."""
     prefix = F.lit(prefix_len) if isinstance(prefix_len, int) else prefix_len
 
-    def move(o: Column) -> Column:
+    def move(o: Column, limit: Column) -> Column:
         start = F.greatest(F.lit(0), o["start"] - prefix)
-        end = F.least(text_len, o["end"] - prefix)
+        end = F.least(limit, o["end"] - prefix)
         outside = (o["start"] == o["end"]) | (o["end"] <= prefix) | (start >= end)
         return F.struct(
             F.when(outside, F.lit(-1)).otherwise(start).alias("start"),
             F.when(outside, F.lit(-1)).otherwise(end).alias("end"),
         )
 
-    return F.transform(offsets, move)
+    # counting the characters of a text takes a pass over it: once, not per token
+    return let(text_len, lambda limit: F.transform(offsets, lambda o: move(o, limit)))
 
 
 def overlapping_tokens(starts: Column, ends: Column, span_start: Column, span_end: Column) -> Column:

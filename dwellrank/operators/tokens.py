@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from dwellrank.functions.arrays import let, total
+from dwellrank.functions.arrays import explode_rows, let, total
 from dwellrank.functions.scores import gaze_weight
 from dwellrank.functions.text import TYPOGRAPHIC, TYPOGRAPHIC_ASCII, overlapping_tokens
 
@@ -105,13 +105,14 @@ def word_token_pairs(df: DataFrame, keys: list[str], word_spans: str, token_star
 
     A word without any token is an error.
     """
-    words = df.select(*keys, F.posexplode(word_spans).alias("word_pos", "_w"), token_starts, token_ends)
+    words = explode_rows(df, [*keys, token_starts, token_ends], F.col(word_spans), "word_pos", "_w")
     found = overlapping_tokens(F.col(token_starts), F.col(token_ends), F.col("_w.start"), F.col("_w.end"))
     words = words.withColumn("_t", found).withColumn(
         "_t",
         F.when(F.size("_t") > 0, F.col("_t")).otherwise(F.raise_error(F.lit("a word overlaps no token")).cast("array<int>")),
     )
-    return words.select(*keys, "word_pos", F.size("_t").alias("n_tokens"), F.explode("_t").alias("token_pos"))
+    keep = [*keys, "word_pos", F.size("_t").alias("n_tokens")]
+    return explode_rows(words, keep, F.col("_t"), "_i", "token_pos").drop("_i")
 
 
 def token_mass(pairs: DataFrame, keys: list[str], trt: str = "trt") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from dwellrank.functions.arrays import explode_rows
 from dwellrank.functions.text import SPACE
 from dwellrank.operators.choices import qa_from_table, shuffle_choices
 from dwellrank.operators.gaze_table import paragraph_id_of_article
@@ -58,8 +59,10 @@ def question_rows(articles: DataFrame) -> DataFrame:
         "article_ordinal", "article_id", "title", "p_pos",
         F.col("p")["paragraph_id"].alias("paragraph_number"),
         F.from_json(F.col("p")["qas"], "array<string>").alias("qas"),
-        F.posexplode(F.filter(F.map_entries("p"), lambda e: ~e["key"].isin(*NOT_LEVELS) & e["value"].startswith("{"))).alias("l_pos", "l"),
+        F.filter(F.map_entries("p"), lambda e: ~e["key"].isin(*NOT_LEVELS) & e["value"].startswith("{")).alias("levels"),
     )
+    kept = [c for c in levels.columns if c != "levels"]
+    levels = explode_rows(levels, kept, F.col("levels"), "l_pos", "l")
     parsed = levels.select(
         "*", F.col("l.key").alias("level"), F.from_json("l.value", LEVEL_DDL).alias("body")
     ).drop("l")
