@@ -36,7 +36,7 @@ sents as (select doc_id, s0 + case when i = 1 then 0 else length(tile) - length(
 select doc_id, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) as norm_md5,
        length(trim(regexp_replace(text, '\s+', ' ', 'g')))::bigint as norm_length from documents""")
 def normalize_text(spark, sf):
-    d = D.table(spark, sf, "documents")
+    d = D.documents(spark, sf)
     norm = T.normalize_text(F.col("text"))
     return d.select("doc_id", F.md5(norm).alias("norm_md5"), big(F.length(norm)).alias("norm_length"))
 
@@ -48,7 +48,7 @@ select doc_id, case when level is null then '' when trim(level) = '0' or lower(t
   when trim(level) = '1' or lower(trim(level)) like 'int%' then 'int' when trim(level) = '2' or lower(trim(level)) like 'ele%' then 'ele'
   else lower(trim(level)) end as level from v""")
 def normalize_level(spark, sf):
-    d = D.table(spark, sf, "documents")
+    d = D.documents(spark, sf)
     k = F.col("doc_id") % 8
     raw = (
         F.when(k == 0, F.lit("0")).when(k == 1, F.lit(" 1")).when(k == 2, F.lit("2 ")).when(k == 3, F.lit("Advanced"))
@@ -63,7 +63,7 @@ select doc_id, count(*)::bigint n, sum("start")::bigint start_sum, sum("end")::b
        sum((word_pos + 1) * "start")::bigint weighted, md5(string_agg(word, '|' order by word_pos)) words_md5
 from z group by doc_id""")
 def word_spans(spark, sf):
-    d = D.table(spark, sf, "documents").select("doc_id", T.word_spans(F.col("text")).alias("s")).where(F.size("s") > 0)
+    d = D.documents(spark, sf).select("doc_id", T.word_spans(F.col("text")).alias("s")).where(F.size("s") > 0)
     add = lambda f: F.aggregate(F.transform("s", f), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return d.select(
         "doc_id", big(F.size("s")).alias("n"),
@@ -76,7 +76,7 @@ def word_spans(spark, sf):
 @query("T4_sentence_spans", "with" + SENTENCES + """z as (select 1)
 select doc_id, "start"::bigint as char_start, "end"::bigint as char_end, md5(body) as body_md5 from sents""")
 def sentence_spans(spark, sf):
-    d = explode_rows(D.table(spark, sf, "documents"), ["doc_id"], T.sentence_spans(F.col("text")), "i", "s")
+    d = explode_rows(D.documents(spark, sf), ["doc_id"], T.sentence_spans(F.col("text")), "i", "s")
     return d.select(
         "doc_id", big(F.col("s.start")).alias("char_start"), big(F.col("s.end")).alias("char_end"),
         F.md5(T.strip(F.col("s.text"))).alias("body_md5"),
@@ -92,7 +92,7 @@ select k.doc_id, (k.f // 17)::bigint as chunk_index, (a."end" - length(a.word)):
 from kept k join words a on a.doc_id = k.doc_id and a.word_pos = k.f join words b on b.doc_id = k.doc_id and b.word_pos = k.l
 join documents d on d.doc_id = k.doc_id""")
 def word_windows(spark, sf):
-    d = explode_rows(D.table(spark, sf, "documents"), ["doc_id"], T.word_windows(F.col("text"), 20, 3), "i", "s")
+    d = explode_rows(D.documents(spark, sf), ["doc_id"], T.word_windows(F.col("text"), 20, 3), "i", "s")
     return d.select(
         "doc_id", big(F.col("i")).alias("chunk_index"), big(F.col("s.start")).alias("char_start"),
         big(F.col("s.end")).alias("char_end"), F.md5(F.col("s.text")).alias("body_md5"),
@@ -151,7 +151,7 @@ allc as (select doc_id, "start" + a as cs, "start" + b as ce, substring(piece, (
 select doc_id, 'context:chunk=' || (row_number() over (partition by doc_id order by cs) - 1) as chunk_id,
        cs::bigint as char_start, ce::bigint as char_end, md5(body) as body_md5 from allc""")
 def context_chunks(spark, sf):
-    d = D.table(spark, sf, "documents").select("doc_id", T.strip(F.col("text")).alias("context"))
+    d = D.documents(spark, sf).select("doc_id", T.strip(F.col("text")).alias("context"))
     chunks = K.split_contexts(d.where(F.length("context") > 0), 15, keep=["doc_id"])
     return chunks.select("doc_id", "chunk_id", big(F.col("char_start")).alias("char_start"),
                          big(F.col("char_end")).alias("char_end"), F.md5("text").alias("body_md5"))
@@ -161,7 +161,7 @@ def context_chunks(spark, sf):
 z as (select lower(regexp_replace(regexp_replace(translate(word, '“”‘’–—', '""''''--'), '^[!-/:-@\[-`{-~]+', ''), '[!-/:-@\[-`{-~]+$', '')) as canonical from words)
 select canonical, count(*)::bigint as n from z group by canonical""")
 def canonical_words(spark, sf):
-    w = D.table(spark, sf, "documents").select(F.explode(T.words(F.col("text"))).alias("word"))
+    w = D.documents(spark, sf).select(F.explode(T.words(F.col("text"))).alias("word"))
     return w.groupBy(T.canonical_word(F.col("word")).alias("canonical")).agg(F.count("*").alias("n"))
 
 
@@ -172,7 +172,7 @@ m as (select doc_id, word_pos, case when e <= 9 or greatest(0, s - 9) >= e - 9 t
 select doc_id, sum(s2)::bigint as start_sum, sum(e2)::bigint as end_sum, sum((word_pos + 1) * s2)::bigint as weighted from m group by doc_id""")
 def adjusted_offsets(spark, sf):
     # the document text plays the prefixed text: its first nine characters are the prefix
-    d = D.table(spark, sf, "documents").select("doc_id", "text", T.word_spans(F.col("text")).alias("s")).where(F.size("s") > 0)
+    d = D.documents(spark, sf).select("doc_id", "text", T.word_spans(F.col("text")).alias("s")).where(F.size("s") > 0)
     d = d.withColumn("m", T.adjust_offsets(F.col("s"), 9, F.length("text") - 9))
     add = lambda f: F.aggregate(F.transform("m", f), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return d.select("doc_id", add(lambda s: big(s["start"])).alias("start_sum"), add(lambda s: big(s["end"])).alias("end_sum"),
@@ -182,14 +182,14 @@ def adjusted_offsets(spark, sf):
 @query("T17_word_counts", r"""
 select doc_id, len(regexp_extract_all(text, '\S+'))::bigint as n_words from documents""")
 def word_counts(spark, sf):
-    return D.table(spark, sf, "documents").select("doc_id", big(T.word_count(F.col("text"))).alias("n_words"))
+    return D.documents(spark, sf).select("doc_id", big(T.word_count(F.col("text"))).alias("n_words"))
 
 
 @query("T18_seeded_digest", r"""
 select doc_id, substring(sha256('13:' || 'q' || doc_id), 1, 16) as digest from documents""")
 def seeded_digest(spark, sf):
     ident = F.concat(F.lit("13:q"), "doc_id")
-    return D.table(spark, sf, "documents").select("doc_id", F.substr(F.sha2(ident, 256), F.lit(1), F.lit(16)).alias("digest"))
+    return D.documents(spark, sf).select("doc_id", F.substr(F.sha2(ident, 256), F.lit(1), F.lit(16)).alias("digest"))
 
 
 HASHED = r"""
@@ -213,7 +213,7 @@ def hash_vectors(spark, sf):
 @query("V4_passage_tokens", "with" + HASHED.format(table="documents", kind="passage") + """z as (select 1)
 select w as token, round(v[1], 6) as first, round(v[32], 6) as last, round(list_sum(v), 6) as total from hv""")
 def passage_tokens(spark, sf):
-    w = D.table(spark, sf, "documents").select(F.explode(T.words(F.col("text"))).alias("w"))
+    w = D.documents(spark, sf).select(F.explode(T.words(F.col("text"))).alias("w"))
     v = w.select(F.lower("w").alias("token")).distinct().withColumn("v", V.hash_passage(F.col("token"), 32))
     return v.select("token", r6(F.col("v")[0]).alias("first"), r6(F.col("v")[31]).alias("last"), r6(total(F.col("v"))).alias("total"))
 
@@ -235,7 +235,7 @@ z as (select doc_id, length(regexp_replace(regexp_replace(word, '^[^A-Za-z0-9]+'
 select doc_id, round(sum(t), 6) as trt_sum, round(max(t), 6) as trt_max, round(sum(least(1, t)), 6) as fix_prop_sum,
        round(sum(1 + t), 6) as n_fix_sum from z group by doc_id""")
 def heuristic_trt(spark, sf):
-    d = D.table(spark, sf, "documents").select("doc_id", reading.heuristic_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    d = D.documents(spark, sf).select("doc_id", reading.heuristic_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     f = lambda name: F.transform("w", lambda x: x["features"][name])
     return d.select(
         "doc_id", r6(total(F.transform("w", lambda x: x["trt"]))).alias("trt_sum"), r6(F.array_max(f("TRT"))).alias("trt_max"),

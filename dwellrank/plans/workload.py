@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from dwellrank.functions.arrays import explode_rows
 from dwellrank.functions.text import piece_spans, word_spans
 from dwellrank.schemas import CHOICE_SHUFFLE
+from dwellrank.session import spread
 
 BENCHMARK_ITEMS = 40  # ids 0..39 exist at every scale
 
@@ -20,6 +21,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, dealt out when the file is a single split: texts are costly per row."""
+    return spread(table(spark, sf, "documents"))
+
+
 def text(c: Column) -> Column:
     return c.cast("string")
 
@@ -28,7 +34,7 @@ def text(c: Column) -> Column:
 
 
 def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     return d.select(
         text(F.col("doc_id")).alias("example_id"), F.concat(F.lit("p"), "doc_id").alias("paragraph_id"),
         F.col("text").alias("paragraph_text"), F.col("doc_id").alias("example_ordinal"), "doc_id", "lang", "source",
@@ -37,13 +43,13 @@ def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, word_pos, start, end, word of every document word."""
-    d = explode_rows(table(spark, sf, "documents"), ["doc_id"], word_spans(F.col("text")), "word_pos", "s")
+    d = explode_rows(documents(spark, sf), ["doc_id"], word_spans(F.col("text")), "word_pos", "s")
     return d.select("doc_id", "word_pos", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.text").alias("word"))
 
 
 def pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with word spans and with tokens of at most four characters."""
-    d = table(spark, sf, "documents").select(
+    d = documents(spark, sf).select(
         "doc_id", word_spans(F.col("text")).alias("spans"), piece_spans(F.col("text"), 4).alias("p")
     )
     return d.select(
@@ -146,7 +152,7 @@ def alignment_gaze(spark: SparkSession, sf: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     """One nested article per document: two levels, two questions, word-index gold spans."""
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("_b"), F.col("text").alias("q_text"))
     d = d.withColumn("_b", F.col("doc_id") % BENCHMARK_ITEMS).join(b, "_b")
     n = F.size(F.regexp_extract_all(F.col("text"), F.lit(r"\S+"), F.lit(0)))
@@ -239,7 +245,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 def reward_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as contexts with a benchmark passage as question and two responses."""
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("_b"), F.col("text").alias("question"))
     k = F.col("doc_id")
     return d.withColumn("_b", k % BENCHMARK_ITEMS).join(b, "_b").select(

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "dwellrank", cores: str = "*", shuffle_partitions: int | None = None) -> SparkSession:
@@ -44,6 +44,16 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(tempfile.mkdtemp(prefix="dwellrank-"), name)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows out when a scan has fewer splits than the session has cores.
+
+    A small file is one split, so costly per-row work on it would run on one
+    core. Data of any size has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def reliable_checkpoint(df, purpose: str):
     """Cut the lineage of ``df`` with a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
