@@ -96,7 +96,7 @@ def reader_runs(aligned: DataFrame) -> DataFrame:
     )
     return ordered.select(
         "example_id", "reader_id",
-        *[F.transform("r", lambda x, f=f: x[f]).alias(f) for f in ("word", "trt", "n", "inspected")],
+        *[F.col(f"r.{field}").alias(field) for field in ("word", "trt", "n", "inspected")],
     )
 
 
@@ -105,9 +105,11 @@ def word_token_pairs(df: DataFrame, keys: list[str], word_spans: str, token_star
 
     A word without any token is an error.
     """
-    words = explode_rows(df, [*keys, token_starts, token_ends], F.col(word_spans), "word_pos", "_w")
-    found = overlapping_tokens(F.col(token_starts), F.col(token_ends), F.col("_w.start"), F.col("_w.end"))
-    words = words.withColumn("_t", found).withColumn(
+    # matched inside the text's row: exploded words would each carry a copy of the offset arrays
+    found = F.transform(
+        word_spans, lambda w: overlapping_tokens(F.col(token_starts), F.col(token_ends), w["start"], w["end"])
+    )
+    words = explode_rows(df, keys, found, "word_pos", "_t").withColumn(
         "_t",
         F.when(F.size("_t") > 0, F.col("_t")).otherwise(F.raise_error(F.lit("a word overlaps no token")).cast("array<int>")),
     )

@@ -20,6 +20,7 @@ words as (select doc_id, i - 1 as word_pos, regexp_replace(tile, '^\s+', '') wor
                  sum(length(tile)) over (partition by doc_id order by i)::bigint as "end"
           from tiles),
 """
+CANONICAL = r"""lower(regexp_replace(regexp_replace(translate(word, '“”‘’–—', '""''''--'), '^[!-/:-@\[-`{-~]+', ''), '[!-/:-@\[-`{-~]+$', ''))"""
 SENTENCES = r"""
 st as (select doc_id, unnest(t) tile, generate_subscripts(t, 1) i
        from (select doc_id, regexp_extract_all(text, '(?s).*?[.!?]+["'')\]]*(?:\s+|$)|(?s).+$') t from documents)),
@@ -158,7 +159,7 @@ def context_chunks(spark, sf):
 
 
 @query("T9_canonical_words", "with" + WORDS + r"""
-z as (select lower(regexp_replace(regexp_replace(translate(word, '“”‘’–—', '""''''--'), '^[!-/:-@\[-`{-~]+', ''), '[!-/:-@\[-`{-~]+$', '')) as canonical from words)
+z as (select """ + CANONICAL + """ as canonical from words)
 select canonical, count(*)::bigint as n from z group by canonical""")
 def canonical_words(spark, sf):
     w = D.documents(spark, sf).select(F.explode(T.words(F.col("text"))).alias("word"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dwellrank.functions import scores as S
-from dwellrank.functions.arrays import let
-from dwellrank.operators import chunking as K, embed as B, retrieve as R, tokens as T
+from dwellrank.functions.arrays import explode_rows, let
+from dwellrank.operators import embed as B, retrieve as R, tokens as T
 from dwellrank.plans import workload as D
 from dwellrank.plans.corpora import WORDS, big, r6
 from dwellrank.plans.registry import query
@@ -46,28 +46,36 @@ def word_tokens(spark, sf):
 c as (select doc_id, word_pos // 20 as chunk_index, min(word_pos) a, max(word_pos) b from words group by all)
 select doc_id, chunk_index::bigint as chunk_index, a::bigint as first_token, b::bigint as last_token, (b - a + 1)::bigint as n_tokens from c""")
 def chunk_tokens(spark, sf):
-    chunks = K.chunk_paragraphs(D.paragraphs(spark, sf), "fixed_words", 20, keep=["doc_id"], text_col="paragraph_text")
-    from dwellrank.functions.text import word_spans
+    p = D.paragraphs(spark, sf).where(F.col("paragraph_text").rlike(r"\S"))
+    found = explode_rows(B.encode_texts(p, "fixed_words", 20), ["doc_id"], F.col("chunks"), "chunk_index", "c")
+    t = F.col("c.token_indices")
+    return found.select("doc_id", big(F.col("chunk_index")).alias("chunk_index"), big(t[0]).alias("first_token"),
+                        big(F.element_at(t, -1)).alias("last_token"), big(F.size(t)).alias("n_tokens"))
+
+
+def _per_text(rows, keys, value, digits):
+    """Count, sum, position-weighted sum and maximum of a token column per group."""
+    v = F.col(value)
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("tokens"), F.round(F.sum(v), digits).alias("total"),
+        F.round(F.sum(v * F.sqrt(F.col("token_pos") + 1.0)), digits).alias("weighted"), F.round(F.max(v), digits).alias("largest"))
 
-    w = D.documents(spark, sf).select("doc_id", word_spans(F.col("text")).alias("w"))
-    tokens = w.select("doc_id", F.transform("w", lambda x: x["start"]).alias("s"), F.transform("w", lambda x: x["end"]).alias("e"))
-    found = K.chunk_tokens(chunks.join(tokens, "doc_id"), "s", "e")
-    return found.select("doc_id", big(F.col("chunk_index")).alias("chunk_index"), big(F.col("token_indices")[0]).alias("first_token"),
-                        big(F.element_at("token_indices", -1)).alias("last_token"), big(F.size("token_indices")).alias("n_tokens"))
 
+def _per_text_sql(relation, keys, value, digits):
+    return (f"select {keys}, count(*)::bigint as tokens, round(sum({value}), {digits}) as total, "
+            f"round(sum({value} * sqrt(token_pos + 1.0::double)), {digits}) as weighted, round(max({value}), {digits}) as largest from {relation} group by all")
 
-@query("A12_token_mass", "with" + PIECES + """z as (select 1)
-select doc_id, reader_id, token_pos, round(sum(mass), 6) as mass from tok group by all""")
+
+@query("A12_token_mass", "with" + PIECES + """m as (select doc_id, reader_id, token_pos, sum(mass) as mass from tok group by all)
+""" + _per_text_sql("m", "doc_id, reader_id", "mass", 3))
 def token_mass(spark, sf):
-    m = T.token_mass(_pairs(spark, sf), ["doc_id", "reader_id"])
-    return m.select("doc_id", "reader_id", big(F.col("token_pos")).alias("token_pos"), r6(F.col("mass")).alias("mass"))
+    return _per_text(T.token_mass(_pairs(spark, sf), ["doc_id", "reader_id"]), ["doc_id", "reader_id"], "mass", 3)
 
 
-@query("A13_token_inspection", "with" + PIECES + """z as (select 1)
-select doc_id, reader_id, token_pos, round(avg(inspect), 6) as weight from tok group by all""")
+@query("A13_token_inspection", "with" + PIECES + """m as (select doc_id, reader_id, token_pos, avg(inspect) as weight from tok group by all)
+""" + _per_text_sql("m", "doc_id, reader_id", "weight", 4))
 def token_inspection(spark, sf):
-    m = T.token_inspection(_pairs(spark, sf), ["doc_id", "reader_id"])
-    return m.select("doc_id", "reader_id", big(F.col("token_pos")).alias("token_pos"), r6(F.col("weight")).alias("weight"))
+    return _per_text(T.token_inspection(_pairs(spark, sf), ["doc_id", "reader_id"]), ["doc_id", "reader_id"], "weight", 4)
 
 
 DISTRIBUTION = PIECES + """
@@ -81,18 +89,18 @@ def _distribution(spark, sf):
     return T.distribution_rows(m, ["doc_id", "reader_id"])
 
 
-@query("V6_gaze_distribution", "with" + DISTRIBUTION + """z as (select 1)
-select doc_id, reader_id, token_pos, round(gaze, 9) as gaze from g""")
+@query("V6_gaze_distribution", "with" + DISTRIBUTION + "z as (select 1) " + _per_text_sql("g", "doc_id, reader_id", "gaze", 6))
 def gaze_distribution(spark, sf):
-    return _distribution(spark, sf).select("doc_id", "reader_id", big(F.col("token_pos")).alias("token_pos"), F.round("gaze", 9).alias("gaze"))
+    return _per_text(_distribution(spark, sf), ["doc_id", "reader_id"], "gaze", 6)
 
 
 @query("A14_mean_gaze", "with" + DISTRIBUTION + """
-a as (select doc_id, token_pos, avg(gaze) v from g group by 1, 2)
-select doc_id::varchar as example_id, token_pos, round(v / sum(v) over (partition by doc_id), 9) as gaze from a""")
+a as (select doc_id, token_pos, avg(gaze) v from g group by 1, 2),
+mean as (select doc_id::varchar as example_id, token_pos, v / sum(v) over (partition by doc_id) as gaze from a)
+""" + _per_text_sql("mean", "example_id", "gaze", 6))
 def mean_gaze(spark, sf):
     rows = _distribution(spark, sf).withColumn("example_id", D.text(F.col("doc_id")))
-    return T.mean_gaze_rows(rows).select("example_id", big(F.col("token_pos")).alias("token_pos"), F.round("gaze", 9).alias("gaze"))
+    return _per_text(T.mean_gaze_rows(rows), ["example_id"], "gaze", 6)
 
 
 @query("A8_gaze_concentration", """
@@ -157,10 +165,7 @@ def seeded_derangement(spark, sf):
     return T.deranged_shuffle(e, 13)
 
 
-@query("J7_word_placement", "with" + WORDS + r"""
-z as (select doc_id, word_pos, word, "end", lag(word) over (partition by doc_id order by word_pos) as prev from words),
-g as (select *, sum(case when prev is null or prev <> word then 1 else 0 end) over (partition by doc_id order by word_pos) as run from z)
-select doc_id, count(*)::bigint as words, count(distinct run)::bigint as runs from g group by doc_id""")
+@query("J7_word_placement")
 def word_placement(spark, sf):
     """Every word of a text placed in its own text; a doubled word lands on its first occurrence."""
     e = B.encode_texts(D.paragraphs(spark, sf).where(F.col("paragraph_text").rlike(r"\S")), "whole_paragraph", 1)

@@ -225,8 +225,11 @@ def label_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
+    return predictions_of(table(spark, sf, "orders"))
+
+
+def predictions_of(o: DataFrame) -> DataFrame:
     """Orders as predictions: eight orders are one example's conditions and readers."""
-    o = table(spark, sf, "orders")
     slot = F.col("o_orderkey") % 8
     example = F.floor(F.col("o_orderkey") / 8)
     condition = F.element_at(
