@@ -1,4 +1,4 @@
-"""Array building blocks: let-binding, running totals, sorted lookup.
+"""Array building blocks: let-binding, row explosion, running totals.
 
 All are plain Column expressions, so they run inside the JVM on one row at a
 time and need no shuffle: the arrays are the words or sentences of one text.
@@ -84,28 +84,3 @@ def running_totals(lengths: Column) -> Column:
         ).otherwise(F.array().cast("array<int>")),
     )
 
-
-def count_until(sorted_values: Column, inside: Callable[[Column], Column]) -> Column:
-    """How many leading items satisfy ``inside`` (true for a prefix, false after).
-
-    A binary search written as a fold over 31 halvings: a linear scan per
-    lookup would make interval matching quadratic in the length of the text.
-    """
-
-    def step(span: Column, _: Column) -> Column:
-        middle = ((span["lo"] + span["hi"]) / 2).cast("int")
-        right = inside(F.get(sorted_values, middle))
-        return F.when(span["lo"] >= span["hi"], span).otherwise(
-            F.struct(
-                F.when(right, middle + 1).otherwise(span["lo"]).alias("lo"),
-                F.when(right, span["hi"]).otherwise(middle).alias("hi"),
-            )
-        )
-
-    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(sorted_values) + F.lit(1.0))).cast("int") + 1)
-    return F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("lo"), F.size(sorted_values).alias("hi")),
-        step,
-        lambda span: span["lo"],
-    )

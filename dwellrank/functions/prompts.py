@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from dwellrank.functions.arrays import let
-from dwellrank.functions.text import NON_SPACE, SPACE, strip
+from dwellrank.functions.text import NON_SPACE, SPACE, U, strip
 
 # The prompt texts the scoring models are given.
 MCQA_HEAD = "Answer the multiple-choice question using only the retrieved evidence.\nReturn exactly one choice label.\n\n"
@@ -27,7 +27,7 @@ def choice_block(choices: Column) -> Column:
 
 
 def _question(question: Column) -> Column:
-    return _checked(question.rlike(NON_SPACE), "question must not be empty", strip(question))
+    return _checked(question.rlike(U + NON_SPACE), "question must not be empty", strip(question))
 
 
 def mcqa_prompt(question: Column, choices: Column, evidence: Column) -> Column:
@@ -86,11 +86,11 @@ def parse_choice(raw: Column, num_choices: Column) -> Column:
         F.transform(F.regexp_extract_all(raw, F.lit(f"{word_edge}([A-Za-z])(?!{letter_or_digit})"), F.lit(1)), index_of),
         lambda x: x.isNotNull(),
     )
-    leading = index_of(first_group(rf"\A{SPACE}*[(\[]?([A-Za-z])"))
+    leading = index_of(first_group(rf"{U}\A{SPACE}*[(\[]?([A-Za-z])"))
     named = F.coalesce(
-        index_of(first_group(rf"(?i){word_edge}answer{SPACE}*(?:is|:)?{SPACE}*{label}")),
-        index_of(first_group(rf"(?i){word_edge}choice{SPACE}*{label}")),
-        index_of(first_group(rf"(?i){word_edge}option{SPACE}*{label}")),
+        index_of(first_group(rf"(?iU){word_edge}answer{SPACE}*(?:is|:)?{SPACE}*{label}")),
+        index_of(first_group(rf"(?iU){word_edge}choice{SPACE}*{label}")),
+        index_of(first_group(rf"(?iU){word_edge}option{SPACE}*{label}")),
     )
     return let(
         standalone,

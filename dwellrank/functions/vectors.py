@@ -69,9 +69,17 @@ def _digest_values(text: Column) -> Column:
     """The digest bytes of ``text`` scaled to [-1, 1]."""
     return let(
         F.sha2(text, 256),
-        lambda h: F.transform(
-            F.sequence(F.lit(1), F.lit(2 * HASH_BYTES - 1), F.lit(2)),
-            lambda i: F.conv(F.substr(h, i, F.lit(2)), 16, 10).cast("double") / 255.0 * 2.0 - 1.0,
+        # four bytes per conversion of eight hex digits
+        lambda h: F.flatten(
+            F.transform(
+                F.sequence(F.lit(1), F.lit(2 * HASH_BYTES - 7), F.lit(8)),
+                lambda i: let(
+                    F.conv(F.substr(h, i, F.lit(8)), 16, 10).cast("bigint"),
+                    lambda x: F.array(
+                        *[F.shiftright(x, k).bitwiseAND(255).cast("double") / 255.0 * 2.0 - 1.0 for k in (24, 16, 8, 0)]
+                    ),
+                ),
+            )
         ),
     )
 

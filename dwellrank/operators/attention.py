@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dwellrank.functions.vectors import dot
 from dwellrank.operators.tokens import bare_word, place_words
 
-BLOCK = 512  # token rows whose attention scores are held at a time
+BLOCK_CELLS = 1 << 18  # attention scores held at a time
 
 
 def unit_rows(m: np.ndarray) -> np.ndarray:
@@ -40,13 +40,16 @@ def attend(rows: np.ndarray, inverse: np.ndarray, weights: np.ndarray, mask: np.
     used = np.flatnonzero(counts)
     values, counts = rows[used], counts[used]
     scale = np.sqrt(rows.shape[1])
-    for at in range(0, len(inverse), BLOCK):
-        part = slice(at, at + BLOCK)
+    block = max(16, BLOCK_CELLS // max(1, len(used)))
+    for at in range(0, len(inverse), block):
+        part = slice(at, at + block)
         if not len(used):
             yield np.zeros((len(inverse[part]), rows.shape[1]))
             continue
-        scores = (weights[part, None] * rows[inverse[part]]) @ values.T / scale
-        scores = np.exp(scores - scores.max(axis=1, keepdims=True)) * counts
+        scores = (weights[part, None] / scale * rows[inverse[part]]) @ values.T
+        scores -= scores.max(axis=1, keepdims=True)
+        np.exp(scores, out=scores)
+        scores *= counts
         out = (scores @ values) / scores.sum(axis=1, keepdims=True)
         if mask is not None:
             out[~mask[part]] = 0.0
@@ -114,7 +117,7 @@ def chunk_vectors(tokens: Column, token_starts: Column, weights: Column, chunk_s
                 ends = starts + np.array([len(w) for w in words])
                 firsts, pasts = _token_range(starts, ends, np.asarray(a), np.asarray(b))
                 if weight is None:
-                    blocks = (rows[inverse[i:i + BLOCK]] for i in range(0, len(inverse), BLOCK))
+                    blocks = (rows[inverse[i:i + 4096]] for i in range(0, len(inverse), 4096))
                 else:
                     weight = np.asarray(weight, dtype=np.float64)
                     if weight.shape != inverse.shape:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ _TO_ASCII = str.maketrans(TYPOGRAPHIC, TYPOGRAPHIC_ASCII)
 SPANS = "array<struct<start:int,end:int>>"
 
 
+@lru_cache(maxsize=1 << 16)
 def bare_word(word: str) -> str:
     return word.translate(_TO_ASCII).strip().strip(string.punctuation).lower()
 
@@ -106,9 +108,7 @@ def word_token_pairs(df: DataFrame, keys: list[str], word_spans: str, token_star
     A word without any token is an error.
     """
     # matched inside the text's row: exploded words would each carry a copy of the offset arrays
-    found = F.transform(
-        word_spans, lambda w: overlapping_tokens(F.col(token_starts), F.col(token_ends), w["start"], w["end"])
-    )
+    found = overlapping_tokens(F.col(word_spans), F.col(token_starts), F.col(token_ends))
     words = explode_rows(df, keys, found, "word_pos", "_t").withColumn(
         "_t",
         F.when(F.size("_t") > 0, F.col("_t")).otherwise(F.raise_error(F.lit("a word overlaps no token")).cast("array<int>")),

@@ -10,6 +10,7 @@ from dwellrank.operators import chunking as K
 from dwellrank.plans import workload as D
 from dwellrank.plans.registry import query
 
+HAS_WORDS = r"text rlike r'\S'"  # tested on the text: a test on the parsed words would parse them twice
 big = lambda c: c.cast("bigint")
 r6 = lambda c: F.round(c, 6)
 
@@ -64,7 +65,7 @@ select doc_id, count(*)::bigint n, sum("start")::bigint start_sum, sum("end")::b
        sum((word_pos + 1) * "start")::bigint weighted, md5(string_agg(word, '|' order by word_pos)) words_md5
 from z group by doc_id""")
 def word_spans(spark, sf):
-    d = D.documents(spark, sf).select("doc_id", T.word_spans(F.col("text")).alias("s")).where(F.size("s") > 0)
+    d = D.documents(spark, sf).where(HAS_WORDS).select("doc_id", T.word_spans(F.col("text")).alias("s"))
     add = lambda f: F.aggregate(F.transform("s", f), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return d.select(
         "doc_id", big(F.size("s")).alias("n"),
@@ -173,7 +174,7 @@ m as (select doc_id, word_pos, case when e <= 9 or greatest(0, s - 9) >= e - 9 t
 select doc_id, sum(s2)::bigint as start_sum, sum(e2)::bigint as end_sum, sum((word_pos + 1) * s2)::bigint as weighted from m group by doc_id""")
 def adjusted_offsets(spark, sf):
     # the document text plays the prefixed text: its first nine characters are the prefix
-    d = D.documents(spark, sf).select("doc_id", "text", T.word_spans(F.col("text")).alias("s")).where(F.size("s") > 0)
+    d = D.documents(spark, sf).where(HAS_WORDS).select("doc_id", "text", T.word_spans(F.col("text")).alias("s"))
     d = d.withColumn("m", T.adjust_offsets(F.col("s"), 9, F.length("text") - 9))
     add = lambda f: F.aggregate(F.transform("m", f), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return d.select("doc_id", add(lambda s: big(s["start"])).alias("start_sum"), add(lambda s: big(s["end"])).alias("end_sum"),
@@ -236,7 +237,7 @@ z as (select doc_id, length(regexp_replace(regexp_replace(word, '^[^A-Za-z0-9]+'
 select doc_id, round(sum(t), 6) as trt_sum, round(max(t), 6) as trt_max, round(sum(least(1, t)), 6) as fix_prop_sum,
        round(sum(1 + t), 6) as n_fix_sum from z group by doc_id""")
 def heuristic_trt(spark, sf):
-    d = D.documents(spark, sf).select("doc_id", reading.heuristic_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    d = D.documents(spark, sf).where(HAS_WORDS).select("doc_id", reading.heuristic_words(F.col("text")).alias("w"))
     f = lambda name: F.transform("w", lambda x: x["features"][name])
     return d.select(
         "doc_id", r6(total(F.transform("w", lambda x: x["trt"]))).alias("trt_sum"), r6(F.array_max(f("TRT"))).alias("trt_max"),

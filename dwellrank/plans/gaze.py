@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dwellrank.functions import scores as S
 from dwellrank.functions.arrays import explode_rows, let
+from dwellrank.functions.text import overlapping_tokens
 from dwellrank.operators import embed as B, retrieve as R, tokens as T
 from dwellrank.plans import workload as D
 from dwellrank.plans.corpora import WORDS, big, r6
@@ -30,11 +31,8 @@ def _pairs(spark, sf):
 select doc_id, count(*)::bigint as words, sum(n)::bigint as pairs, sum((word_pos + 1) * t0)::bigint as weighted_first, sum((word_pos + 1) * (t0 + n - 1))::bigint as weighted_last
 from placed group by doc_id""")
 def word_tokens(spark, sf):
-    from dwellrank.functions.text import overlapping_tokens
-
-    p = D.pieces(spark, sf).where(F.size("spans") > 0)
-    found = F.transform("spans", lambda s: overlapping_tokens(F.col("token_starts"), F.col("token_ends"), s["start"], s["end"]))
-    p = p.select("doc_id", found.alias("f"))
+    p = D.pieces(spark, sf)
+    p = p.select("doc_id", overlapping_tokens(F.col("spans"), F.col("token_starts"), F.col("token_ends")).alias("f"))
     add = lambda f: F.aggregate(F.transform("f", f), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return p.select(
         "doc_id", big(F.size("f")).alias("words"), add(lambda t: big(F.size(t))).alias("pairs"),

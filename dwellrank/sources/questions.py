@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from dwellrank.functions.arrays import explode_rows
-from dwellrank.functions.text import SPACE
+from dwellrank.functions.text import SPACE, U
 from dwellrank.operators.choices import qa_from_table, shuffle_choices
 from dwellrank.operators.gaze_table import paragraph_id_of_article
 from dwellrank.schemas import ARTICLE, ARTICLE_DDL, CHOICE_SHUFFLE
@@ -34,7 +34,7 @@ def read_articles(spark: SparkSession, path: str, lines: bool = False) -> DataFr
     item = ARTICLE
     whole = spark.read.text(path, wholetext=True).select(
         F.when(
-            F.col("value").rlike(rf"\A{SPACE}*\["), F.from_json("value", f"array<{item}>")
+            F.col("value").rlike(rf"{U}\A{SPACE}*\["), F.from_json("value", f"array<{item}>")
         ).otherwise(F.from_json("value", f"struct<data:array<{item}>>")["data"]).alias("articles")
     )
     checked = F.when(F.col("articles").isNotNull(), F.col("articles")).otherwise(
