@@ -21,8 +21,7 @@ REQUIRED = {
 SCAN_COLUMNS = tuple(
     dict.fromkeys(
         [*REQUIRED.values(), "IA_FIXATION_COUNT", "IA_SKIP"]
-        + [c for c in GAZE_META_COLUMNS if c != "question_preview"]
-        + ["question_preview"]
+        + [c.replace("TRIAL_INDEX_2", "TRIAL_INDEX") for c in GAZE_META_COLUMNS]
     )
 )
 

@@ -18,12 +18,12 @@ QA_DDL = (
     "example_id string, paragraph_id string, paragraph_text string, question string, "
     f"choices array<string>, answer_index int, metadata {QA_META}"
 )
+# TRIAL_INDEX_2 is the report's TRIAL_INDEX: Spark compares names without case, and trial_index is there too
 GAZE_META_COLUMNS = (
     "article_batch", "article_id", "article_title", "paragraph_id", "difficulty_level", "onestopqa_question_id",
-    "question_preview", "repeated_reading_trial", "practice_trial", "trial_index", "TRIAL_INDEX", "paragraph",
+    "question_preview", "repeated_reading_trial", "practice_trial", "trial_index", "TRIAL_INDEX_2", "paragraph",
     "question", "selected_answer", "is_correct",
 )
-# column names differ only in case, so the nested form is a map rather than a struct
 GAZE_RECORD = (
     "struct<reader_id:string,paragraph_id:string,word_index:int,word:string,trt:double,"
     "fixation_count:double,skip:double,metadata:map<string,string>>"

@@ -33,15 +33,35 @@ def read_interest_areas(spark: SparkSession, path: str, columns: list[str] | Non
     require(spark, path)
     if path.endswith(".zip"):
         return _read_zipped(spark, path, columns)
-    df = spark.read.option("header", True).option("escape", '"').csv(path)
+    header = list(spark.read.option("escape", '"').csv(path).first())
+    schema = ", ".join(f"`{n}` string" for n in distinct_names(header))
+    df = spark.read.option("header", True).option("escape", '"').schema(schema).csv(path)
     order = F.struct(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    names = columns or df.columns
+    names = picked_names(header, columns)
     return df.select(*[F.col(f"`{c}`") for c in names], order.alias("src_ordinal"))
 
 
+def distinct_names(header: list[str]) -> list[str]:
+    """Column names that stay apart without regard to case: a repeated one gets "_2"."""
+    seen, out = set(), []
+    for name in header:
+        out.append(f"{name}_2" if name.lower() in seen else name)
+        seen.add(name.lower())
+    return out
+
+
+def picked_names(header: list[str], columns: list[str] | None) -> list[str]:
+    """Distinct names of the wanted raw columns; an absent column is an error."""
+    absent = [c for c in columns or [] if c not in header]
+    if absent:
+        raise ValueError(f"columns not in the file: {absent}")
+    unique = distinct_names(header)
+    return unique if columns is None else [unique[header.index(c)] for c in columns]
+
+
 def _zip_header(spark: SparkSession, path: str) -> list[str]:
     head = spark.read.format("binaryFile").load(path).select("content").limit(1)
 
@@ -60,15 +80,17 @@ def _member(archive: zipfile.ZipFile) -> str:
 
 
 def _read_zipped(spark: SparkSession, path: str, columns: list[str] | None) -> DataFrame:
-    names = columns or _zip_header(spark, path)
+    header = _zip_header(spark, path)
+    raw, names = columns or header, picked_names(header, columns)
     schema = ", ".join(f"`{n}` string" for n in names) + ", src_ordinal struct<file:string,block:bigint,row:bigint>"
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(_member(archive)) as handle:
-                    for part in pd.read_csv(handle, usecols=names, dtype=str, chunksize=BATCH_ROWS):
-                        part = part[names].astype(object).where(part[names].notna(), None)
+                    for part in pd.read_csv(handle, usecols=raw, dtype=str, chunksize=BATCH_ROWS):
+                        part = part[raw].set_axis(names, axis=1)
+                        part = part.astype(object).where(part.notna(), None)
                         part["src_ordinal"] = [{"file": file, "block": 0, "row": int(i)} for i in part.index]
                         yield part
 
