@@ -21,9 +21,9 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
     return np.where(ok, m / np.where(ok, n, 1.0), 0.0)
 
 
-def hash_rows(tokens: list[str], dim: int) -> np.ndarray:
+def hash_rows(tokens: list[str], dim: int, prefix: str = "passage::") -> np.ndarray:
     """Hash-encoder vectors of distinct lower-case tokens (V4)."""
-    digests = [hashlib.sha256(b"passage::" + t.encode("utf-8")).digest() for t in tokens]
+    digests = [hashlib.sha256((prefix + t).encode("utf-8")).digest() for t in tokens]
     raw = np.frombuffer(b"".join(digests), dtype=np.uint8).reshape(len(tokens), 32)
     return unit_rows(raw[:, np.arange(dim) % 32] / 255.0 * 2.0 - 1.0)
 
@@ -94,6 +94,37 @@ def encoder_rows(dim: int) -> Callable:
     return encode
 
 
+def hash_chunk_scores(question: Column, texts: Column, dim: int) -> Column:
+    """Cosine of a question with every chunk text under the hash encoder.
+
+    The same numbers as ``hash_pool`` as an expression, about ten times faster
+    on long texts: each word of an Arrow batch is hashed once.
+    """
+
+    @F.pandas_udf("array<double>")
+    def score(questions: pd.Series, chunks: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+        pooled = [[_word_ids(t, "passage", known) for t in row] for row in chunks]
+        asked = [_word_ids(q, "query", known) for q in questions]
+        rows = hash_rows(list(known), dim, "")
+        out = []
+        for ids, q in zip(pooled, asked):
+            lengths = np.array([len(i) for i in ids])
+            sums = np.zeros((len(ids), dim))
+            if lengths.any():
+                at = np.concatenate([[0], np.cumsum(lengths[lengths > 0])[:-1]])
+                sums[lengths > 0] = np.add.reduceat(rows[np.concatenate(ids).astype(np.int64)], at, axis=0)
+            out.append(unit_rows(sums) @ unit_rows(rows[q].sum(axis=0, keepdims=True))[0])
+        return pd.Series(out)
+
+    return score(question, texts)
+
+
+def _word_ids(text: str, kind: str, known: dict[str, int]) -> np.ndarray:
+    words = text.split()
+    return np.fromiter((known.setdefault(f"{kind}::{w.lower()}", len(known)) for w in words), np.int64, len(words))
+
+
 def chunk_vectors(tokens: Column, token_starts: Column, weights: Column, chunk_starts: Column, chunk_ends: Column,
                   dim: int, encode: Callable | None = None) -> Column:
     """array<array<float>>: one vector per chunk of one text under one weighting.

@@ -13,7 +13,8 @@ from dwellrank.functions.scores import (
     COMPRESSION_CONDITIONS, FULL_CONTEXT, QUERY_ONLY, TRT_ONLY, combine_scores, compression_ratio, is_close, log1p_mean,
 )
 from dwellrank.functions.text import context_chunks, strip, word_count, words
-from dwellrank.functions.vectors import dot, hash_pool
+from dwellrank.functions.vectors import dot
+from dwellrank.operators.attention import hash_chunk_scores
 
 SUPPORTED = (FULL_CONTEXT, *COMPRESSION_CONDITIONS)
 SELECTED = "struct<index:int,start:int,end:int,score:double,text:string>"
@@ -98,17 +99,18 @@ def context_scores(rows: DataFrame, max_words: int = 80, dim: int = 128, encoder
     unit vector and for an array of word reading times; the defaults are the
     hash encoder and the length heuristic.
     """
-    encode = encoder or (lambda text, kind: hash_pool(text, dim, kind))
+    texts = F.transform("_chunks", lambda c: c["text"])
+    if encoder is None:
+        similarity = hash_chunk_scores(F.col("question"), texts, dim)
+    else:
+        similarity = let(encoder(F.col("question"), "query"), lambda q: F.transform(texts, lambda t: dot(q, encoder(t, "passage"))))
     reading = predictor or (lambda text: F.transform(words(text), heuristic_trt))
     split = rows.withColumn("_context", strip(F.col("prompt"))).withColumn(
         "_chunks", context_chunks(F.col("_context"), max_words)
     )
     return split.withColumns(
         {
-            "_query_scores": let(
-                encode(F.col("question"), "query"),
-                lambda q: F.transform("_chunks", lambda c: dot(q, encode(c["text"], "passage"))),
-            ),
+            "_query_scores": similarity,
             "_trt_scores": F.transform("_chunks", lambda c: log1p_mean(reading(c["text"]))),
             "_costs": F.transform("_chunks", lambda c: token_count(c["text"])),
             "original_context_tokens": token_count(F.col("_context")),

@@ -167,3 +167,12 @@ def test_devices_and_dtypes():
 def test_row_ids(one):
     assert [one(W.row_id(F.lit(v).cast("string"), F.lit(3))) for v in ("abc", "", None)] == ["abc", "3", "3"]
     assert one(W.prediction_id(F.lit("r"), F.lit("c"), F.lit(None).cast("int"))) == "r::c::budget=full"
+
+
+def test_hash_scores_agree(spark):
+    from dwellrank.operators.attention import hash_chunk_scores
+
+    df = spark.createDataFrame([("What is Alpha", ["Alpha is beta", "zeta \x1c", ""]), ("q", ["q"])], "q string, t array<string>")
+    exact = F.transform("t", lambda t: F.aggregate(F.zip_with(V.hash_pool(F.col("q"), 64, "query"), V.hash_pool(t, 64, "passage"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
+    for row in df.select(hash_chunk_scores(F.col("q"), F.col("t"), 64).alias("a"), exact.alias("b")).collect():
+        assert np.allclose(row["a"], row["b"], atol=1e-12)
