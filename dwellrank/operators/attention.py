@@ -102,24 +102,27 @@ def hash_chunk_scores(question: Column, texts: Column, dim: int) -> Column:
     """
 
     @F.pandas_udf("array<double>")
-    def score(questions: pd.Series, chunks: pd.Series) -> pd.Series:
-        known: dict[str, int] = {}
-        pooled = [[_word_ids(t, "passage", known) for t in row] for row in chunks]
-        asked = [_word_ids(q, "query", known) for q in questions]
-        rows = hash_rows(list(known), dim, "")
-        out = []
-        for ids, q in zip(pooled, asked):
-            lengths = np.array([len(i) for i in ids])
-            sums = np.zeros((len(ids), dim))
-            if lengths.any():
-                at = np.concatenate([[0], np.cumsum(lengths[lengths > 0])[:-1]])
-                sums[lengths > 0] = np.add.reduceat(rows[np.concatenate(ids).astype(np.int64)], at, axis=0)
-            out.append(unit_rows(sums) @ unit_rows(rows[q].sum(axis=0, keepdims=True))[0])
-        return pd.Series(out)
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for questions, chunks in batches:
+            known: dict[str, int] = {}
+            pooled = [[_word_ids(t, "passage", known) for t in row] for row in chunks]
+            asked = [_word_ids(q, "query", known) for q in questions]
+            rows = hash_rows(list(known), dim, "")
+            yield pd.Series([_mean_cosines(rows, ids, q) for ids, q in zip(pooled, asked)])
 
     return score(question, texts)
 
 
+def _mean_cosines(rows: np.ndarray, chunks: list[np.ndarray], question: np.ndarray) -> np.ndarray:
+    """Cosine of the question's mean row with every chunk's mean row; 0 for a blank chunk."""
+    lengths = np.array([len(c) for c in chunks])
+    sums = np.zeros((len(chunks), rows.shape[1]))
+    if lengths.any():
+        begins = np.concatenate([[0], np.cumsum(lengths[lengths > 0])[:-1]])
+        sums[lengths > 0] = np.add.reduceat(rows[np.concatenate(chunks)], begins, axis=0)
+    return unit_rows(sums) @ unit_rows(rows[question].sum(axis=0, keepdims=True))[0]
+
+
 def _word_ids(text: str, kind: str, known: dict[str, int]) -> np.ndarray:
     words = text.split()
     return np.fromiter((known.setdefault(f"{kind}::{w.lower()}", len(known)) for w in words), np.int64, len(words))

@@ -91,9 +91,9 @@ qsc as (select doc_id, idx, list_dot_product(cv.v, qv.v) / sqrt(list_dot_product
 @query("V18_query_chunk_scores", "with" + QUERY_SCORES + "z as (select 1) select doc_id, idx::bigint as chunk_index, round(s, 6) as score from qsc")
 def query_chunk_scores(spark, sf):
     scored = W.context_scores(contexts(spark, sf), 80, 128)
-    rounded = F.transform("_query_scores", r6)
-    rows = explode_rows(scored, [F.col("row_index").alias("doc_id")], rounded, "chunk_index", "score")
-    return rows.select("doc_id", big(F.col("chunk_index")).alias("chunk_index"), "score")
+    both = scored.select(F.col("row_index").alias("doc_id"), F.arrays_zip("_costs", "_query_scores").alias("z"))
+    rows = explode_rows(both, ["doc_id"], F.col("z"), "chunk_index", "s")
+    return rows.select("doc_id", big(F.col("chunk_index")).alias("chunk_index"), r6(F.col("s._query_scores")).alias("score"))
 
 
 @query("V17_product_of_experts", "with" + QUERY_SCORES + """
