@@ -8,6 +8,7 @@ from dwellrank.functions import scores as S
 from dwellrank.functions.arrays import explode_rows, let
 from dwellrank.functions.text import overlapping_tokens
 from dwellrank.operators import embed as B, retrieve as R, tokens as T
+from dwellrank.operators.ordering import top_share_sum
 from dwellrank.plans import workload as D
 from dwellrank.plans.corpora import WORDS, big, r6
 from dwellrank.plans.registry import query
@@ -105,14 +106,8 @@ def mean_gaze(spark, sf):
 with r as (select user_id, event_type, value, row_number() over (partition by user_id, event_type order by value desc) k, count(*) over (partition by user_id, event_type) n from events)
 select user_id, event_type, round(sum(value), 4) as concentration from r where k <= greatest(1, ceil(n * 0.2::double)) group by 1, 2""")
 def gaze_concentration(spark, sf):
-    # ranked in long form: a reader's records may be any share of the table, and only the top part is summed
-    from pyspark.sql import Window
-
-    e = D.table(spark, sf, "events").select("user_id", "event_type", "value")
-    sizes = e.groupBy("user_id", "event_type").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.lit(0.2))).alias("keep"))
-    order = Window.partitionBy("user_id", "event_type").orderBy(F.desc("value"))
-    ranked = e.withColumn("k", F.row_number().over(order)).join(sizes, ["user_id", "event_type"]).where(F.col("k") <= F.col("keep"))
-    return ranked.groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 4).alias("concentration"))
+    top = top_share_sum(D.table(spark, sf, "events"), ["user_id", "event_type"], "value", 0.2)
+    return top.withColumn("concentration", F.round("concentration", 4))
 
 
 @query("A8_vector_concentration", """

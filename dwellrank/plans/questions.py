@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from dwellrank.operators import align as A, choices as C, gaze_table as G
+from dwellrank.operators.ordering import position_in_group
 from dwellrank.plans import workload as D
 from dwellrank.plans.corpora import WORDS, big, r6
 from dwellrank.plans.registry import query
@@ -276,6 +277,6 @@ def gold_remap(spark, sf):
 with z as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) - 1 as pos from events)
 select user_id, count(*)::bigint as n, max(pos)::bigint as last_pos, sum(pos * (event_id % 7))::bigint as weighted from z group by user_id""")
 def positions(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = D.table(spark, sf, "events").select("user_id", "event_id", (F.row_number().over(w) - 1).alias("pos"))
+    e = D.table(spark, sf, "events").select("user_id", "event_id", "ts")
+    e = position_in_group(e, ["user_id"], F.date_trunc("hour", "ts"), ["ts", "event_id"], "pos")
     return e.groupBy("user_id").agg(F.count("*").alias("n"), big(F.max("pos")).alias("last_pos"), big(F.sum(F.col("pos") * (F.col("event_id") % 7))).alias("weighted"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from dwellrank import schemas
 from dwellrank.functions import conditions as names
@@ -16,6 +16,7 @@ from dwellrank.functions.models import standin_log_probs
 from dwellrank.functions.scores import FULL_CONTEXT
 from dwellrank.operators import align as A, answer as N, coverage as C, embed as E, evaluate as V, gaze_table as G
 from dwellrank.operators import retrieve as R, rewards as W
+from dwellrank.operators.ordering import position_in_group
 from dwellrank.sources import artifacts as IN, gaze as GS, questions as Q, writers as OUT
 from dwellrank.sources.gaze import _exists
 
@@ -95,16 +96,9 @@ def embed_texts(
 
 
 def _renumber(questions: DataFrame) -> DataFrame:
-    """0-based order of the kept questions, counted per block of 4096 first."""
-    blocks = questions.withColumn("_block", F.shiftright("example_ordinal", 12))
-    sizes = blocks.groupBy("_block").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy("_block").orderBy("example_ordinal")) - 1
-    return (
-        blocks.withColumn("_in", inside).join(sizes, "_block")
-        .withColumn("example_ordinal", F.col("_base") + F.col("_in")).drop("_block", "_in", "_base")
-    )
+    """0-based order of the kept questions."""
+    old = questions.withColumnRenamed("example_ordinal", "_old")
+    return position_in_group(old, [], F.shiftright("_old", 12), ["_old"], "example_ordinal").drop("_old")
 
 
 def retrieve_evidence(
