@@ -236,21 +236,23 @@ def subset_embeddings(chunks: DataFrame, embeddings: DataFrame, strict: bool = T
     return joined.withColumn("vec", F.coalesce("vec", absent))
 
 
-def retrieve_text_only(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def retrieve_text_only(
+    chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int, digits: int | None = None
+) -> DataFrame:
     """Text view of the listed chunks, ties by chunk id (L3)."""
     view = (
         subset_embeddings(chunks, embeddings)
         .withColumn("condition", F.lit("text"))
         .withColumn("reader_id", F.lit(None).cast("string"))
     )
-    return to_evidence(retrieve_base(score_chunks(view, queries), k, tie="chunk_id"))
+    return to_evidence(retrieve_base(score_chunks(view, queries), k, tie="chunk_id", digits=digits))
 
 
 def retrieve_gaze_view(
-    chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int, condition: str
+    chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int, condition: str, digits: int | None = None
 ) -> DataFrame:
     """A reader's view of the listed chunks, three conditions only (L4)."""
     if condition not in names.GAIN_CONDITIONS:
         raise ValueError(f"unsupported gaze condition: {condition}")
     view = subset_embeddings(chunks, embeddings).withColumn("condition", F.lit(condition))
-    return to_evidence(retrieve_base(score_chunks(view, queries), k, tie="chunk_id"))
+    return to_evidence(retrieve_base(score_chunks(view, queries), k, tie="chunk_id", digits=digits))

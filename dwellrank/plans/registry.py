@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from dwellrank.plans import answers, corpora, evaluation, gaze, questions, ranking, rewarding, streams  # noqa: F401
+    from dwellrank.plans import answers, corpora, evaluation, files, gaze, questions, ranking, rewarding, streams  # noqa: F401
