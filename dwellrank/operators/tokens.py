@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,12 +17,12 @@ _TO_ASCII = str.maketrans(TYPOGRAPHIC, TYPOGRAPHIC_ASCII)
 SPANS = "array<struct<start:int,end:int>>"
 
 
-@lru_cache(maxsize=1 << 16)
 def bare_word(word: str) -> str:
+    """The word as placement compares it: plain quotes, no outer punctuation, lower case."""
     return word.translate(_TO_ASCII).strip().strip(string.punctuation).lower()
 
 
-def _place(word: str, token: str, start: int, cursor: int) -> tuple[int, int] | None:
+def _place(word: str, token: str, start: int, cursor: int, bare: dict[str, str]) -> tuple[int, int] | None:
     """Span of ``word`` in the text token that begins at ``start``, or None."""
     if token == word:
         return start, start + len(token)
@@ -32,7 +31,10 @@ def _place(word: str, token: str, start: int, cursor: int) -> tuple[int, int] |
         at = token.find(form) if form else -1
         if at >= 0 and start + at >= cursor:
             return start + at, start + at + len(form)
-    if bare_word(token) != bare_word(word):
+    for text in (token, word):
+        if text not in bare:
+            bare[text] = bare_word(text)
+    if bare[token] != bare[word]:
         return None
     at = token.find(word)
     return (start + at, start + at + len(word)) if at >= 0 else (start, start + len(token))
@@ -44,14 +46,14 @@ def place_words(starts, tokens, words, compat: bool = True) -> list[tuple[int, i
     With ``compat`` the token just used is tried again, so a doubled word maps
     to its first occurrence twice; without it the next occurrence is taken.
     """
-    spans, cursor, at = [], 0, 0
+    spans, cursor, at, bare = [], 0, 0, {}
     for n, word in enumerate(words):
         wanted = str(word).strip()
         if not wanted:
             raise ValueError(f"empty word at position {n}")
         for k in range(at, len(tokens)):
             used_up = not compat and starts[k] + len(tokens[k]) <= cursor
-            found = None if used_up else _place(wanted, tokens[k], starts[k], cursor)
+            found = None if used_up else _place(wanted, tokens[k], starts[k], cursor, bare)
             if found and (compat or found[0] >= cursor):
                 spans.append(found)
                 at, cursor = k, found[1]

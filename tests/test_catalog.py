@@ -50,6 +50,24 @@ def test_query(spark, database, name):
     assert rows == ordered(tuple(plain(r[i]) for i in pick) for r in result.fetchall())
 
 
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+import __spark_entry__ as contract
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+for name in ("V12_skip_view", "V18_query_chunk_scores", "V16_choice_shuffle", "V15_seeded_derangement", "J7_word_placement"):
+    assert contract.queries()[name](spark, {SF!r}).collect(), name
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_entry(spark):
     assert contract.entry(spark).columns == ["example_id", "reader_id", "condition", "rank", "chunk_id", "score"]
 
