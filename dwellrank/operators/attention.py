@@ -1,4 +1,4 @@
-"""Gaze-query attention over the tokens of a text, pooled to chunk vectors."""
+"""Gaze-weighted attention over the tokens of a text, pooled to chunk vectors."""
 
 from __future__ import annotations
 
