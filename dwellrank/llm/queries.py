@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from dwellrank.llm import bpe, classifier, mixing
 from dwellrank.llm.blocks import exact_groups
 from dwellrank.llm.jaccard import jaccard_components
 
@@ -27,6 +30,23 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def _remainder(divisor: int):
+    """crc32 of the doc_id as text, modulo ``divisor``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(divisor))
+
+
+@query("op1_quality_nbsvm")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    model = classifier.fit(docs, _table(spark, sf, "labels").where(_remainder(3) != 1))
+    return classifier.score(docs, model).select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op2_bpe_codec")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 @query(
     "op5_block_naming",
     """
@@ -62,3 +82,8 @@ from r left join n on n.doc_id = r.doc_id group by r.doc_id
 )
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_components(_table(spark, sf, "documents"))
+
+
+@query("op7_pfair_mixing")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixed_order(_table(spark, sf, "documents"))
