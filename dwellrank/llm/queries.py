@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellrank.llm import bpe, classifier, mixing
+from dwellrank.llm import bpe, classifier, mixing, transducer
 from dwellrank.llm.blocks import exact_groups
 from dwellrank.llm.jaccard import jaccard_components
 
@@ -87,3 +87,8 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_pfair_mixing")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixed_order(_table(spark, sf, "documents"))
+
+
+@query("op10_token_transducer")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return transducer.token_counts(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
