@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellrank.llm import bpe, classifier, mixing, transducer
+from dwellrank.llm import bpe, classifier, mixing, transducer, warc
 from dwellrank.llm.blocks import exact_groups
+from dwellrank.llm.common import shared_path
 from dwellrank.llm.jaccard import jaccard_components
+from dwellrank.llm.neardup_vectors import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,7 +72,7 @@ with recursive d as (
   from documents),
 s as (
   select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-    else list_transform(range(1, len(w) - 3), i -> array_to_string(w[i : i + 4], ' ')) end)) as shingle
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end)) as shingle
   from d),
 n as (select doc_id, count(*) as n from s group by doc_id),
 o as (select a.doc_id as x, b.doc_id as y, count(*) as o from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2),
@@ -92,3 +94,41 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_token_transducer")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return transducer.token_counts(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query(
+    "op3_warc_dictionary",
+    """
+with p as (
+  select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest,
+         min(page_id) over (partition by coalesce(html, '')) as first from pages)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and first < page_id then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and first < page_id then first end as refers_to
+from p
+""",
+)
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_archives(_table(spark, sf, "pages"), path)
+    return warc.read_archives(spark, path).drop("url")
+
+
+@query(
+    "op8_vector_dedup",
+    """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (
+  select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.93),
+r as (select vec_id, vec_id as reached from embeddings union select r.vec_id, l.y from r join l on l.x = r.reached),
+n as (select x, count(*) as n from l group by x)
+select r.vec_id, coalesce(any_value(n.n), 0) as n_links, min(reached) as component_id, min(reached) = r.vec_id as kept
+from r left join n on n.x = r.vec_id group by r.vec_id
+""",
+)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf, "embeddings"))
