@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellrank.llm import bpe, classifier, mixing, transducer, warc
+from dwellrank.llm import bpe, classifier, mixing, transducer, warc, wrappers
 from dwellrank.llm.blocks import exact_groups
 from dwellrank.llm.common import shared_path
 from dwellrank.llm.jaccard import jaccard_components
@@ -132,3 +132,8 @@ from r left join n on n.x = r.vec_id group by r.vec_id
 )
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "embeddings"))
+
+
+@query("op4_wrapper_text")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return wrappers.extract(_table(spark, sf, "pages"))
