@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from typing import Any, Protocol
 
 import numpy as np
@@ -22,10 +21,9 @@ from dwellrank.functions.reading import heuristic_words
 from dwellrank.functions.scores import first_argmax
 from dwellrank.functions.text import words
 
-# Prefixes the passage/query encoder expects, default limits and number formats.
+# Prefixes the passage/query encoder expects and default limits.
 PASSAGE_PREFIX, QUERY_PREFIX = "passage: ", "query: "
 PASSAGE_TOKENS, QUERY_TOKENS = 512, 128
-DTYPES = {"float16": "float16", "fp16": "float16", "bfloat16": "bfloat16", "bf16": "bfloat16", "float32": "float32", "fp32": "float32"}
 
 
 class TokenEncoder(Protocol):
@@ -52,53 +50,6 @@ class ReadingTimeModel(Protocol):
     def predict(self, text: str) -> tuple[list[str], np.ndarray]: ...
 
 
-def resolve_dtype(name: str) -> str:
-    """Number format by name; "auto" stays."""
-    if name == "auto":
-        return name
-    if name not in DTYPES:
-        raise ValueError(f"unsupported dtype: {name}")
-    return DTYPES[name]
-
-
-@dataclass(frozen=True)
-class DeviceStatus:
-    cuda: bool = False
-    mps_built: bool = False
-    mps_available: bool = False
-    mps_usable: bool = False
-    mps_error: str | None = None
-
-
-def device_status() -> DeviceStatus:
-    """What the worker's torch can use; nothing without torch."""
-    try:
-        import torch
-    except ImportError:
-        return DeviceStatus()
-    mps = getattr(torch.backends, "mps", None)
-    built, available = bool(mps and mps.is_built()), bool(mps and mps.is_available())
-    error = None
-    if built or available:
-        try:
-            torch.empty(1, device="mps")
-        except Exception as failure:  # any allocation failure means it cannot be used
-            error = str(failure)
-    return DeviceStatus(bool(torch.cuda.is_available()), built, available, available and error is None, error)
-
-
-def resolve_device(device: str, status: DeviceStatus | None = None) -> str:
-    """"auto" takes the best usable device; an unusable requested one is an error."""
-    found, wanted = status or device_status(), device.lower()
-    if wanted == "auto":
-        return "cuda" if found.cuda else "mps" if found.mps_usable else "cpu"
-    if wanted == "cuda" and not found.cuda:
-        raise RuntimeError("CUDA was requested but is not available")
-    if wanted == "mps" and not found.mps_usable:
-        raise RuntimeError(f"MPS was requested but cannot be used: {found.mps_error}")
-    return wanted
-
-
 _loaded: dict[bytes, Any] = {}
 
 
@@ -146,12 +97,6 @@ def query_encoding(loader: Callable[[], TokenEncoder], text: Column, max_length:
     return encode(text)
 
 
-def masked_mean(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Mean of the unmasked token vectors."""
-    weights = mask.astype(hidden.dtype)[..., None]
-    return (hidden * weights).sum(axis=-2) / np.maximum(weights.sum(axis=-2), 1)
-
-
 def generated_text(loader: Callable[[], Generator], prompt: Column, max_new_tokens: int = 8, temperature: float = 0.0) -> Column:
     """Answer text by a plugged-in model (M5)."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dwellrank.functions.conditions import HYBRID_HEAD, POOL_MAXSIM, RERANK_HEAD, RERANK_TAIL
 from dwellrank.functions.text import span_words_to_chars, word_spans
+from dwellrank.operators.ordering import last_per_key
 
 FLAGS = ("any_overlap", "any_full", "all_full")
 
@@ -52,7 +53,7 @@ def resolve_intervals(evidence: DataFrame, records: DataFrame, strict: bool = Tr
 
     Taken from the evidence itself, else from the embedding record of the same
     condition; composite conditions then try the reader's actual_gaze record
-    and the text record.
+    and the text record. Of records with one key the last counts (O7).
     """
     def lookup(suffix: str, condition: Column, with_reader: bool, rows: DataFrame) -> DataFrame:
         right = rows.select(
@@ -74,6 +75,7 @@ def resolve_intervals(evidence: DataFrame, records: DataFrame, strict: bool = Tr
         ),
     )
     composite = is_composite_condition(F.col("condition"))
+    records = last_per_key(records, ["condition", "example_id", "reader_id", "chunk_id"])
     wanted = [
         ("own", F.col("condition"), True, records),
         ("gaze", F.when(composite, F.lit("actual_gaze")), True, records.where(F.col("condition") == "actual_gaze")),
@@ -100,7 +102,7 @@ def span_coverage(evidence: DataFrame, gold: DataFrame, cutoffs: list[int]) -> D
     results = evidence.groupBy("condition", "example_id", "reader_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "interval"))).alias("_ranked")
     )
-    joined = results.join(gold, "example_id", "left")
+    joined = results.join(last_per_key(gold, ["example_id"]), "example_id", "left")
     joined = joined.withColumn(
         "level",
         F.when(F.col("a_spans").isNotNull(), F.col("level")).otherwise(

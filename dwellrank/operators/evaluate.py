@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dwellrank.functions.conditions import BARE_MODEL, GAIN_CONDITIONS
 from dwellrank.functions.scores import jaccard, nan
+from dwellrank.operators.ordering import last_per_key
 
 
 def correctness() -> Column:
@@ -167,7 +168,8 @@ def gain_rows(
 
     The text partner is looked up without a reader first, then with the reader:
     the reverse of the paired statistics. The last prediction per key counts
-    before unscored ones are dropped. Statistics columns replace equal names.
+    before unscored ones are dropped, and so does the last result and the last
+    statistics row. Statistics columns replace equal names.
     """
     keys = ["example_id", "reader_id"]
     latest = last_wins(
@@ -185,11 +187,13 @@ def gain_rows(
         .withColumn("text_correct", F.coalesce("_without", "_with")["correct"])
         .where(F.col("treatment_correct").isNotNull() & F.col("text_correct").isNotNull())
     )
+    results = last_per_key(results, ["condition", *keys])
     own = results.select(
         F.col("condition").alias("_c"), F.col("example_id").alias("_e"), F.col("reader_id").alias("_r"),
         F.col("chunks").alias("_own"),
     )
-    text_results = results.where(F.col("condition") == "text").select("example_id", F.col("chunks").alias("_text"))
+    text_results = last_per_key(results.where(F.col("condition") == "text").drop("reader_id"), ["example_id"])
+    text_results = text_results.select("example_id", F.col("chunks").alias("_text"))
     rows = (
         rows.join(
             own,
@@ -208,7 +212,7 @@ def gain_rows(
     if statistics is None:
         return rows
     extra = [c for c in statistics.columns if c not in keys]
-    right = statistics.select(
+    right = last_per_key(statistics, keys).select(
         F.col("example_id").cast("string").alias("_e"), F.col("reader_id").alias("_r"),
         *[F.col(c).alias(f"_s_{c}") for c in extra], F.lit(True).alias("_hit"),
     )

@@ -52,3 +52,14 @@ def top_share_sum(df: DataFrame, keys: list[str], value: str, top_percent: float
     return sums.select(
         *keys, F.when(F.col("_taken") == F.col("_k"), F.col("concentration")).otherwise(missed).alias("concentration")
     )
+
+
+def last_per_key(df: DataFrame, keys: list[str], ordinals: tuple[str, ...] = ("src_ordinal", "example_ordinal")) -> DataFrame:
+    """One row per key, as a dictionary filled in source order keeps it (W9, O7): the last by the first of ``ordinals`` that ``df`` has.
+
+    Without any the largest row counts, so that the choice does not depend on how rows are spread.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    by = next((F.col(c) for c in ordinals if c in df.columns), F.struct(*rest))
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("_last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in df.columns])

@@ -19,14 +19,12 @@ def _choices():
 
 def _asked(spark, sf):
     """Every document with a question and four choices."""
-    d = D.table(spark, sf, "documents")
-    b = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("_b"), F.col("text").alias("question"))
-    return d.withColumn("_b", F.col("doc_id") % D.BENCHMARK_ITEMS).join(b, "_b").withColumn("choices", _choices())
+    return D.with_questions(D.table(spark, sf, "documents"), spark, sf).withColumn("choices", _choices())
 
 
 ASKED = """
 a as (select d.*, trim(b.text) as question, 'A. ' || lang || ' text' || chr(10) || 'B. ' || source || chr(10) || 'C. neither' || chr(10) || 'D. both' as block,
-      regexp_replace(regexp_replace(d.text, '\\s+$', ''), '^\\s+', '') as body from documents d join benchmark b on b.item_id = d.doc_id % 40),
+      regexp_replace(regexp_replace(d.text, '\\s+$', ''), '^\\s+', '') as body from documents d join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark)),
 pm as (select *, 'Answer the multiple-choice question using only the retrieved evidence.' || chr(10) || 'Return exactly one choice label.' || chr(10) || chr(10) || 'Question:' || chr(10) || question
   || chr(10) || chr(10) || 'Choices:' || chr(10) || block || chr(10) || chr(10) || 'Retrieved evidence:' || chr(10)
   || case when doc_id % 4 = 0 then 'No retrieved evidence.' else '[Evidence 1]' || chr(10) || body || chr(10) || chr(10) || '[Evidence 2]' || chr(10) || source end

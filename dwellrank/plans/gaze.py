@@ -180,33 +180,31 @@ def _encoded(spark, sf):
     return B.encode_texts(D.paragraphs(spark, sf).where(F.col("paragraph_text").rlike(r"\S")), "fixed_words", 40)
 
 
-def _summary(embeddings):
-    """Enough of every vector to notice a change: one row per chunk."""
-    v = F.transform("vec", lambda x: x.cast("double"))
-    return embeddings.select(
-        "embedding_id", "chunk_id", "char_start", "char_end",
-        let(v, lambda x: F.aggregate(F.transform(x, lambda y: y * y), F.lit(0.0), lambda a, y: a + y)).alias("squared"))
+def _entries(embeddings):
+    """Every entry of every vector, one row each."""
+    return embeddings.select("embedding_id", "chunk_id", F.posexplode("vec").alias("d", "x")).select(
+        "embedding_id", "chunk_id", big(F.col("d")).alias("d"), F.round(F.col("x").cast("double"), 4).alias("x"))
 
 
 @query("V8_gaze_attention")
 def gaze_attention(spark, sf):
     """Chunk vectors under every reader's attention, whole documents (checked against dense numpy in the tests)."""
-    return _summary(B.embed(_encoded(spark, sf), _reading_rows(spark, sf), ["actual_gaze"], 32))
+    return _entries(B.embed(_encoded(spark, sf), _reading_rows(spark, sf), ["actual_gaze"], 32))
 
 
 @query("V11_mean_gaze_view")
 def mean_view(spark, sf):
-    return _summary(B.embed(_encoded(spark, sf), _reading_rows(spark, sf), ["mean_gaze"], 32))
+    return _entries(B.embed(_encoded(spark, sf), _reading_rows(spark, sf), ["mean_gaze"], 32))
 
 
 @query("V12_skip_view")
 def skip_view(spark, sf):
-    return _summary(B.embed(_encoded(spark, sf), _reading_rows(spark, sf), ["actual_skip_hard"], 32))
+    return _entries(B.embed(_encoded(spark, sf), _reading_rows(spark, sf), ["actual_skip_hard"], 32))
 
 
 @query("V13_predicted_view")
 def predicted_view(spark, sf):
-    return _summary(B.embed(_encoded(spark, sf), None, ["predicted_trt_gaze"], 32))
+    return _entries(B.embed(_encoded(spark, sf), None, ["predicted_trt_gaze"], 32))
 
 
 @query("V10_text_view", "with" + WORDS + r"""
@@ -214,19 +212,18 @@ raw as (select w, list_transform(range(32), lambda i: ('0x' || substring(sha256(
 hv as (select w, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) v from raw),
 dims as (select doc_id, word_pos // 40 as c, v, unnest(range(32)) d from words join hv on hv.w = lower(word)),
 su as (select doc_id, c, d, sum(v[d + 1]) s from dims group by 1, 2, 3),
-nn as (select doc_id, c, sqrt(sum(s * s)) l, max(s) filter (d = 0) s0, max(s) filter (d = 31) s31 from su group by 1, 2)
-select doc_id || '::text::none::p' || doc_id || ':chunk=' || c as embedding_id, round(s0 / l, 4) as first, round(s31 / l, 4) as last from nn""")
+nn as (select doc_id, c, sqrt(sum(s * s)) l from su group by 1, 2)
+select doc_id || '::text::none::p' || doc_id || ':chunk=' || c as embedding_id, 'p' || doc_id || ':chunk=' || c as chunk_id, d::bigint as d, round(s / l, 4) as x
+from su join nn using (doc_id, c)""")
 def text_view(spark, sf):
-    e = B.embed(_encoded(spark, sf), None, ["text"], 32)
-    return e.select("embedding_id", F.round(F.col("vec")[0].cast("double"), 4).alias("first"), F.round(F.col("vec")[31].cast("double"), 4).alias("last"))
+    return _entries(B.embed(_encoded(spark, sf), None, ["text"], 32))
 
 
 @query("E3_text_evidence")
 def text_evidence(spark, sf):
     """Documents and benchmark questions to ranked evidence with the hash encoder, whole texts."""
     p = D.paragraphs(spark, sf).where(F.col("paragraph_text").rlike(r"\S"))
-    b = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("_b"), F.col("text").alias("question"))
-    asked = p.withColumn("_b", F.col("doc_id") % D.BENCHMARK_ITEMS).join(b, "_b")
+    asked = D.with_questions(p, spark, sf)
     vectors = B.embed(_encoded(spark, sf), None, ["text"], 128)
     ranked = R.retrieve_base(R.score_chunks(vectors, B.query_vectors(asked, 128)), 3, digits=6)
     return ranked.select("example_id", big(F.col("rank")).alias("rank"), "chunk_id", F.round("score", 4).alias("score"))

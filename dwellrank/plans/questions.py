@@ -52,7 +52,7 @@ select 'local:' || (doc_id % 4) || '_' || doc_id || ':' || (doc_id % 5 + 1) || '
        'batch=' || (doc_id % 4) || '|article=' || doc_id || '|paragraph=' || (doc_id % 5 + 1) || '|level=' || lvl || '|question=' || q as paragraph_id,
        md5(d.text) as text_md5, 'Q' || q || ': ' || b.text as question, lang || '|' || source || '|neither|both' as choices,
        0::bigint as answer_index, source as article_title
-from documents d join benchmark b on b.item_id = d.doc_id % 40, lv, qs where not (lvl = 'Ele' and doc_id % 7 = 0) and length(d.text) > 0""")
+from documents d join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark), lv, qs where not (lvl = 'Ele' and doc_id % 7 = 0) and length(d.text) > 0""")
 def nested_questions(spark, sf):
     qa = Q.qa_from_articles(D.articles(spark, sf))
     return qa.select("example_id", "paragraph_id", F.md5("paragraph_text").alias("text_md5"), "question",

@@ -84,7 +84,7 @@ phv as (select w, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))
 cd as (select doc_id, idx, v, unnest(range(32)) d from cw join phv on phv.w = lower(cw.w)),
 cs2 as (select doc_id, idx, d, sum(v[d + 1]) x from cd group by 1, 2, 3),
 cv as (select doc_id, idx, list(x order by d) v from cs2 group by 1, 2),
-qsc as (select doc_id, idx, list_dot_product(cv.v, qv.v) / sqrt(list_dot_product(cv.v, cv.v)) / sqrt(list_dot_product(qv.v, qv.v)) as s from cv join qv on qv.item_id = doc_id % 40),
+qsc as (select doc_id, idx, list_dot_product(cv.v, qv.v) / sqrt(list_dot_product(cv.v, cv.v)) / sqrt(list_dot_product(qv.v, qv.v)) as s from cv join qv on qv.item_id = doc_id % (select count(*) from benchmark)),
 """
 
 
@@ -172,7 +172,7 @@ def subset_rows(spark, sf):
 @query("T14_reward_prompts", """
 select d.doc_id, md5('You are answering a retrieval-augmented question using only the provided references.' || chr(10) || chr(10) || regexp_replace(regexp_replace(d.text, '\\s+$', ''), '^\\s+', '')
   || chr(10) || chr(10) || 'Question:' || chr(10) || trim(b.text) || chr(10) || chr(10) || 'Answer:' || chr(10)) as prompt_md5
-from documents d join benchmark b on b.item_id = d.doc_id % 40""")
+from documents d join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark)""")
 def reward_prompts(spark, sf):
     r = D.reward_rows(spark, sf)
     return r.select(F.col("row_index").alias("doc_id"), F.md5(reward_prompt(F.col("prompt"), F.col("question"))).alias("prompt_md5"))
@@ -216,7 +216,7 @@ def exact_median(spark, sf):
 LOGPROBS = r"""
 pr as (select d.doc_id, case d.doc_id % 3 when 1 then 'row' || d.doc_id else d.doc_id::varchar end as row_id, lang, source,
    sha256('You are answering a retrieval-augmented question using only the provided references.' || chr(10) || chr(10) || regexp_replace(regexp_replace(d.text, '\s+$', ''), '^\s+', '')
-   || chr(10) || chr(10) || 'Question:' || chr(10) || trim(b.text) || chr(10) || chr(10) || 'Answer:' || chr(10)) as pkey from documents d join benchmark b on b.item_id = d.doc_id % 40 where regexp_matches(d.text, '\S')),
+   || chr(10) || chr(10) || 'Question:' || chr(10) || trim(b.text) || chr(10) || chr(10) || 'Answer:' || chr(10)) as pkey from documents d join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark) where regexp_matches(d.text, '\S')),
 op as (select doc_id, row_id, pkey, 'chosen' as which, regexp_extract_all('It is ' || lang || ' from ' || source, '\S+') ws from pr
    union all select doc_id, row_id, pkey, 'reject', regexp_extract_all('No ' || source || ' here', '\S+') from pr),
 tk as (select doc_id, row_id, which, pkey, unnest(ws) w, generate_subscripts(ws, 1) - 1 as i from op),

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from dwellrank import schemas
+from dwellrank import config, schemas
 from dwellrank.functions import conditions as names
 from dwellrank.functions.models import standin_log_probs
 from dwellrank.functions.scores import FULL_CONTEXT
@@ -272,3 +272,8 @@ def run_all(
     if coverage:
         report["coverage"] = cover_spans(spark, out, qa_path, ["text", "actual_gaze"], [1, top_k])
     return report
+
+
+def run_configured(spark: SparkSession, path: str, **more) -> dict:
+    """All stages with the settings of a YAML file (S20); ``more`` overrides or adds arguments."""
+    return run_all(spark, **(config.run_arguments(config.read_settings(path)) | more))

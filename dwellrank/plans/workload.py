@@ -12,9 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from dwellrank.functions.arrays import explode_rows
 from dwellrank.functions.text import piece_spans, word_spans
 from dwellrank.schemas import CHOICE_SHUFFLE
-from dwellrank.session import spread
-
-BENCHMARK_ITEMS = 40  # ids 0..39 exist at every scale
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,8 +19,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents, dealt out when the file is a single split: texts are costly per row."""
-    return spread(table(spark, sf, "documents"))
+    return table(spark, sf, "documents")
+
+
+def with_questions(docs: DataFrame, spark: SparkSession, sf: str, name: str = "question") -> DataFrame:
+    """Each document with one benchmark passage; the passages, numbered from 0, take turns over all documents."""
+    passages = table(spark, sf, "benchmark")
+    b = passages.select(F.col("item_id").alias("_b"), F.col("text").alias(name))
+    return docs.withColumn("_b", F.col("doc_id") % max(1, passages.count())).join(b, "_b")
 
 
 def text(c: Column) -> Column:
@@ -152,9 +155,7 @@ def alignment_gaze(spark: SparkSession, sf: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     """One nested article per document: two levels, two questions, word-index gold spans."""
-    d = documents(spark, sf)
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("_b"), F.col("text").alias("q_text"))
-    d = d.withColumn("_b", F.col("doc_id") % BENCHMARK_ITEMS).join(b, "_b")
+    d = with_questions(documents(spark, sf), spark, sf, "q_text")
     n = F.size(F.regexp_extract_all(F.col("text"), F.lit(r"\S+"), F.lit(0)))
     pair = lambda a, z: F.array(a.cast("int"), z.cast("int"))
     last = n - 1
@@ -248,10 +249,8 @@ def predictions_of(o: DataFrame) -> DataFrame:
 
 def reward_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as contexts with a benchmark passage as question and two responses."""
-    d = documents(spark, sf)
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("_b"), F.col("text").alias("question"))
     k = F.col("doc_id")
-    return d.withColumn("_b", k % BENCHMARK_ITEMS).join(b, "_b").select(
+    return with_questions(documents(spark, sf), spark, sf).select(
         F.when(k % 3 == 0, F.lit("")).when(k % 3 == 1, F.concat(F.lit("row"), k)).alias("id"),
         k.alias("row_index"), F.col("text").alias("prompt"), "question",
         F.concat(F.lit("It is "), "lang", F.lit(" from "), "source").alias("chosen"),

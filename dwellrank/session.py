@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app_name: str = "dwellrank", cores: str = "*", shuffle_partitions: int | None = None) -> SparkSession:
@@ -31,32 +31,13 @@ def build_session(app_name: str = "dwellrank", cores: str = "*", shuffle_partiti
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder for a written intermediate.
+    """A new folder for a written intermediate, in the folder that ``spark.checkpoint.dir`` names (one that every executor sees).
 
-    It lies under ``spark.checkpoint.dir`` when the cluster names one (a folder
-    every executor sees). Only where that is unset, as in local tests, a
-    temporary folder is used.
+    Only a local master may leave that setting out, as in tests; a temporary folder is used then.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    name = f"dwellrank-{purpose}-{uuid.uuid4().hex}"
-    if root:
-        return f"{root.rstrip('/')}/{name}"
-    return os.path.join(tempfile.mkdtemp(prefix="dwellrank-"), name)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deals rows out when a scan has fewer splits than the session has cores.
-
-    A small file is one split, so costly per-row work on it would run on one
-    core. Data of any size has more splits than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def reliable_checkpoint(df, purpose: str):
-    """Cut the lineage of ``df`` with a checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession, purpose))
-    return df.checkpoint()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="dwellrank-")
+    return f"{root.rstrip('/')}/dwellrank-{purpose}-{uuid.uuid4().hex}"

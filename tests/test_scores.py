@@ -152,18 +152,6 @@ def test_plugged_in_models(spark):
     assert np.allclose(got["q"], [0.6, 0.8]) and got["p"]["tokens"] == ["passage:", "q"] and got["g"] == "B" and got["l"] == [-1, -1]
 
 
-def test_devices_and_dtypes():
-    status = M.DeviceStatus()
-    assert M.resolve_device("auto", status) == "cpu" and M.resolve_device("auto", M.DeviceStatus(cuda=True)) == "cuda"
-    for name in ("cuda", "mps"):
-        with pytest.raises(RuntimeError):
-            M.resolve_device(name, status)
-    assert M.resolve_dtype("bf16") == "bfloat16" and M.resolve_dtype("auto") == "auto"
-    with pytest.raises(ValueError):
-        M.resolve_dtype("int8")
-    assert np.allclose(M.masked_mean(np.array([[1.0, 1], [3, 3], [9, 9]]), np.array([1, 1, 0])), [2, 2])
-
-
 def test_row_ids(one):
     assert [one(W.row_id(F.lit(v).cast("string"), F.lit(3))) for v in ("abc", "", None)] == ["abc", "3", "3"]
     assert one(W.prediction_id(F.lit("r"), F.lit("c"), F.lit(None).cast("int"))) == "r::c::budget=full"

@@ -228,11 +228,29 @@ def test_missing_question(spark):
 
 def test_settings(tmp_path):
     (tmp_path / "c.yaml").write_text("seed: 7\nretrieval: {top_k: 9}\npaths: {artifacts_dir: out}\n")
-    found = config.load_settings(tmp_path / "c.yaml")
-    assert (found.seed, found.retrieval.top_k, str(found.paths.artifacts_dir), found.chunking.max_words) == (7, 9, "out", 80)
-    with pytest.raises(TypeError):
-        config.settings_from({"data": {"unknown": 1}})
-    assert config.under_root(tmp_path, found.paths.artifacts_dir) == tmp_path / "out"
+    found = config.read_settings(tmp_path / "c.yaml")
+    assert (found["seed"], found["retrieval.top_k"], found["paths.artifacts_dir"], found["chunking.max_words"]) == (7, 9, "out", 80)
+    with pytest.raises(ValueError):
+        config.settings({"data": {"unknown": 1}})
+    arguments = config.run_arguments(found)
+    assert (arguments["top_k"], arguments["out"], arguments["max_examples"]) == (9, "out", None)
+
+
+def test_run_with_settings(tmp_path, monkeypatch):
+    from dwellrank.plans import stages
+
+    (tmp_path / "c.yaml").write_text("retrieval: {top_k: 4}\n")
+    monkeypatch.setattr(stages, "run_all", lambda spark, **given: given)
+    given = stages.run_configured(None, tmp_path / "c.yaml", out="elsewhere", dim=16)
+    assert (given["top_k"], given["out"], given["dim"]) == (4, "elsewhere", 16)
+
+
+def test_repeated_keys_keep_the_last(spark):
+    questions = spark.createDataFrame(
+        [("a", "first", ["x"], 0, None, 1), ("a", "last", ["y"], 1, None, 2), ("b", "only", ["z"], 0, None, 0)],
+        "example_id string, question string, choices array<string>, answer_index int, s string, example_ordinal int",
+    ).selectExpr("*", "named_struct('choice_shuffle', cast(null as struct<enabled:boolean,seed:bigint,order:array<int>,original_answer_index:int,original_choices:array<string>>)) as metadata")
+    assert sorted((r["example_id"], r["question"]) for r in IN.questions_by_id(questions).collect()) == [("a", "last"), ("b", "only")]
 
 
 def test_first_questions(spark):
