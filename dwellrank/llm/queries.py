@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellrank.llm import bpe, classifier, mixing, transducer, warc, wrappers
+from dwellrank.llm import bpe, classifier, language_model, mixing, transducer, warc, wrappers
 from dwellrank.llm.blocks import exact_groups
 from dwellrank.llm.common import shared_path
 from dwellrank.llm.jaccard import jaccard_components
@@ -137,3 +137,8 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_wrapper_text")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return wrappers.extract(_table(spark, sf, "pages"))
+
+
+@query("op9_context_mixing")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return language_model.score_texts(_table(spark, sf, "documents"), _remainder(10) == 0)
