@@ -129,11 +129,13 @@ def _word_ids(text: str, kind: str, known: dict[str, int]) -> np.ndarray:
 
 
 def chunk_vectors(tokens: Column, token_starts: Column, weights: Column, chunk_starts: Column, chunk_ends: Column,
-                  dim: int, encode: Callable | None = None) -> Column:
+                  dim: int, encode: Callable | None = None, hidden: Column | None = None) -> Column:
     """array<array<float>>: one vector per chunk of one text under one weighting.
 
     Null weights give the plain text view (V10). One row is one (text,
-    weighting), so the readers of one text are independent rows.
+    weighting), so the readers of one text are independent rows. ``hidden``
+    holds a plugged-in model's vector of every token (M1); without it tokens
+    are encoded here.
     """
     rows_of = encode or encoder_rows(dim)
 
@@ -142,9 +144,11 @@ def chunk_vectors(tokens: Column, token_starts: Column, weights: Column, chunk_s
         last, cached = None, None
         for batch in batches:
             out = []
-            for words, starts, weight, a, b in zip(*batch):
+            for words, starts, weight, a, b, *given in zip(*batch):
                 words = list(words)
-                if words != last:
+                if given:
+                    cached = np.array([np.asarray(v, np.float64) for v in given[0]]), np.arange(len(words))
+                elif words != last:
                     last, cached = words, rows_of(words)
                 rows, inverse = cached
                 starts = np.asarray(starts)
@@ -160,7 +164,7 @@ def chunk_vectors(tokens: Column, token_starts: Column, weights: Column, chunk_s
                 out.append(list(pool_chunks(blocks, firsts, pasts, rows.shape[1]).astype(np.float32)))
             yield pd.Series(out)
 
-    return vectors(tokens, token_starts, weights, chunk_starts, chunk_ends)
+    return vectors(tokens, token_starts, weights, chunk_starts, chunk_ends, *([] if hidden is None else [hidden]))
 
 
 def reader_weights(tokens: Column, token_starts: Column, word: Column, trt: Column, n: Column, inspected: Column,

@@ -9,6 +9,8 @@ from dwellrank.operators import answer as N
 from dwellrank.plans import workload as D
 from dwellrank.plans.corpora import big, r6
 from dwellrank.plans.registry import query
+from dwellrank.session import shared_dir
+from dwellrank.sources import artifacts as IN, writers as OUT
 
 CHOICES = "lang || ' text', source, 'neither', 'both'"
 
@@ -145,8 +147,12 @@ def evidence_texts(spark, sf):
 select conv_id, turn, case when turn % 2 = 0 then md5(text) else md5('') end as prompt_md5 from conversations""")
 def prediction_defaults(spark, sf):
     c = D.table(spark, sf, "conversations")
-    line = F.to_json(F.struct(F.when(F.col("turn") % 2 == 0, F.col("text")).alias("prompt")))
-    return c.select("conv_id", "turn", F.md5(F.coalesce(F.from_json(line, "prompt string")["prompt"], F.lit(""))).alias("prompt_md5"))
+    path = shared_dir(spark, "predictions")
+    OUT.write_jsonl(c.select(
+        D.text(F.col("conv_id")).alias("example_id"), D.text(F.col("turn")).alias("reader_id"), F.lit("text").alias("condition"),
+        F.when(F.col("turn") % 2 == 0, F.col("text")).alias("prompt")), path)
+    back = IN.read_predictions(spark, path)
+    return back.select(F.col("example_id").cast("bigint").alias("conv_id"), F.col("reader_id").cast("bigint").alias("turn"), F.md5("prompt").alias("prompt_md5"))
 
 
 @query("T16_json_round_trip", "select conv_id, turn, role, md5(text) as text_md5 from conversations")

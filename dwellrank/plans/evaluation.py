@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dwellrank.operators import answer as N, evaluate as E
+from dwellrank.operators.ordering import position_in_group
 from dwellrank.plans import workload as D
 from dwellrank.plans.corpora import big, r6
 from dwellrank.plans.registry import query
@@ -129,8 +130,7 @@ def distinct_conditions(spark, sf):
 a as (select condition, reader_id, count(*) n from p where gold_index is not null group by 1, 2)
 select condition, reader_id, (row_number() over (order by condition, reader_id nulls first))::bigint as position from a""")
 def report_order(spark, sf):
-    from pyspark.sql import Window
-
-    a = E.accuracy_by_group(D.predictions(spark, sf))
-    order = Window.orderBy("condition", F.col("reader_id").asc_nulls_first())
-    return a.select("condition", "reader_id", big(F.row_number().over(order)).alias("position"))
+    a = E.accuracy_by_group(D.predictions(spark, sf)).select("condition", "reader_id")
+    bucket = F.struct("condition", F.substring(F.coalesce("reader_id", F.lit("")), 1, 2))
+    placed = position_in_group(a, [], bucket, ["condition", F.col("reader_id").asc_nulls_first()], "position")
+    return placed.select("condition", "reader_id", (F.col("position") + 1).alias("position"))

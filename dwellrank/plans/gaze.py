@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dwellrank.functions import scores as S
-from dwellrank.functions.arrays import explode_rows, let
+from dwellrank.functions.arrays import explode_rows
 from dwellrank.functions.text import overlapping_tokens
 from dwellrank.operators import embed as B, retrieve as R, tokens as T
 from dwellrank.operators.ordering import top_share_sum
 from dwellrank.plans import workload as D
 from dwellrank.plans.corpora import WORDS, big, r6
 from dwellrank.plans.registry import query
+from dwellrank.session import shared_dir
+from dwellrank.sources import writers as OUT
 
 # tokens are pieces of at most four characters of a word; two readers read every word
 PIECES = WORDS + r"""
@@ -213,12 +215,54 @@ hv as (select w, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) v
 dims as (select doc_id, word_pos // 40 as c, v, unnest(range(32)) d from words join hv on hv.w = lower(word)),
 su as (select doc_id, c, d, sum(v[d + 1]) s from dims group by 1, 2, 3),
 nn as (select doc_id, c, sqrt(sum(s * s)) l from su group by 1, 2)
-select doc_id || '::text::none::p' || doc_id || ':chunk=' || c as embedding_id, 'p' || doc_id || ':chunk=' || c as chunk_id, d::bigint as d, round(s / l, 4) as x
+select doc_id || '::text::none::p' || doc_id || ':chunk=' || c as embedding_id, 'p' || doc_id || ':chunk=' || c as chunk_id, d::bigint as d, round((s / l)::float::double, 4) as x
 from su join nn using (doc_id, c)""")
 def text_view(spark, sf):
     return _entries(B.embed(_encoded(spark, sf), None, ["text"], 32))
 
 
+class PieceEncoder:
+    """Stands in for a model with sub-word tokens: pieces of at most four characters, each with its digest's bytes as vector."""
+
+    def encode_passage(self, text, max_length):
+        import hashlib
+        import re
+
+        import numpy as np
+
+        spans = [(w.start() + i, min(w.start() + i + 4, w.end())) for w in re.finditer(r"\S+", text) for i in range(0, w.end() - w.start(), 4)]
+        tokens = [text[a:b] for a, b in spans]
+        hidden = np.array([list(hashlib.sha256(t.lower().encode()).digest()) for t in tokens], np.float32)
+        return {"tokens": tokens, "offsets": spans, "hidden": hidden}
+
+
+PLUGGED = r"""
+pieces as (select doc_id, word_pos // 40 as c, unnest(list_transform(range((length(word) + 3) // 4), lambda i: substring(word, 4 * i + 1, 4))) as piece from words),
+hv as (select w, list_transform(range(32), lambda i: ('0x' || substring(sha256(w), 2 * i + 1, 2))::int::double) v from (select distinct lower(piece) w from pieces)),
+"""
+
+
+@query("M1_plugged_tokens", "with" + WORDS + PLUGGED + """z as (select 1)
+select doc_id, count(*)::bigint as n_tokens, sum(length(piece))::bigint as n_chars from pieces group by 1""")
+def plugged_tokens(spark, sf):
+    p = D.paragraphs(spark, sf).where(F.col("paragraph_text").rlike(r"\S"))
+    e = B.encode_texts(p, "fixed_words", 40, encoder=PieceEncoder)
+    chars = F.aggregate(F.transform("tokens", lambda t: F.length(t)), F.lit(0), lambda a, x: a + x)
+    return e.select("doc_id", big(F.size("tokens")).alias("n_tokens"), big(chars).alias("n_chars"))
+
+
+@query("E2_plugged_encoder", "with" + WORDS + PLUGGED + """
+dims as (select doc_id, c, v, unnest(range(32)) d from pieces join hv on hv.w = lower(piece)),
+su as (select doc_id, c, d, sum(v[d + 1]) s from dims group by 1, 2, 3),
+nn as (select doc_id, c, sqrt(sum(s * s)) l from su group by 1, 2)
+select doc_id || '::text::none::p' || doc_id || ':chunk=' || c as embedding_id, 'p' || doc_id || ':chunk=' || c as chunk_id, d::bigint as d, round((s / l)::float::double, 4) as x
+from su join nn using (doc_id, c)""")
+def plugged_encoder(spark, sf):
+    p = D.paragraphs(spark, sf).where(F.col("paragraph_text").rlike(r"\S"))
+    encoded = OUT.write_parquet(B.encode_texts(p, "fixed_words", 40, encoder=PieceEncoder), shared_dir(spark, "encoded"))  # as the stage does
+    return _entries(B.embed(encoded, None, ["text"], 32))
+
+
 @query("E3_text_evidence")
 def text_evidence(spark, sf):
     """Documents and benchmark questions to ranked evidence with the hash encoder, whole texts."""

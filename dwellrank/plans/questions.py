@@ -9,6 +9,7 @@ from dwellrank.operators.ordering import position_in_group
 from dwellrank.plans import workload as D
 from dwellrank.plans.corpora import WORDS, big, r6
 from dwellrank.plans.registry import query
+from dwellrank.session import shared_dir
 from dwellrank.sources import gaze as GS, questions as Q, writers as OUT
 
 AREAS = """
@@ -21,10 +22,13 @@ ia as (select event_id, user_id::varchar participant_id, (event_id % 3 + 1)::var
 """
 
 
-@query("S2_pruned_scan", "select event_type as word, count(*)::bigint as n, round(sum(value), 4) as trt from events where value >= 5 group by event_type")
+@query("S2_pruned_scan", """
+select event_type as word, count(*)::bigint as n, round(sum(value), 4) as trt from events where value >= 5 and event_id % 13 <> 0 group by event_type""")
 def pruned_scan(spark, sf):
-    e = D.table(spark, sf, "events").where(F.col("value") >= 5)
-    return e.groupBy(F.col("event_type").alias("word")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("trt"))
+    path = shared_dir(spark, "scan")
+    OUT.write_table_csv(D.interest_areas(spark, sf).drop("event_id"), path)
+    e = GS.read_interest_areas(spark, path, ["IA_LABEL", "IA_DWELL_TIME"]).withColumn("trt", F.col("IA_DWELL_TIME").try_cast("double")).where("trt >= 5")
+    return e.groupBy(F.col("IA_LABEL").alias("word")).agg(F.count("*").alias("n"), F.round(F.sum("trt"), 4).alias("trt"))
 
 
 @query("S3_schema_inspection", """

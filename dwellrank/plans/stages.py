@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from dwellrank import config, schemas
 from dwellrank.functions import conditions as names
-from dwellrank.functions.models import standin_log_probs
+from dwellrank.functions.models import PASSAGE_TOKENS, QUERY_TOKENS, query_encoding, standin_log_probs
 from dwellrank.functions.scores import FULL_CONTEXT
 from dwellrank.operators import align as A, answer as N, coverage as C, embed as E, evaluate as V, gaze_table as G
 from dwellrank.operators import retrieve as R, rewards as W
@@ -66,28 +66,35 @@ def align_inputs(
 def embed_texts(
     spark: SparkSession, out: str, conditions: tuple[str, ...] = names.DEFAULT_EMBEDDED, dim: int = 128,
     strategy: str = "sentence", max_words: int = 80, stride: int = 0, seed: int = 13, max_examples: int | None = None,
-    shuffle: str = "generator", only_matched: bool = True,
+    shuffle: str = "generator", only_matched: bool = True, encoder: Callable | None = None, predictor: Callable | None = None,
+    max_tokens: tuple[int, int] = (PASSAGE_TOKENS, QUERY_TOKENS),
 ) -> dict:
-    """Chunk and question vectors (E2); with conditions=("text",), only_matched=False the text-only run."""
+    """Chunk and question vectors (E2); with conditions=("text",), only_matched=False the text-only run.
+
+    ``encoder`` and ``predictor`` are loaders of a passage/query encoder (M1, M2)
+    and of a reading-time model (M9); without them hashes and word lengths stand in.
+    """
     questions = IN.load_examples(spark.read.parquet(f"{out}/data/questions"))
     aligned = spark.read.parquet(f"{out}/data/aligned") if set(conditions) & set(E.READER_CONDITIONS) or only_matched else None
     if only_matched:
         questions = questions.join(aligned.select("example_id"), "example_id", "left_semi")
         questions = _renumber(questions)
     questions = A.limit_examples(questions, max_examples)
-    encoded = OUT.write_parquet(E.encode_texts(questions, strategy, max_words, stride), f"{out}/embeddings/encoded")
+    encoded = OUT.write_parquet(
+        E.encode_texts(questions, strategy, max_words, stride, encoder, max_tokens[0]), f"{out}/embeddings/encoded")
     rows = E.embed(
         encoded, aligned, conditions, dim, seed, shuffle,
-        cut=lambda df: OUT.write_parquet(df, f"{out}/embeddings/reader_weights"),
+        cut=lambda df: OUT.write_parquet(df, f"{out}/embeddings/reader_weights"), predictor=predictor,
     )
     OUT.write_embeddings(rows, f"{out}/embeddings/chunks")
-    OUT.write_parquet(E.query_vectors(encoded, dim), f"{out}/embeddings/queries")
+    asked = None if encoder is None else lambda q: query_encoding(encoder, q, max_tokens[1])
+    OUT.write_parquet(E.query_vectors(encoded, dim, asked), f"{out}/embeddings/queries")
     counts = {
         r["condition"]: r["records"]
         for r in V.results_per_condition(spark.read.parquet(f"{out}/embeddings/chunks")).collect()
     }
     summary = {
-        "encoder_backend": "hash", "conditions": list(conditions), "aligned_examples": encoded.count(),
+        "encoder_backend": "hash" if encoder is None else "model", "conditions": list(conditions), "aligned_examples": encoded.count(),
         **{f"{c}_embeddings": counts.get(c, 0) for c in names.BASE_CONDITIONS},
         "query_embeddings": spark.read.parquet(f"{out}/embeddings/queries").count(),
     }

@@ -35,7 +35,9 @@ def read_interest_areas(spark: SparkSession, path: str, columns: list[str] | Non
         return _read_zipped(spark, path, columns)
     header = list(spark.read.option("escape", '"').csv(path).first())
     schema = ", ".join(f"`{n}` string" for n in distinct_names(header))
-    df = spark.read.option("header", True).option("escape", '"').schema(schema).csv(path)
+    # every file's header is held against the first one's, unless repeated names had to be changed
+    enforced = distinct_names(header) != header
+    df = spark.read.option("header", True).option("enforceSchema", enforced).option("escape", '"').schema(schema).csv(path)
     order = F.struct(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
@@ -87,6 +89,10 @@ def _read_zipped(spark: SparkSession, path: str, columns: list[str] | None) -> D
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    with archive.open(_member(archive)) as handle:
+                        if list(pd.read_csv(handle, nrows=0).columns) != header:
+                            raise ValueError(f"{file} has other columns than the first archive")
                 with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(_member(archive)) as handle:
                     for part in pd.read_csv(handle, usecols=raw, dtype=str, chunksize=BATCH_ROWS):
                         part = part[raw].set_axis(names, axis=1)
