@@ -174,3 +174,19 @@ def test_contexts(spark):
 def test_report_order(spark):
     df = spark.createDataFrame([("c", 1024, "a"), ("c", 512, "a"), ("c", None, "a")], "condition string, context_budget_tokens int, subset string")
     assert [r[1] for r in df.orderBy(*W.report_order()).collect()] == [1024, 512, None]
+
+
+def test_gain_with_repeated_results(spark):
+    p = predictions(spark, [("a", None, "text", 0, 1), ("a", "r1", "actual_gaze", 1, 1)])
+    rows = [("text", "a", None, ["c9"], 1), ("text", "a", None, ["c1"], 2), ("actual_gaze", "a", "r1", ["c1"], 3), ("actual_gaze", "a", "r1", ["c1", "c2"], 4)]
+    results = spark.createDataFrame(rows, "condition string, example_id string, reader_id string, chunks array<string>, src_ordinal bigint")
+    stats = spark.createDataFrame([("a", "r1", 0.8, 1), ("a", "r1", 0.9, 2)], "example_id string, reader_id string, concentration double, src_ordinal bigint")
+    got = E.gain_rows(p, results, stats.drop("src_ordinal")).collect()
+    assert len(got) == 1 and (got[0]["retrieval_jaccard_vs_text"], got[0]["concentration"]) == (0.5, 0.9)
+
+
+def test_repeated_chunk_records(spark):
+    evidence = spark.createDataFrame([("text", "a", None, "k", 1, None, None)], "condition string, example_id string, reader_id string, chunk_id string, rank int, char_start int, char_end int")
+    records = spark.createDataFrame([("text", "a", None, "k", 0, 4, 1), ("text", "a", None, "k", 5, 9, 2)], "condition string, example_id string, reader_id string, chunk_id string, char_start int, char_end int, src_ordinal bigint")
+    got = C.resolve_intervals(evidence, records).collect()
+    assert len(got) == 1 and tuple(got[0]["interval"]) == (5, 9)
