@@ -17,8 +17,11 @@ from dwellrank.llm.common import components, flat, mixed, shingle_sets, steps, w
 
 #: Sets that a tile holds at most.
 TILE = 256
-#: A shingle in this share of all documents or more comes last in the order. At most average set size / share shingles are that frequent.
+#: A shingle that is found in this share of all documents or more (counting portions where eight or more have it) comes last in the order.
+#: At most average set size / share shingles are that frequent.
 FREQUENT_SHARE = 1 / 1000
+#: Times that each group is compared with some of its sets, before what is left is compared in tiles; one set, and so many for groups of over 64.
+HUB_ROUNDS, HUBS = 1, 4
 
 
 def _sets(texts: pa.Array, width: int):
@@ -29,44 +32,50 @@ def _sets(texts: pa.Array, width: int):
 
 def _identity(s: np.ndarray) -> int:
     """64 bits for the set; sets are compared exactly wherever it matters, so a chance agreement needs equal sizes and sums too."""
-    both = np.array([np.bitwise_xor.reduce(mixed(s + np.uint64(7))), len(s)], np.uint64) * np.array([3, 1], np.uint64)
-    return int(mixed(both.sum(keepdims=True) + mixed(s).sum(keepdims=True)).view(np.int64)[0])
+    both = np.bitwise_xor.reduce(s, keepdims=True) * np.uint64(3) + s.sum(keepdims=True) + np.uint64(len(s))
+    return int(mixed(both).view(np.int64)[0])
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    """A bitmap of as many bits as the set has members, rounded up to a power of two of at least 64."""
-    bits = max(64, 1 << max(0, len(s) - 1).bit_length())
+    """A bitmap of four bits for each member, rounded up to a power of two of at least 256."""
+    bits = max(256, 4 << max(0, len(s) - 1).bit_length())
     mask = np.zeros(bits, bool)
     mask[(s >> np.uint64(17)) & np.uint64(bits - 1)] = True
     return np.packbits(mask, bitorder="little").tobytes()
 
 
 def _summaries(batches, width):
-    """A row per document (identity, size, bitmap), and the shingles that at least eight texts of a batch share, with that count."""
+    """A row per document (identity, size, bitmap), and the shingles that at least eight texts of a portion share, with that count."""
     for batch in batches:
-        ids, sizes, maps, seen = [], [], [], []
-        for _, _, sets in _sets(batch.column(1), width):
-            ids += [_identity(s) if len(s) else None for s in sets]
-            sizes += map(len, sets)
-            maps += [_bitmap(s) if len(s) else None for s in sets]
-            seen += sets
-        n = len(ids)
-        none = pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), none, none],
-            ["doc_id", "id", "n", "bitmap", "shingle", "count"],
-        )
-        h = np.sort(np.concatenate(seen)) if seen else np.zeros(0, np.uint64)
-        if len(h) > 7:
-            head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            count = np.diff(np.r_[head, len(h)])
-            often = count >= 8
-            k = int(often.sum())
-            none = pa.nulls(k, pa.int64())
+        seen: list[np.ndarray] = []
+        ids = batch.column(0)
+        for a, b, sets in _sets(batch.column(1), width):
+            full = [s if len(s) else None for s in sets]
+            none = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, pa.nulls(k, pa.binary()), pa.array(h[head[often]].view(np.int64)), pa.array(count[often], pa.int64())],
-                ["doc_id", "id", "n", "bitmap", "shingle", "count"],
-            )
+                [
+                    ids.slice(a, b - a), pa.array([None if s is None else _identity(s) for s in full], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([None if s is None else _bitmap(s) for s in full], pa.binary()), none, none,
+                ],
+                SUMMARY,
+            )
+            seen += sets
+            if sum(map(len, seen)) > 1 << 20:
+                yield _shared(seen)
+                seen = []
+        yield _shared(seen)
+
+
+SUMMARY = ["doc_id", "id", "n", "bitmap", "shingle", "count"]
+
+
+def _shared(seen: list[np.ndarray]) -> pa.RecordBatch:
+    h = np.sort(np.concatenate(seen)) if seen else np.zeros(0, np.uint64)
+    often = np.flatnonzero(h[7:] == h[:-7]) if len(h) > 7 else np.zeros(0, np.int64)
+    keys = np.unique(h[often])
+    count = np.searchsorted(h, keys, "right") - np.searchsorted(h, keys)
+    none = pa.nulls(len(keys), pa.int64())
+    return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(keys), pa.binary()), pa.array(keys.view(np.int64)), pa.array(count, pa.int64())], SUMMARY)
 
 
 def _least_overlap(a, b, percent):
@@ -74,66 +83,80 @@ def _least_overlap(a, b, percent):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def _least_shared(n: int, rare: int, lead: int, percent: int) -> int:
+    """How many of its leading shingles a set shares with other sets' leading ones if it has a link.
+
+    At most (100 - percent) % of its members are missing in a linked set, even if all of them are rare ones, and the lead is a random sample of
+    the rare ones (their order is that of their hashes), of which the other set's lead may end a little earlier. The number is the largest that a sample
+    falls below with a probability under 1e-15 (Chernoff's bound); for small sets it is one, which is certain.
+    """
+    if lead > rare:
+        return 1
+    share = 0.8 * (1 - (100 - percent) / 100 * n / rare)
+    if share <= 0.05:
+        return 1
+    x = np.arange(1, 100) / 100
+    distance = x * np.log(x / share) + (1 - x) * np.log((1 - x) / (1 - share))
+    ok = (x < share) & (distance * lead >= 34.6)
+    return max(1, int(lead * x[ok][-1])) if ok.any() else 1
+
+
 def _postings(batches, width, percent, frequent, shards):
-    """The leading shingles of each set, packed by shard: arrays of (shingle, identity)."""
+    """The leading shingles of each set, packed by shard: arrays of (shingle, identity, shared ones it needs)."""
     for batch in batches:
         keys, owners, done = [], [], set()
         for _, _, sets in _sets(batch.column(0), width):
             for s in sets:
-                n = len(s)
+                n = rare = len(s)
                 if not n or (who := _identity(s)) in done:
                     continue
                 done.add(who)
                 lead = n - -(-percent * n // 100) + 1
                 if len(frequent):
                     late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+                    rare = n - int(late.sum())
                     s = np.concatenate([s[~late], s[late]])
-                keys.append(s[:lead])
-                owners.append((who, lead))
-        if not keys:
-            continue
-        key = np.concatenate(keys)
-        owner = np.repeat(np.array([w for w, _ in owners], np.int64), [k for _, k in owners])
-        shard = (mixed(key) % np.uint64(shards)).astype(np.int32)
-        order = np.argsort(shard, kind="stable")
-        key, owner, shard = key[order], owner[order], shard[order]
-        head = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-        ends = np.r_[head[1:], len(shard)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(shard[head]), pa.array([key[a:b].tobytes() for a, b in zip(head, ends)], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in zip(head, ends)], pa.binary())],
-            ["shard", "keys", "owners"],
-        )
+                keys.append(s[:lead].copy())
+                owners.append((who, lead, min(_least_shared(n, rare, lead, percent), 65535)))
+            if sum(map(len, keys)) > 1 << 19:
+                yield from _sharded(keys, owners, shards)
+                keys, owners = [], []
+        yield from _sharded(keys, owners, shards)
 
 
-def _meetings(batches):
-    """For each shingle that several sets lead with: every set beside the group's first (a star), and the group's members if three or more.
+def _sharded(keys, owners, shards):
+    if not keys:
+        return
+    key = np.concatenate(keys)
+    times = [k for _, k, _ in owners]
+    owner, need = np.repeat(np.array([w for w, _, _ in owners], np.int64), times), np.repeat(np.array([x for _, _, x in owners], np.uint16), times)
+    shard = (mixed(key) % np.uint64(shards)).astype(np.int32)
+    order = np.argsort(shard, kind="stable")
+    key, owner, need, shard = key[order], owner[order], need[order], shard[order]
+    head = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+    ends = np.r_[head[1:], len(shard)]
+    packed = [pa.array([x[a:b].tobytes() for a, b in zip(head, ends)], pa.binary()) for x in (key, owner, need)]
+    yield pa.RecordBatch.from_arrays([pa.array(shard[head]), *packed], ["shard", "keys", "owners", "needs"])
 
-    A partition holds whole shards; the arrays of one shard are taken together.
-    """
-    rows = [(k, o) for batch in batches for k, o in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-    if not rows:
+
+def _meetings(batches):
+    """(shingle, set, need) for each shingle that several sets lead with. A partition holds whole shards; their arrays are taken together."""
+    rows = [[batch.column(c).to_pylist() for c in (1, 2, 3)] for batch in batches]
+    if not any(r[0] for r in rows):
         return
-    key = np.frombuffer(b"".join(k for k, _ in rows), np.uint64)
-    owner = np.frombuffer(b"".join(o for _, o in rows), np.int64)
+    key, owner, need = (np.frombuffer(b"".join(x for r in rows for x in r[c]), t) for c, t in enumerate((np.uint64, np.int64, np.uint16)))
+    del rows
     order = np.lexsort((owner, key))
-    key, owner = key[order], owner[order]
+    key, owner, need = key[order], owner[order], need[order]
     new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
-    key, owner = key[new], owner[new]
+    key, owner, need = key[new], owner[new], need[new]
     head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[head, len(key)])
-    first, count = np.repeat(owner[head], size), np.repeat(size, size)
-    star = owner != first
-    pairs = np.stack([first[star], owner[star]], 1)
-    if len(pairs):
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(1)]]
-    many = count > 2
-    out = [(None, pairs[:, 0], pairs[:, 1]), (key[many].view(np.int64), owner[many], None)]
-    for k, a, b in out:
-        for at in range(0, len(a), 50_000):
-            cut = slice(at, at + 50_000)
-            none = pa.nulls(len(a[cut]), pa.int64())
-            yield pa.RecordBatch.from_arrays([none if k is None else pa.array(k[cut]), pa.array(a[cut]), none if b is None else pa.array(b[cut])], ["key", "a", "b"])
+    many = np.repeat(size, size) > 1
+    key, owner, need = key[many].view(np.int64), owner[many], need[many].astype(np.int32)
+    for at in range(0, len(key), 50_000):
+        cut = slice(at, at + 50_000)
+        yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(owner[cut]), pa.array(need[cut])], ["key", "id", "need"])
 
 
 def _folded(bitmap: bytes, size: int) -> np.ndarray:
@@ -158,30 +181,6 @@ def _bounded(batches, percent):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _tile_pairs(ids, comps, sizes, maps, percent):
-    """Pairs of a tile from different components that the bit counts allow; sets of one bitmap length at a time, larger ones folded."""
-    order = np.argsort(sizes, kind="stable")
-    ids, comps, sizes, maps = ids[order], comps[order], sizes[order], [maps[i] for i in order]
-    lengths = np.array([len(m) // 8 for m in maps])
-    for words in np.unique(lengths):
-        own = np.flatnonzero(lengths == words)
-        reach = np.flatnonzero((lengths >= words) & (sizes * percent <= 100 * sizes[own[-1]] * 1.0 + 1e9 * (lengths == words)))
-        table = np.stack([_folded(maps[i], words) for i in reach])
-        for i in own:
-            other = reach > i
-            if not other.any():
-                continue
-            j, y = reach[other], table[other]
-            least = -(-percent * (sizes[i] + sizes[j]) // (100 + percent))
-            ok = (least <= sizes[i]) & (comps[j] != comps[i])
-            if not ok.any():
-                continue
-            j, y, least = j[ok], y[ok], least[ok]
-            x = _folded(maps[i], words)
-            ok = (sizes[i] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64) >= least) & (sizes[j] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64) >= least)
-            yield from ((ids[i], k) for k in ids[j[ok]])
-
-
 def _tiles(batches, percent):
     """Rows come sorted by tile; a tile that straddles batches is carried over."""
     held = None
@@ -198,15 +197,37 @@ def _tiles(batches, percent):
 
 
 def _compare(rows: pa.Table, percent):
-    tile = rows.column("tile").combine_chunks().to_numpy(zero_copy_only=False)
-    ids, comps, sizes = (rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("id", "component", "n"))
-    maps = rows.column("bitmap").combine_chunks().to_pylist()
-    head = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
-    found = set()
-    for a, b in zip(head.tolist(), [*head[1:].tolist(), len(tile)]):
-        found.update(_tile_pairs(ids[a:b], comps[a:b], sizes[a:b], maps[a:b], percent))
-    found = sorted((min(p), max(p)) for p in found)
-    yield pa.RecordBatch.from_arrays([pa.array([int(a) for a, _ in found], pa.int64()), pa.array([int(b) for _, b in found], pa.int64())], ["a", "b"])
+    """Pairs of the same tile from different components that sizes and bit counts allow, for all tiles of ``rows`` at once."""
+    tile, ids, comps, sizes = (rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("tile", "id", "component", "n"))
+    order = np.lexsort((sizes, tile))
+    tile, ids, comps, sizes = tile[order], ids[order], comps[order], sizes[order]
+    maps = rows.column("bitmap").combine_chunks().take(pa.array(order)).to_pylist()
+    words = np.array([len(m) // 8 for m in maps])
+    group = np.cumsum(np.r_[0, tile[1:] != tile[:-1]])
+    # of rows sorted by tile and size, a row's partners follow it as far as the sizes allow
+    key = (group.astype(np.int64) << 40) + sizes
+    row = np.arange(len(ids))
+    partners = np.searchsorted(key, (group.astype(np.int64) << 40) + 100 * sizes // percent, "right") - row - 1
+    found = []
+    for size in np.unique(words).tolist():
+        mine = np.flatnonzero((words == size) & (partners > 0))
+        with_same = np.flatnonzero((words == size) | (words == 2 * size))  # sets in reach have bitmaps of this length or twice it
+        table = np.stack([_folded(maps[i], size) for i in with_same]) if len(mine) else None
+        total, at = np.cumsum(partners[mine]), 0
+        while at < len(mine):
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 21) // size, "right")))
+            i = np.repeat(mine[at:stop], partners[mine[at:stop]])
+            head = np.cumsum(partners[mine[at:stop]]) - partners[mine[at:stop]]
+            j = i + 1 + np.arange(len(i)) - np.repeat(head, partners[mine[at:stop]])
+            other = comps[i] != comps[j]
+            i, j, at = i[other], j[other], stop
+            least = -(-percent * (sizes[i] + sizes[j]) // (100 + percent))
+            x, y = table[np.searchsorted(with_same, i)], table[np.searchsorted(with_same, j)]
+            ok = sizes[i] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64) >= least
+            ok &= sizes[j] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64) >= least
+            found.append(np.stack([np.minimum(ids[i[ok]], ids[j[ok]]), np.maximum(ids[i[ok]], ids[j[ok]])], 1))
+    found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
 
 def _set_rows(batches, width):
@@ -244,9 +265,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text are one shingle. Texts without words (also null) link with nothing. Two documents link if 100 * overlap >= percent * union.
     An empty table gives an empty result; further columns of ``docs`` are not read.
 
-    No group of documents is expanded into pairs. Each member of a group that shares a shingle is compared with the group's
-    first; what those links connect needs no further comparison. The rest, sets of different components in one group,
-    is compared in tiles of bounded size.
+    No group of documents is expanded into pairs. Each member of a group that shares a shingle is compared with the one of its sets
+    that meets most others (in large groups with four such); what the links connect needs no further comparison. The rest,
+    sets of different components in one group, is compared in tiles of bounded size.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -261,21 +282,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     reps = rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     reps = written(reps, "jaccard-sets")
-    packed = source.select("text").mapInArrow(lambda it: _postings(it, width, percent, frequent, shards), "shard int, keys binary, owners binary")
-    met = written(packed.repartition(shards, "shard").mapInArrow(_meetings, "key long, a long, b long"), "jaccard-meetings")
+    packed = source.select("text").mapInArrow(lambda it: _postings(it, width, percent, frequent, shards), "shard int, keys binary, owners binary, needs binary")
+    met = written(packed.repartition(shards, "shard").mapInArrow(_meetings, "key long, id long, need int"), "jaccard-meetings")
+    likely = met.groupBy("id").agg(F.count("*").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("id")
+    met = met.join(likely.hint("rebalance"), "id").select("key", "id")
+    # the shingles of one passage gather the same sets: one such group is enough
+    groups = met.groupBy("key").agg(F.count("*").alias("g"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
+    groups = groups.where("g > 1").groupBy("g", "who").agg(F.min("key").alias("key"), F.count("*").alias("times")).drop("who")
+    met = written(met.join(groups.hint("rebalance"), "key"), "jaccard-groups")
+    # the set that meets most others, such as the original of many altered copies, is the one to compare them with first
+    weight = met.groupBy("id").agg(F.sum(F.col("g") * F.col("times")).alias("weight"))
+    met = written(met.join(weight.hint("rebalance"), "id").drop("times"), "jaccard-weighed")
 
     sides = reps.select("id", "n", "bitmap")
-    stars = met.where("key is null").select("a", "b").distinct()
-    stars = stars.join(_renamed(sides, "a"), "a").join(_renamed(sides, "b"), "b")
-    stars = stars.select("a", "b", "na", "map_a", "nb", "map_b").mapInArrow(lambda it: _bounded(it, percent), "a long, b long")
-    links = _verified(source, reps, written(stars, "jaccard-stars"), width, percent)
-    linked = written(components(links, "jaccard-links"), "jaccard-first")
-
-    groups = met.where("key is not null").select("key", F.col("a").alias("id")).join(linked, "id", "left")
-    groups = groups.withColumn("component", F.coalesce("component", "id"))
-    open_ = groups.groupBy("key").agg(F.count("*").alias("g"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_ = open_.where("lo < hi and g > 2").select("key", "g")
-    members = groups.join(open_.hint("rebalance"), "key").join(sides, "id")
+    links, linked = None, None
+    for _ in range(HUB_ROUNDS):
+        members = _with_components(met, linked)
+        salt = F.when(F.col("g") > 64, F.pmod(F.xxhash64("id"), F.lit(HUBS))).otherwise(0)
+        hubs = members.groupBy("key", salt.alias("salt")).agg(F.max(F.struct("weight", "id", "component")).alias("hub")).drop("salt")
+        stars = members.join(hubs.hint("rebalance"), "key").where(F.col("component") != F.col("hub.component"))
+        stars = stars.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+        stars = stars.join(_renamed(sides, "a"), "a").join(_renamed(sides, "b"), "b")
+        stars = stars.select("a", "b", "na", "map_a", "nb", "map_b").mapInArrow(lambda it: _bounded(it, percent), "a long, b long")
+        found = _verified(source, reps, written(stars, "jaccard-stars"), width, percent)
+        links = found if links is None else links.union(found)
+        linked = written(components(links, "jaccard-links"), "jaccard-linked")
+
+    members = _with_components(met, linked)
+    open_ = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    members = members.where("g > 2").join(open_.hint("rebalance"), "key").join(sides, "id")
     members = _tiled(members, percent)
     rest = members.repartition("tile").sortWithinPartitions("tile").select("tile", "id", "component", "n", "bitmap")
     rest = rest.mapInArrow(lambda it: _tiles(it, percent), "a long, b long").distinct()
@@ -288,6 +323,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(named, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _with_components(met: DataFrame, linked: DataFrame | None) -> DataFrame:
+    if linked is None:
+        return met.withColumn("component", F.col("id"))
+    return met.join(linked.hint("rebalance"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
 def _renamed(sides: DataFrame, x: str) -> DataFrame:
     return sides.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"map_{x}"))
 
