@@ -121,6 +121,6 @@ def mixed_order(
 
 def mixture(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The documents of the mixture, in its order over the files that are written next."""
-    order = mixed_order(docs, weights, id_col, source_col).where("in_mix").select(F.col("doc_id").alias("__id"), "position")
+    order = mixed_order(docs, weights, id_col, source_col).where("in_mix").select(F.col("doc_id").alias("__id"), F.col("position").alias("__position"))
     chosen = docs.join(order, docs[id_col] == F.col("__id")).drop("__id")
-    return chosen.repartitionByRange("position").sortWithinPartitions("position").drop("position")
+    return chosen.repartitionByRange("__position").sortWithinPartitions("__position").drop("__position")
