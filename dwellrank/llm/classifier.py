@@ -165,7 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     if len(count) < 2:
         share = min(max(count.get(1, 0) / total if total else 0.5, 1e-6), 1 - 1e-6)
         return Model(np.zeros(SLOTS), np.zeros(SLOTS + 1), 0.0, float(np.log(share / (1 - share))))
-    rows = docs.join(labels, docs[id_col] == F.col("__id")).select(F.col(text_col).alias("text"), "label", F.xxhash64("__id").alias("draw"))
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
+    rows = texts.join(labels.hint("merge"), F.col("__doc") == F.col("__id"))  # one plan at every size
+    rows = rows.select("text", "label", F.xxhash64("__id").alias("draw"))
     # a row is drawn by its id's hash, so that about sample_rows are
     threshold = int(-(2**63) + min(1.0, sample_rows / total) * (2**64 - 1)) if total > sample_rows else 2**63 - 1
     found = written(rows.mapInArrow(lambda it: _gathered(it, threshold), "part int, packed binary, label int, draw long"), "classifier")
