@@ -87,13 +87,13 @@ def reader_runs(aligned: DataFrame) -> DataFrame:
 
     Repeated readings of a word are summed first, on the map side too, so a row
     grows with the words of the text and not with the number of readings.
-    A null skip counts as not skipped.
+    A null or NaN skip counts as not skipped.
     """
     runs = aligned.groupBy("example_id", "reader_id", "word_index", "word").agg(
         F.min("src_ordinal").alias("src_ordinal"),
         F.sum(F.when(F.isnan("trt"), 0.0).otherwise(F.col("trt"))).alias("trt"),
         F.count("*").alias("n"),
-        F.count_if(F.coalesce(F.col("skip"), F.lit(0.0)) < 0.5).alias("inspected"),
+        F.count_if(F.coalesce(F.nanvl("skip", F.lit(0.0)), F.lit(0.0)) < 0.5).alias("inspected"),
     )
     ordered = runs.groupBy("example_id", "reader_id").agg(
         F.array_sort(F.collect_list(F.struct("word_index", "src_ordinal", "word", "trt", "n", "inspected"))).alias("r")

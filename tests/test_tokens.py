@@ -93,6 +93,12 @@ def test_token_mass_and_inspection(spark):
     assert [r["weight"] for r in weights] == [1, 1, 0, 1, 0]
 
 
+def test_odd_skips_count_as_read(spark):
+    rows = spark.createDataFrame([("e", "r", i, "w", 1.0, s, i) for i, s in enumerate([0.0, 1.0, None, float("nan"), 0.4])], WORDS)
+    got = T.reader_runs(rows).first()
+    assert list(got["inspected"]) == [1, 0, 1, 1, 1]
+
+
 def test_weigh_one():
     g, inspect = A.weigh_one(["ab", "cd"], [0, 3], ["ab", "cd"], [0.0, 10.0], [1, 2], [1, 1])
     w = np.array([0, np.log1p(10)]) + 1e-8
