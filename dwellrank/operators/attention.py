@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dwellrank.functions.vectors import dot
 from dwellrank.operators.tokens import bare_word, place_words
 
 BLOCK_CELLS = 1 << 18  # attention scores held at a time
@@ -169,36 +168,53 @@ def chunk_vectors(tokens: Column, token_starts: Column, weights: Column, chunk_s
 
 def reader_weights(tokens: Column, token_starts: Column, word: Column, trt: Column, n: Column, inspected: Column,
                    transform: str = "log1p", eps: float = 1e-8, compat: bool = True) -> Column:
-    """Per-token gaze distribution and inspection weight of one reader.
+    """Per-token gaze distribution, inspection weight and reading-time mass of one reader.
 
     ``n`` readings of a word were summed to one entry. If a later reading of a
     word could only be placed elsewhere in the text the sum cannot be split, so
     that is an error: exclude repeated readings then.
     """
 
-    @F.pandas_udf("struct<gaze:array<double>,inspect:array<double>>")
+    @F.pandas_udf("struct<gaze:array<double>,inspect:array<double>,mass:array<double>>")
     def weigh(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            gaze, inspect = [], []
-            for row in zip(*batch):
-                g, i = weigh_one(*row, transform=transform, eps=eps, compat=compat)
-                gaze.append(g)
-                inspect.append(i)
-            yield pd.DataFrame({"gaze": gaze, "inspect": inspect})
+            loads = [token_loads(*row, compat=compat) for row in zip(*batch)]
+            yield pd.DataFrame({
+                "gaze": [distribution(mass, transform, eps) for mass, _ in loads], "inspect": [i for _, i in loads], "mass": [m for m, _ in loads],
+            })
 
     return weigh(tokens, token_starts, word, trt, n, inspected)
 
 
-def weigh_one(tokens, token_starts, word, trt, n, inspected, transform="log1p", eps=1e-8, compat=True):
+def _text_words(tokens, starts) -> tuple[list[str], list[int]]:
+    """Words of the text and their starts: tokens that follow each other without a gap are parts of one word."""
+    words, begins, end = [], [], -1
+    for token, start in zip(tokens, starts):
+        inner = token.lstrip()
+        if start == end and inner == token and words:
+            words[-1] += token.rstrip()
+        else:
+            words.append(inner.rstrip())
+            begins.append(int(start) + len(token) - len(inner))
+        end = start + len(token) if token == token.rstrip() else -1
+    return words, begins
+
+
+def token_loads(tokens, token_starts, word, trt, n, inspected, compat=True):
+    """Reading time that falls on every token, each word's split equally over its tokens (A12), and the share of its readings that were not skipped.
+
+    Tokens may be parts of words, as a sub-word encoder gives them.
+    """
     starts = np.asarray(token_starts)
     ends = starts + np.array([len(t) for t in tokens])
-    spans = np.array(place_words(token_starts, tokens, word, compat)).reshape(-1, 2)
+    texts, begins = _text_words(tokens, token_starts)
+    spans = np.array(place_words(begins, texts, word, compat)).reshape(-1, 2)
     n, trt = np.asarray(n, dtype=np.float64), np.asarray(trt, dtype=np.float64)
     for k in np.flatnonzero(n > 1):
         # a second reading stays put unless the word is only a part of its token
-        at = np.searchsorted(starts, spans[k, 0], side="right") - 1
+        at = np.searchsorted(begins, spans[k, 0], side="right") - 1
         part = str(word[k]).strip()
-        if tokens[at] != part and bare_word(tokens[at]) != bare_word(part):
+        if texts[at] != part and bare_word(texts[at]) != bare_word(part):
             raise ValueError(f"repeated reading of a part of a word: {word[k]!r}")
     firsts, pasts = _token_range(starts, ends, spans[:, 0], spans[:, 1])
     width = pasts - firsts
@@ -208,22 +224,11 @@ def weigh_one(tokens, token_starts, word, trt, n, inspected, transform="log1p",
     mass = np.bincount(at, np.repeat(np.nan_to_num(trt) / width, width), len(tokens))
     seen = np.bincount(at, np.repeat(n, width), len(tokens))
     looked = np.bincount(at, np.repeat(np.asarray(inspected, dtype=np.float64), width), len(tokens))
-    mass = np.maximum(np.nan_to_num(mass, nan=0.0, posinf=0.0, neginf=0.0), 0.0)
-    gaze = (np.log1p(mass) if transform == "log1p" else mass) + eps
-    return gaze / gaze.sum(), np.divide(looked, seen, out=np.zeros(len(tokens)), where=seen > 0)
-
+    return mass, np.divide(looked, seen, out=np.zeros(len(tokens)), where=seen > 0)
 
-def attention_rows(hidden: DataFrame, gaze: DataFrame, keys: list[str], dim: int) -> DataFrame:
-    """The same attention in relational form, for checking on small texts.
 
-    ``hidden``: example_id, token_pos, vec array<double>; ``gaze``: keys,
-    token_pos, gaze. Every token meets every token of its own text.
-    """
-    q = hidden.join(gaze, ["example_id", "token_pos"]).withColumnRenamed("vec", "_q")
-    k = hidden.select("example_id", F.col("token_pos").alias("key_pos"), F.col("vec").alias("_k"))
-    scored = q.join(k, "example_id").withColumn("_s", F.col("gaze") * dot(F.col("_q"), F.col("_k")) / float(dim) ** 0.5)
-    group = [*keys, "token_pos"]
-    peak = scored.groupBy(*group).agg(F.max("_s").alias("_peak"))
-    weighted = scored.join(peak, group).withColumn("_w", F.exp(F.col("_s") - F.col("_peak")))
-    exploded = weighted.select(*group, "_w", F.posexplode("_k").alias("d", "x"))
-    return exploded.groupBy(*group, "d").agg((F.sum(F.col("_w") * F.col("x")) / F.sum("_w")).alias("value"))
+def distribution(mass, transform="log1p", eps=1e-8):
+    """Token weights that sum to 1 (V6, W4); what is not finite or negative counts as 0."""
+    mass = np.maximum(np.nan_to_num(mass, nan=0.0, posinf=0.0, neginf=0.0), 0.0)
+    gaze = (np.log1p(mass) if transform == "log1p" else mass) + eps
+    return gaze / gaze.sum()

@@ -9,9 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from dwellrank.functions.arrays import explode_rows, let, total
-from dwellrank.functions.scores import gaze_weight
-from dwellrank.functions.text import TYPOGRAPHIC, TYPOGRAPHIC_ASCII, overlapping_tokens
+from dwellrank.functions.arrays import let, total
+from dwellrank.functions.text import TYPOGRAPHIC, TYPOGRAPHIC_ASCII
 
 _TO_ASCII = str.maketrans(TYPOGRAPHIC, TYPOGRAPHIC_ASCII)
 SPANS = "array<struct<start:int,end:int>>"
@@ -104,57 +103,6 @@ def reader_runs(aligned: DataFrame) -> DataFrame:
     )
 
 
-def word_token_pairs(df: DataFrame, keys: list[str], word_spans: str, token_starts: str, token_ends: str) -> DataFrame:
-    """One row per (word, token) that overlap (J5), with the number of tokens of the word.
-
-    A word without any token is an error.
-    """
-    # matched inside the text's row: exploded words would each carry a copy of the offset arrays
-    found = overlapping_tokens(F.col(word_spans), F.col(token_starts), F.col(token_ends))
-    words = explode_rows(df, keys, found, "word_pos", "_t").withColumn(
-        "_t",
-        F.when(F.size("_t") > 0, F.col("_t")).otherwise(F.raise_error(F.lit("a word overlaps no token")).cast("array<int>")),
-    )
-    keep = [*keys, "word_pos", F.size("_t").alias("n_tokens")]
-    return explode_rows(words, keep, F.col("_t"), "_i", "token_pos").drop("_i")
-
-
-def token_mass(pairs: DataFrame, keys: list[str], trt: str = "trt") -> DataFrame:
-    """Each word's reading time split equally over its tokens, summed per token."""
-    value = F.when(F.isnan(trt), F.lit(0.0)).otherwise(F.coalesce(F.col(trt), F.lit(0.0)))
-    return pairs.groupBy(*keys, "token_pos").agg(F.sum(value / F.col("n_tokens")).alias("mass"))
-
-
-def token_inspection(pairs: DataFrame, keys: list[str], skip: str = "skip") -> DataFrame:
-    """Share of a token's words that were not skipped."""
-    skipped = F.coalesce(F.when(F.isnan(skip), 0.0).otherwise(F.col(skip)), F.lit(0.0)) >= 0.5
-    return pairs.groupBy(*keys, "token_pos").agg(F.avg((~skipped).cast("double")).alias("weight"))
-
-
-def densify(sparse: DataFrame, sizes: DataFrame, keys: list[str], value: str, size: str = "n_tokens") -> DataFrame:
-    """Adds the tokens nothing fell on, with value 0."""
-    every = sizes.select(*keys, F.explode(F.sequence(F.lit(0), F.col(size) - 1)).alias("token_pos"))
-    return every.join(sparse, [*keys, "token_pos"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
-
-
-def distribution_rows(mass: DataFrame, keys: list[str], value: str = "mass", transform: str = "log1p", eps: float = 1e-8) -> DataFrame:
-    """Token weights that sum to 1 per group, in long form.
-
-    The group total is a separate aggregation joined back, so a group of any
-    size stays spread over the cluster.
-    """
-    weights = mass.withColumn("_w", gaze_weight(F.col(value), transform, eps))
-    totals = weights.groupBy(*keys).agg(F.sum("_w").alias("_total"))
-    return weights.join(totals, keys).withColumn("gaze", F.col("_w") / F.col("_total")).drop("_w", "_total")
-
-
-def mean_gaze_rows(gaze: DataFrame, value: str = "gaze") -> DataFrame:
-    """Element-wise mean over the readers of an example, renormalised, long form."""
-    mean = gaze.groupBy("example_id", "token_pos").agg(F.avg(value).alias("_mean"))
-    totals = mean.groupBy("example_id").agg(F.sum("_mean").alias("_total"))
-    return mean.join(totals, "example_id").select("example_id", "token_pos", (F.col("_mean") / F.col("_total")).alias("gaze"))
-
-
 def mean_gaze(vectors: DataFrame) -> DataFrame:
     """Mean gaze vector per example from one weight array per reader.
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from dwellrank.functions import scores as S
 from dwellrank.functions.arrays import explode_rows
-from dwellrank.functions.text import overlapping_tokens
+from dwellrank.functions.text import overlapping_tokens, piece_spans, word_spans
 from dwellrank.operators import embed as B, retrieve as R, tokens as T
+from dwellrank.operators.attention import reader_weights
 from dwellrank.operators.ordering import top_share_sum
 from dwellrank.plans import workload as D
 from dwellrank.plans.corpora import WORDS, big, r6
@@ -25,9 +26,16 @@ tok as (select doc_id, reader_id, (t0 + unnest(range(0, n)))::bigint as token_po
 """
 
 
-def _pairs(spark, sf):
-    pairs = T.word_token_pairs(D.pieces(spark, sf), ["doc_id"], "spans", "token_starts", "token_ends")
-    return D.reading(pairs)
+def _weighed(spark, sf):
+    """gaze, inspect and mass of every token under two readers, by the function the stages use."""
+    d = D.documents(spark, sf).select("doc_id", word_spans(F.col("text")).alias("w"), piece_spans(F.col("text"), 4).alias("p")).where(F.size("w") > 0)
+    d = d.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("j"))
+    ones = F.transform("w", lambda w: F.lit(1).cast("bigint"))
+    trt = F.transform("w", lambda w, i: ((i * 37 + F.col("doc_id") * 11 + F.col("j") * 101) % 400).cast("double"))
+    inspected = F.transform("w", lambda w, i: F.when((i + F.col("j")) % 3 == 0, 0).otherwise(1).cast("bigint"))
+    weights = reader_weights(
+        F.transform("p", lambda t: t["text"]), F.transform("p", lambda t: t["start"]), F.transform("w", lambda w: w["text"]), trt, ones, inspected, compat=False)
+    return d.select("doc_id", F.concat(F.lit("r"), "j").alias("reader_id"), weights.alias("r")).select("doc_id", "reader_id", "r.*")
 
 
 @query("J5_word_tokens", "with" + PIECES + """z as (select 1)
@@ -55,11 +63,12 @@ def chunk_tokens(spark, sf):
 
 
 def _per_text(rows, keys, value, digits):
-    """Count, sum, position-weighted sum and maximum of a token column per group."""
-    v = F.col(value)
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("tokens"), F.round(F.sum(v), digits).alias("total"),
-        F.round(F.sum(v * F.sqrt(F.col("token_pos") + 1.0)), digits).alias("weighted"), F.round(F.max(v), digits).alias("largest"))
+    """Count, sum, position-weighted sum and maximum of each row's token values."""
+    add = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    weighted = F.transform(value, lambda x, i: x * F.sqrt(i + 1.0))
+    return rows.select(
+        *keys, big(F.size(value)).alias("tokens"), F.round(add(F.col(value)), digits).alias("total"),
+        F.round(add(weighted), digits).alias("weighted"), F.round(F.array_max(value), digits).alias("largest"))
 
 
 def _per_text_sql(relation, keys, value, digits):
@@ -70,13 +79,13 @@ def _per_text_sql(relation, keys, value, digits):
 @query("A12_token_mass", "with" + PIECES + """m as (select doc_id, reader_id, token_pos, sum(mass) as mass from tok group by all)
 """ + _per_text_sql("m", "doc_id, reader_id", "mass", 3))
 def token_mass(spark, sf):
-    return _per_text(T.token_mass(_pairs(spark, sf), ["doc_id", "reader_id"]), ["doc_id", "reader_id"], "mass", 3)
+    return _per_text(_weighed(spark, sf), ["doc_id", "reader_id"], "mass", 3)
 
 
 @query("A13_token_inspection", "with" + PIECES + """m as (select doc_id, reader_id, token_pos, avg(inspect) as weight from tok group by all)
 """ + _per_text_sql("m", "doc_id, reader_id", "weight", 4))
 def token_inspection(spark, sf):
-    return _per_text(T.token_inspection(_pairs(spark, sf), ["doc_id", "reader_id"]), ["doc_id", "reader_id"], "weight", 4)
+    return _per_text(_weighed(spark, sf), ["doc_id", "reader_id"], "inspect", 4)
 
 
 DISTRIBUTION = PIECES + """
@@ -85,14 +94,9 @@ g as (select *, w / sum(w) over (partition by doc_id, reader_id) as gaze from m)
 """
 
 
-def _distribution(spark, sf):
-    m = T.token_mass(_pairs(spark, sf), ["doc_id", "reader_id"])
-    return T.distribution_rows(m, ["doc_id", "reader_id"])
-
-
 @query("V6_gaze_distribution", "with" + DISTRIBUTION + "z as (select 1) " + _per_text_sql("g", "doc_id, reader_id", "gaze", 6))
 def gaze_distribution(spark, sf):
-    return _per_text(_distribution(spark, sf), ["doc_id", "reader_id"], "gaze", 6)
+    return _per_text(_weighed(spark, sf), ["doc_id", "reader_id"], "gaze", 6)
 
 
 @query("A14_mean_gaze", "with" + DISTRIBUTION + """
@@ -100,8 +104,8 @@ a as (select doc_id, token_pos, avg(gaze) v from g group by 1, 2),
 mean as (select doc_id::varchar as example_id, token_pos, v / sum(v) over (partition by doc_id) as gaze from a)
 """ + _per_text_sql("mean", "example_id", "gaze", 6))
 def mean_gaze(spark, sf):
-    rows = _distribution(spark, sf).withColumn("example_id", D.text(F.col("doc_id")))
-    return _per_text(T.mean_gaze_rows(rows), ["example_id"], "gaze", 6)
+    rows = _weighed(spark, sf).select(D.text(F.col("doc_id")).alias("example_id"), F.col("gaze").alias("weights"))
+    return _per_text(T.mean_gaze(rows), ["example_id"], "weights", 6)
 
 
 @query("A8_gaze_concentration", """

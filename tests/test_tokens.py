@@ -36,17 +36,6 @@ def test_attention_by_hand():
     assert np.allclose(got, [[e / (e + 1), 1 / (e + 1)], [0.5, 0.5]])
 
 
-def test_relational_attention(spark):
-    rng = np.random.default_rng(1)
-    h, g = rng.normal(size=(6, 4)), rng.random(6)
-    hidden = spark.createDataFrame([("e", i, [float(x) for x in r]) for i, r in enumerate(h)], "example_id string, token_pos int, vec array<double>")
-    gaze = spark.createDataFrame([("e", "r", i, float(x)) for i, x in enumerate(g)], "example_id string, reader_id string, token_pos int, gaze double")
-    got = np.zeros((6, 4))
-    for r in A.attention_rows(hidden, gaze, ["example_id", "reader_id"], 4).collect():
-        got[r["token_pos"], r["d"]] = r["value"]
-    assert np.allclose(got, dense(h, g), atol=1e-12)
-
-
 def test_pooling():
     got = A.pool_chunks(iter([np.array([[3.0, 0]]), np.array([[0.0, 4], [1, 1]])]), np.array([0, 2]), np.array([2, 3]), 2)
     assert np.allclose(got, [[0.6, 0.8], [2 ** -0.5] * 2])
@@ -80,17 +69,11 @@ def test_placement_column(spark):
         df.select(T.align_words_udf()("s", "t", "w")).collect()
 
 
-PAIRS = "e string, word_pos int, trt double, skip double, n_tokens int, token_pos int"
-
-
-def test_token_mass_and_inspection(spark):
-    words = [(0, 10.0, 0.0, [0, 1]), (1, 5.0, 1.0, [2]), (2, float("nan"), 0.0, [3])]
-    pairs = spark.createDataFrame([("e", w, t, s, len(k), i) for w, t, s, k in words for i in k], PAIRS)
-    sizes = spark.createDataFrame([("e", 5)], "e string, n_tokens int")
-    dense_rows = T.densify(T.token_mass(pairs, ["e"]), sizes, ["e"], "mass").orderBy("token_pos").collect()
-    assert [r["mass"] for r in dense_rows] == [5, 5, 5, 0, 0]
-    weights = T.densify(T.token_inspection(pairs, ["e"]), sizes, ["e"], "weight").orderBy("token_pos").collect()
-    assert [r["weight"] for r in weights] == [1, 1, 0, 1, 0]
+def test_token_loads():
+    """Times are split over a word's tokens, a missing one is 0, a token nothing fell on has neither mass nor inspection."""
+    mass, inspect = A.token_loads(["ab", "cd", "e", "f", "g"], [0, 2, 5, 7, 9], ["abcd", "e", "f"], [10.0, 5.0, float("nan")], [1, 1, 1], [1, 0, 1])
+    assert mass.tolist() == [5, 5, 5, 0, 0] and inspect.tolist() == [1, 1, 0, 1, 0]
+    assert np.allclose(A.distribution(np.zeros(4)), 0.25)
 
 
 def test_odd_skips_count_as_read(spark):
@@ -99,12 +82,13 @@ def test_odd_skips_count_as_read(spark):
     assert list(got["inspected"]) == [1, 0, 1, 1, 1]
 
 
-def test_weigh_one():
-    g, inspect = A.weigh_one(["ab", "cd"], [0, 3], ["ab", "cd"], [0.0, 10.0], [1, 2], [1, 1])
+def test_repeated_readings():
+    mass, inspect = A.token_loads(["ab", "cd"], [0, 3], ["ab", "cd"], [0.0, 10.0], [1, 2], [1, 1])
+    g = A.distribution(mass)
     w = np.array([0, np.log1p(10)]) + 1e-8
     assert np.allclose(g, w / w.sum()) and inspect.tolist() == [1, 0.5]
     with pytest.raises(ValueError, match="repeated reading"):
-        A.weigh_one(["e-bike"], [0], ["e-", "bike"], [1.0, 1.0], [2, 2], [0, 0])
+        A.token_loads(["e-bike"], [0], ["e-", "bike"], [1.0, 1.0], [2, 2], [0, 0])
 
 
 def test_mean_gaze(spark):
