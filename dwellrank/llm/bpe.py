@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from dwellrank.llm.common import worker_cache
 
-#: Words whose tokens a worker keeps; it starts anew beyond that.
+#: Words whose tokens a worker keeps; beyond that it starts anew, and looks once more among those kept before.
 KEPT_WORDS = 300_000
 NEVER = 1 << 30
 
@@ -142,8 +142,9 @@ class Vocabulary:
 
     def encoded_words(self, words: list[bytes]) -> list[bytes]:
         """Little-endian token ids of each word; returns them in the order of ``words``."""
-        proposals = [self.proposed(w) for w in words]
-        sizes = np.array([len(p) for p in proposals])
+        whole, ids = self.whole, self.ids
+        proposals = [[ids[w]] if w in whole else self.proposed(w) for w in words]
+        sizes = np.array([len(p) for p in proposals], np.int64)
         tokens = np.fromiter((t for p in proposals for t in p), np.int64, int(sizes.sum()))
         word = np.repeat(np.arange(len(words)), sizes)
         inner = np.flatnonzero(word[1:] == word[:-1]) if len(word) else np.zeros(0, np.int64)
@@ -151,7 +152,11 @@ class Vocabulary:
         pairs, back = np.unique(keys, return_inverse=True)
         good = self.compatible(pairs // self.size, pairs % self.size)
         failed = set(word[inner[~good[back]]].tolist())
-        return [np.array(self.merged(w) if k in failed else p, "<u4").tobytes() for k, (w, p) in enumerate(zip(words, proposals))]
+        raw, ends = tokens.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        out = [raw[a:b] for a, b in zip([0, *ends], ends)]
+        for k in failed:
+            out[k] = np.array(self.merged(words[k]), "<u4").tobytes()
+        return out
 
     def decoded(self, ids: np.ndarray) -> bytes:
         """The tokens' bytes one after the other."""
@@ -177,6 +182,7 @@ class Encoder:
     def __init__(self, table: Vocabulary, pattern: str):
         self.table, self.split = table, regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         """Words by the pattern; special strings are pieces of their own."""
@@ -190,12 +196,15 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian token ids of each text."""
         if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        known = self.known
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
         for s, i in self.table.special.items():
             known.setdefault(s, np.uint32(i).tobytes())
         split = [self.pieces(t) for t in texts]
-        new = list({w for words in split for w in words if w not in known})
+        new = {w for words in split for w in words if w not in known}
+        again = new & before.keys()
+        known.update((w, before[w]) for w in again)
+        new = list(new - again)
         known.update(zip(new, self.table.encoded_words([w.encode() for w in new])))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 

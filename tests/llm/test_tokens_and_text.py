@@ -61,6 +61,13 @@ def test_verification_finds_exactly_the_wrong_proposals(table, many_texts):
     assert 0 < wrong < len(found)
 
 
+def test_known_words_are_not_encoded_again(table, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 3)
+    encoder = bpe.Encoder(table, public_tokenizers.PATTERN)
+    first = encoder.encode(["one two three four", ""])
+    assert encoder.encode(["one two three four", ""]) == first and encoder.encode([]) == [] and encoder.encode([""]) == [b""]
+
+
 def test_long_words_merge_alike(table):
     for w in (b"ab" * 90, b"aaaaabc" * 25, b"the there then" * 12):
         parts = [table.ids[w[i : i + 1]] for i in range(len(w))]
