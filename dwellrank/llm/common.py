@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; its temporary arrays take some thirty times as much.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 #: The white space of all contracts: blank and tab to carriage return.
 BLANK = np.zeros(256, bool)
