@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from dwellrank.llm.common import worker_cache
 
-#: Words whose tokens a worker keeps; beyond that it starts anew, and looks once more among those kept before.
-KEPT_WORDS = 300_000
+#: Words whose tokens a task keeps; beyond that it starts anew, and looks once more among those kept before.
+KEPT_WORDS = 120_000
 NEVER = 1 << 30
 
 
@@ -232,9 +232,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches):
         table = vocabulary(content.value)
-        cache = worker_cache()
-        encoder = cache.setdefault(("encoder", id(table), pattern), None) or Encoder(table, pattern)
-        cache["encoder", id(table), pattern] = encoder
+        encoder = Encoder(table, pattern)  # its words go with the task, so that later stages have the memory
         for batch in batches:
             names, row = batch.column(0).to_pylist(), 0
             for texts in _portions(batch.column(1).to_pylist()):
