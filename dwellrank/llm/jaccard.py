@@ -238,11 +238,9 @@ def _set_rows(batches, width):
 
 def _intersected(batches, percent):
     for batch in batches:
-        c = batch.to_pydict()
         keep = []
-        for x, y in zip(c["x"], c["y"]):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.sort(np.concatenate([x, y]))
+        for x, y in zip(batch.column(2), batch.column(3)):
+            both = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)]))
             overlap = int((both[1:] == both[:-1]).sum())
             keep.append(100 * overlap >= percent * (len(both) - overlap))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
