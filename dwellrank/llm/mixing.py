@@ -73,14 +73,34 @@ def mixed_order(
     ranked in buckets of their hash, the square root of the largest source in number, so a source of any size is spread over many tasks.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.col(source_col).isNull().alias("unnamed"))
-    rows = rows.withColumn("source", F.concat(F.when(F.col("unnamed"), "-").otherwise("+"), "source")).drop("unnamed")
+    placed = _placed(docs, weights, id_col, source_col, block_rows, period)
+    if placed is None:
+        return spark.createDataFrame([], "doc_id long, source string, block long, slot long, release long, deadline long, position long, in_mix boolean")
+    return placed.select(
+        "doc_id",
+        F.expr("case when source = '-' then null else substring(source, 2) end").alias("source"),
+        (F.col("k") + 1).alias("block"),
+        "slot",
+        (F.col("release0") + F.col("turn")).alias("release"),
+        (F.col("deadline0") + F.col("turn")).alias("deadline"),
+        "position",
+        "in_mix",
+    )
+
+
+def _placed(docs: DataFrame, weights: dict[str, float] | None, id_col: str, source_col: str, block_rows: int, period: int) -> DataFrame | None:
+    """Each row of ``docs``, as the struct ``row``, with its place in the schedule; None for an empty table.
+
+    Rows are not told apart by their ids; those of one source without an id are ranked in one task. The period's table is bounded, so it is broadcast.
+    """
+    spark = docs.sparkSession
+    named = F.concat(F.when(F.col(source_col).isNull(), "-").otherwise("+"), F.coalesce(F.col(source_col), F.lit("")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), named.alias("source"), F.struct("*").alias("row"))
     count = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}  # a row per source
     given = {f"+{s}": w for s, w in (weights or {}).items()}
     share = {s: given.get(s, n**0.5) for s, n in count.items()}
-    shape = "doc_id long, source string, block long, slot long, release long, deadline long, position long, in_mix boolean"
     if not share:
-        return spark.createDataFrame([], shape)
+        return None
     fractions = rounded_weights(share, period)
     pattern = schedule(fractions, period)
     parts = {s: int(w * period) for s, w in fractions.items()}
@@ -106,21 +126,18 @@ def mixed_order(
     sizes = F.create_map(*[F.lit(x) for s, n in parts.items() for x in (s, n)])
     rows = rows.withColumns({"k": F.expr(f"index div {block_rows}"), "parts": sizes[F.col("source")]})
     rows = rows.withColumns({"at": F.col("k") % F.col("parts"), "turn": F.expr(f"(k div parts) * {period}")}).drop("parts")
-    rows = rows.join(table, ["source", "at"]).withColumn("slot", F.col("slot0") + F.col("turn"))
-    return rows.select(
-        "doc_id",
-        F.expr("case when source = '-' then null else substring(source, 2) end").alias("source"),
-        (F.col("k") + 1).alias("block"),
-        "slot",
-        (F.col("release0") + F.col("turn")).alias("release"),
-        (F.col("deadline0") + F.col("turn")).alias("deadline"),
-        (F.col("slot") * block_rows + F.col("index") % block_rows).alias("position"),
-        (F.col("slot") < horizon).alias("in_mix"),
-    )
+    rows = rows.join(F.broadcast(table), ["source", "at"]).withColumn("slot", F.col("slot0") + F.col("turn"))
+    return rows.withColumns({"position": F.col("slot") * block_rows + F.col("index") % block_rows, "in_mix": F.col("slot") < horizon})
 
 
-def mixture(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The documents of the mixture, in its order over the files that are written next."""
-    order = mixed_order(docs, weights, id_col, source_col).where("in_mix").select(F.col("doc_id").alias("__id"), F.col("position").alias("__position"))
-    chosen = docs.join(order, docs[id_col] == F.col("__id")).drop("__id")
-    return chosen.repartitionByRange("__position").sortWithinPartitions("__position").drop("__position")
+def mixture(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", every: bool = False) -> DataFrame:
+    """The documents in the order of the mixture over the files that are written next.
+
+    With ``every``, all rows of ``docs``, also those whose id is null or on several rows: the weights shape the order only. A source without blocks
+    drops out and the others go on in their proportions. Otherwise the rows in ``in_mix`` alone, over which the shares of all sources hold.
+    """
+    placed = _placed(docs, weights, id_col, source_col, BLOCK_ROWS, PERIOD)
+    if placed is None:
+        return docs
+    chosen = placed if every else placed.where("in_mix")
+    return chosen.select("row", "position").repartitionByRange("position").sortWithinPartitions("position").select("row.*")
