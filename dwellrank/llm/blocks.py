@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dwellrank.llm.common import BLANK, flat, steps, written
 
@@ -59,66 +60,91 @@ def _numbered(sorted_rows: DataFrame) -> DataFrame:
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, points (code points of the original), text_sha256, n_blocks and name: equal texts, and only they, share (n_blocks, name).
+    """One row per row: doc_id, points (code points of the original), text_sha256, n_blocks and name: equal texts, and only they, share (n_blocks, name).
 
     Texts are compared without the characters ``[\\x20\\x09-\\x0D]``; null counts as empty. Empty texts have no block and the name -1.
+    Names are given to distinct texts, each with a key of its own, and go back to the rows by the text's digest: an id may be null or on several rows.
     The blocks' bytes are sent once, each distinct one of a batch once; beyond that only digests, which lead a text to the
-    names of its blocks, and integers move. Two different blocks with one digest would be found (they have two names) and end the job.
+    names of its blocks, and integers move. Two different blocks, or texts, with one digest would be found (they have two names) and end the job.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    texts = written(
+    rows = written(
         source.mapInArrow(lambda it: _digests(it, block_bytes), "doc_id long, points long, text_sha256 string, blocks array<binary>"),
         "block-lists",
     )
+    texts = written(rows.select("text_sha256", "blocks").distinct().withColumn("key", F.monotonically_increasing_id()), "block-texts")
     distinct = source.select("text").mapInArrow(lambda it: _blocks(it, block_bytes), "block binary").distinct()
     names = written(_numbered(distinct.sortWithinPartitions("block")).select(_digest(F.col("block")).alias("digest"), "name"), "block-names")
     names = names.groupBy("digest").agg(F.when(F.count("*") == 1, F.min("name")).otherwise(F.raise_error(F.lit("two blocks share a digest"))).alias("name"))
-    parts = texts.select("doc_id", F.posexplode("blocks").alias("place", "digest")).join(names.hint("rebalance"), "digest").select("doc_id", "place", "name")
+    parts = texts.select("key", F.size("blocks").alias("n_blocks"), F.posexplode("blocks").alias("place", "digest"))
+    parts = parts.join(names.hint("rebalance"), "digest").select("key", "place", "name", "n_blocks")
     finished = None
     level, most = 0, texts.agg(F.max(F.size("blocks"))).first()[0] or 0
-    counts = texts.select("doc_id", F.size("blocks").alias("n_blocks"))
-    parts = written(parts.join(counts, "doc_id"), "block-parts")
-    left = parts
+    left = parts = written(parts, "block-parts")
     while True:
-        done = left.where(F.col("n_blocks") <= 2**level).select("doc_id", "name")
+        done = left.where(F.col("n_blocks") <= 2**level).select("key", "name")
         finished = done if finished is None else finished.unionByName(done)
         level += 1
         if most <= 2 ** (level - 1):
             break
         left = left.where(F.col("n_blocks") > 2 ** (level - 1))
-        pairs = left.groupBy("doc_id", "n_blocks", F.expr("place div 2").alias("place")).agg(
+        pairs = left.groupBy("key", "n_blocks", F.expr("place div 2").alias("place")).agg(
             F.min(F.struct(F.col("place").alias("at"), "name"))["name"].alias("first"),
             F.when(F.count("*") == 2, F.max(F.struct(F.col("place").alias("at"), "name"))["name"]).otherwise(-1).alias("second"),
         )
         pairs = written(pairs, "block-pairs")
         named = written(_numbered(pairs.select("first", "second").distinct().sortWithinPartitions("first", "second")), "pair-names")
-        left = pairs.join(named, ["first", "second"]).select("doc_id", "place", "name", "n_blocks")
-    return (
-        texts.select("doc_id", "points", "text_sha256", F.size("blocks").alias("n_blocks"))
-        .join(finished, "doc_id", "left")
-        .withColumn("name", F.coalesce("name", F.lit(-1).cast("long")))
-    )
+        left = pairs.join(named, ["first", "second"]).select("key", "place", "name", "n_blocks")
+    whole = texts.select("key", "text_sha256").join(finished, "key", "left").withColumn("name", F.coalesce("name", F.lit(-1).cast("long")))
+    whole = whole.groupBy("text_sha256").agg(F.when(F.count("*") == 1, F.min("name")).otherwise(F.raise_error(F.lit("two texts share a digest"))).alias("name"))
+    return rows.select("doc_id", "points", "text_sha256", F.size("blocks").alias("n_blocks")).join(whole.hint("rebalance"), "text_sha256")
 
 
 def _digest(block):
     return F.unhex(F.substring(F.sha2(block, 256), 1, 32))
 
 
+def _best(named: DataFrame) -> DataFrame:
+    """For each group of equal texts the row that stays: most code points, then the smallest id, null last."""
+    best = F.max(F.struct("points", (-F.col("doc_id")).alias("back")))
+    return named.groupBy("n_blocks", "name").agg(best.alias("best"), F.count("*").alias("group_size"), F.min("text_sha256").alias("text_sha256"))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Of equal texts the row with the most code points in the original, then the smallest doc_id, stays. Null texts are empty and
-    equal to texts of white space only. An empty table gives an empty result; further columns of ``docs`` are not read.
+    Of equal texts the row with the most code points in the original, then the smallest doc_id (null last), stays. ``kept`` says whether the row's id is
+    that one's; it is null if either is null. Null texts are empty and equal to texts of white space only. An empty table gives an empty
+    result; further columns of ``docs`` are not read.
     A group of any size is one aggregate with partial sums; its result is joined back, where large groups can be split.
     """
     named = written(identities(docs, id_col, text_col, block_bytes), "identities")
-    groups = named.groupBy("n_blocks", "name").agg(F.max(F.struct("points", (-F.col("doc_id")).alias("back")))["back"].alias("back"), F.count("*").alias("group_size"))
+    groups = _best(named).select("n_blocks", "name", F.col("best.back").alias("back"), "group_size")
     return named.join(groups.hint("rebalance"), ["n_blocks", "name"]).select(
         "doc_id", (-F.col("back")).alias("keep_id"), "group_size", (F.col("doc_id") == -F.col("back")).alias("kept"), "text_sha256"
     )
 
 
+def _tagged(batches, text_at):
+    """The rows with their text's digest and code points."""
+    for batch in batches:
+        found = [(hashlib.sha256(text).hexdigest(), n) for text, n in _normalised(batch.column(text_at))]
+        extra = [pa.array([s for s, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "__sha", "__points"])
+
+
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay."""
-    stays = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__stays"))
-    return docs.join(stays, docs[id_col] == F.col("__stays"), "left_semi")
+    """The rows of ``docs`` that stay: one of each group of equal texts, whether its id is null, on several rows, or neither.
+
+    Rows meet what stays by id, digest and code points; of rows that are alike in these, the texts differ in white space at most, and one stays.
+    """
+    stays = _best(written(identities(docs, id_col, text_col), "identities"))
+    keep = (-F.col("best.back")).alias("__id")
+    stays = stays.select(keep, F.col("best.points").alias("__points"), F.col("text_sha256").alias("__sha"))
+    keys = ["__key", "__null", "__sha", "__points"]
+    keyed = lambda df, id: df.withColumns({"__key": F.coalesce(F.col(id).cast("long"), F.lit(0).cast("long")), "__null": F.col(id).isNull()})
+    shape = T.StructType([*docs.schema.fields, T.StructField("__sha", T.StringType()), T.StructField("__points", T.LongType())])
+    at = docs.columns.index(text_col)
+    rows = keyed(docs.mapInArrow(lambda it: _tagged(it, at), shape), id_col)
+    chosen = rows.join(keyed(stays, "__id").select(keys), keys, "left_semi").dropDuplicates(keys)
+    return chosen.select(docs.columns)
