@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellrank.llm import bpe, classifier, language_model, mixing, token_files, transducer, warc, wrappers
+from dwellrank.llm import bpe, classifier, language_model, mixing, runs, token_files, transducer, warc, wrappers
 from dwellrank.llm.blocks import exact_groups
 from dwellrank.llm.common import shared_path
 from dwellrank.llm.jaccard import jaccard_components
@@ -149,3 +149,8 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_path(spark, "token-files")
     token_files.write_token_files(_table(spark, sf, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
     return token_files.read_token_files(spark, path)
+
+
+@query("op13_lyndon_runs")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.periodic_runs(_table(spark, sf, "documents"), tails=True)
