@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dwellrank.llm import bpe, classifier, language_model, mixing, runs, token_files, transducer, warc, wrappers
 from dwellrank.llm.blocks import exact_groups
 from dwellrank.llm.common import shared_path
+from dwellrank.llm.impact_search import top_documents
 from dwellrank.llm.jaccard import jaccard_components
 from dwellrank.llm.neardup_vectors import near_duplicates
 
@@ -154,3 +155,24 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
 @query("op13_lyndon_runs")
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return runs.periodic_runs(_table(spark, sf, "documents"), tails=True)
+
+
+@query(
+    "op12_impact_search",
+    """
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as t from documents),
+s as (select count(*) as big_n, sum(len(t))::bigint as big_l from d where len(t) > 0),
+q as (
+  select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from benchmark),
+p as (select r, doc_id, n, term, count(*) as tf from (select r, doc_id, len(t) as n, unnest(t) as term from d) where term in (select term from q) group by all),
+w as (select term, floor(1000 * ln((2 * any_value(big_n) + 2)::double / (2 * count(*) + 1)))::bigint as w from p, s group by term),
+f as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))))::bigint as score
+  from q join p using (term) join w using (term), s group by item_id, r, doc_id)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from f where score > 0
+qualify rank <= 10
+""",
+)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return top_documents(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
