@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dwellrank.operators.tokens import bare_word, place_words
 
 BLOCK_CELLS = 1 << 18  # attention scores held at a time
+KEY_BLOCK = 1 << 12  # distinct tokens that are keys at a time
+OUT_CELLS = 1 << 20  # vector entries that an Arrow function holds before it passes them on
 
 
 def unit_rows(m: np.ndarray) -> np.ndarray:
@@ -27,29 +30,57 @@ def hash_rows(tokens: list[str], dim: int, prefix: str = "passage::") -> np.ndar
     return unit_rows(raw[:, np.arange(dim) % 32] / 255.0 * 2.0 - 1.0)
 
 
-def attend(rows: np.ndarray, inverse: np.ndarray, weights: np.ndarray, mask: np.ndarray | None = None) -> Iterator[np.ndarray]:
-    """softmax(diag(g)·H·Hᵀ/√d)·H for H = rows[inverse], block by block (V8).
+def attention_state(queries: np.ndarray, values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Softmax of every query row over some keys as a state that can be merged.
+
+    Per query: the greatest score, the sum of the exponentials relative to it
+    and the sum of the values weighted by them; a key counts ``counts`` times.
+    """
+    scores = queries @ values.T
+    peak = scores.max(axis=1)
+    scores -= peak[:, None]
+    np.exp(scores, out=scores)
+    scores *= counts
+    return peak, scores.sum(axis=1), scores @ values
+
+
+def merge_states(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The state over the keys of both."""
+    peak = np.maximum(a[0], b[0])
+    left, right = np.exp(a[0] - peak), np.exp(b[0] - peak)
+    return peak, a[1] * left + b[1] * right, a[2] * left[:, None] + b[2] * right[:, None]
+
+
+def attention_states(
+    rows: np.ndarray, inverse: np.ndarray, weights: np.ndarray, mask: np.ndarray | None = None, begin: int = 0, past: int | None = None,
+) -> Iterator[tuple[slice, tuple | None]]:
+    """States of diag(g)·H·Hᵀ/√d for H = rows[inverse], for blocks of the tokens [begin, past) over all tokens (V8).
 
     Equal token vectors are one key with a multiplicity: the work is
-    tokens × distinct tokens and the memory one block, whatever the length.
-    Masked tokens are no keys and attend to nothing.
+    tokens × distinct tokens. Keys are taken in blocks whose states are merged,
+    so the memory is one block of scores, whatever the text. Masked tokens are
+    no keys; without any key the state is None.
     """
     keys = inverse if mask is None else inverse[mask]
     counts = np.bincount(keys, minlength=len(rows)).astype(np.float64)
     used = np.flatnonzero(counts)
     values, counts = rows[used], counts[used]
     scale = np.sqrt(rows.shape[1])
-    block = max(16, BLOCK_CELLS // max(1, len(used)))
-    for at in range(0, len(inverse), block):
-        part = slice(at, at + block)
-        if not len(used):
-            yield np.zeros((len(inverse[part]), rows.shape[1]))
-            continue
-        scores = (weights[part, None] / scale * rows[inverse[part]]) @ values.T
-        scores -= scores.max(axis=1, keepdims=True)
-        np.exp(scores, out=scores)
-        scores *= counts
-        out = (scores @ values) / scores.sum(axis=1, keepdims=True)
+    past = len(inverse) if past is None else past
+    block = max(16, BLOCK_CELLS // max(1, min(KEY_BLOCK, len(used))))
+    for at in range(begin, past, block):
+        part = slice(at, min(past, at + block))
+        queries = weights[part, None] / scale * rows[inverse[part]]
+        states = (attention_state(queries, values[k:k + KEY_BLOCK], counts[k:k + KEY_BLOCK]) for k in range(0, len(used), KEY_BLOCK))
+        yield part, reduce(merge_states, states) if len(used) else None
+
+
+def attend(
+    rows: np.ndarray, inverse: np.ndarray, weights: np.ndarray, mask: np.ndarray | None = None, begin: int = 0, past: int | None = None,
+) -> Iterator[np.ndarray]:
+    """softmax(diag(g)·H·Hᵀ/√d)·H, block by block (V8). Masked tokens attend to nothing."""
+    for part, state in attention_states(rows, inverse, weights, mask, begin, past):
+        out = np.zeros((part.stop - part.start, rows.shape[1])) if state is None else state[2] / state[1][:, None]
         if mask is not None:
             out[~mask[part]] = 0.0
         yield out
@@ -142,7 +173,7 @@ def chunk_vectors(tokens: Column, token_starts: Column, weights: Column, chunk_s
     def vectors(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         last, cached = None, None
         for batch in batches:
-            out = []
+            out, held = [], 0
             for words, starts, weight, a, b, *given in zip(*batch):
                 words = list(words)
                 if given:
@@ -153,19 +184,50 @@ def chunk_vectors(tokens: Column, token_starts: Column, weights: Column, chunk_s
                 starts = np.asarray(starts)
                 ends = starts + np.array([len(w) for w in words])
                 firsts, pasts = _token_range(starts, ends, np.asarray(a), np.asarray(b))
+                begin, past = int(firsts.min(initial=len(inverse))), int(pasts.max(initial=0))
                 if weight is None:
-                    blocks = (rows[inverse[i:i + 4096]] for i in range(0, len(inverse), 4096))
+                    blocks = (rows[inverse[i:min(past, i + 4096)]] for i in range(begin, past, 4096))
                 else:
                     weight = np.asarray(weight, dtype=np.float64)
                     if weight.shape != inverse.shape:
                         raise ValueError("one weight per token is needed")
-                    blocks = attend(rows, inverse, weight)
-                out.append(list(pool_chunks(blocks, firsts, pasts, rows.shape[1]).astype(np.float32)))
-            yield pd.Series(out)
+                    blocks = attend(rows, inverse, weight, begin=begin, past=past)
+                out.append(list(pool_chunks(blocks, firsts - begin, pasts - begin, rows.shape[1]).astype(np.float32)))
+                held += len(firsts) * rows.shape[1]
+                if held > OUT_CELLS:
+                    yield pd.Series(out)
+                    out, held = [], 0
+            if out:
+                yield pd.Series(out)
 
     return vectors(tokens, token_starts, weights, chunk_starts, chunk_ends, *([] if hidden is None else [hidden]))
 
 
+def softmax_states(tokens: Column, weights: Column, dim: int, encode: Callable | None = None) -> Column:
+    """struct<peak, total: array<double>> of every token's softmax over all tokens of its text.
+
+    The probability of key j for query i is exp(score(i, j) - peak[i]) / total[i].
+    """
+    rows_of = encode or encoder_rows(dim)
+
+    @F.pandas_udf("struct<peak:array<double>,total:array<double>>")
+    def states(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for words, weight in batches:
+            peaks, totals, held = [], [], 0
+            for w, g in zip(words, weight):
+                found = [state for _, state in attention_states(*rows_of(list(w)), np.asarray(g, np.float64))]
+                peaks.append(np.concatenate([f[0] for f in found]))
+                totals.append(np.concatenate([f[1] for f in found]))
+                held += len(w)
+                if held > OUT_CELLS:
+                    yield pd.DataFrame({"peak": peaks, "total": totals})
+                    peaks, totals, held = [], [], 0
+            if peaks:
+                yield pd.DataFrame({"peak": peaks, "total": totals})
+
+    return states(tokens, weights)
+
+
 def reader_weights(tokens: Column, token_starts: Column, word: Column, trt: Column, n: Column, inspected: Column,
                    transform: str = "log1p", eps: float = 1e-8, compat: bool = True) -> Column:
     """Per-token gaze distribution, inspection weight and reading-time mass of one reader.

@@ -8,7 +8,7 @@ from dwellrank.functions import scores as S
 from dwellrank.functions.arrays import explode_rows
 from dwellrank.functions.text import overlapping_tokens, piece_spans, word_spans
 from dwellrank.operators import embed as B, retrieve as R, tokens as T
-from dwellrank.operators.attention import reader_weights
+from dwellrank.operators.attention import reader_weights, softmax_states
 from dwellrank.operators.ordering import top_share_sum
 from dwellrank.plans import workload as D
 from dwellrank.plans.corpora import WORDS, big, r6
@@ -26,16 +26,18 @@ tok as (select doc_id, reader_id, (t0 + unnest(range(0, n)))::bigint as token_po
 """
 
 
-def _weighed(spark, sf):
-    """gaze, inspect and mass of every token under two readers, by the function the stages use."""
-    d = D.documents(spark, sf).select("doc_id", word_spans(F.col("text")).alias("w"), piece_spans(F.col("text"), 4).alias("p")).where(F.size("w") > 0)
+def _weighed(spark, sf, words_only=False):
+    """gaze, inspect and mass of every token under two readers, by the function the stages use; tokens are pieces of words, or words."""
+    cut = word_spans(F.col("text")) if words_only else piece_spans(F.col("text"), 4)
+    d = D.documents(spark, sf).select("doc_id", word_spans(F.col("text")).alias("w"), cut.alias("p")).where(F.size("w") > 0)
     d = d.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("j"))
     ones = F.transform("w", lambda w: F.lit(1).cast("bigint"))
     trt = F.transform("w", lambda w, i: ((i * 37 + F.col("doc_id") * 11 + F.col("j") * 101) % 400).cast("double"))
     inspected = F.transform("w", lambda w, i: F.when((i + F.col("j")) % 3 == 0, 0).otherwise(1).cast("bigint"))
     weights = reader_weights(
         F.transform("p", lambda t: t["text"]), F.transform("p", lambda t: t["start"]), F.transform("w", lambda w: w["text"]), trt, ones, inspected, compat=False)
-    return d.select("doc_id", F.concat(F.lit("r"), "j").alias("reader_id"), weights.alias("r")).select("doc_id", "reader_id", "r.*")
+    tokens = F.transform("p", lambda t: t["text"]).alias("tokens")
+    return d.select("doc_id", F.concat(F.lit("r"), "j").alias("reader_id"), tokens, weights.alias("r")).select("doc_id", "reader_id", "tokens", "r.*")
 
 
 @query("J5_word_tokens", "with" + PIECES + """z as (select 1)
@@ -186,31 +188,83 @@ def _encoded(spark, sf):
     return B.encode_texts(D.paragraphs(spark, sf).where(F.col("paragraph_text").rlike(r"\S")), "fixed_words", 40)
 
 
-def _entries(embeddings):
+def _entries(embeddings, digits=4):
     """Every entry of every vector, one row each."""
     return embeddings.select("embedding_id", "chunk_id", F.posexplode("vec").alias("d", "x")).select(
-        "embedding_id", "chunk_id", big(F.col("d")).alias("d"), F.round(F.col("x").cast("double"), 4).alias("x"))
+        "embedding_id", "chunk_id", big(F.col("d")).alias("d"), F.round(F.col("x").cast("double"), digits).alias("x"))
 
 
-@query("V8_gaze_attention")
+# the attention of every token over all tokens of its text: keys are the distinct lower-case tokens with their multiplicities
+VECTORS = WORDS + r"""
+tk as (select doc_id, word_pos, word, lower(word) w from words),
+raw as (select w, list_transform(range(32), lambda i: ('0x' || substring(sha256('passage::' || w), 2 * i + 1, 2))::int / 255.0::double * 2 - 1) v from (select distinct w from tk)),
+hv as materialized (select w, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))::double[32] v from raw),
+di as materialized (select doc_id, w, count(*)::double m, any_value(v) v from tk join hv using (w) group by 1, 2),
+"""
+READERS = r"""
+rd as (select doc_id, word_pos, 'r' || j as reader_id, ((word_pos * 37 + doc_id * 11 + j * 101) % 400)::double as trt, (1 - ((word_pos + j) % 3 = 0)::int)::double as inspect
+       from words, (select unnest([0, 1]) j)),
+gaze as (select *, (ln(1 + trt) + 1e-8::double) / sum(ln(1 + trt) + 1e-8::double) over (partition by doc_id, reader_id) as g from rd),
+"""
+ATTENTION = r"""
+q as materialized (select doc_id, reader_id, word_pos, g / sqrt(32.0::double) as g, v from tk join weights using (doc_id, word_pos) join hv using (w)),
+"""
+
+
+def _view_sql(weights: str, condition: str) -> str:
+    """Chunk vectors under the weights (doc_id, reader_id, word_pos, g) that ``weights`` defines."""
+    sums = ", ".join(f"sum(e * v[{d + 1}]) as s{d}" for d in range(32))
+    means = ", ".join(f"sum(s{d} / z)" for d in range(32))
+    return f"""with{VECTORS}{weights}{ATTENTION}
+z as (select doc_id, reader_id, word_pos, sum(e) as z, {sums}
+      from (select q.doc_id, reader_id, word_pos, m * exp(g * array_inner_product(q.v, di.v)) as e, di.v as v from q join di using (doc_id)) group by 1, 2, 3),
+su as (select doc_id, reader_id, word_pos // 40 as c, [{means}] s from z group by 1, 2, 3)
+select doc_id || '::{condition}::' || coalesce(reader_id, 'none') || '::p' || doc_id || ':chunk=' || c as embedding_id, 'p' || doc_id || ':chunk=' || c as chunk_id,
+       unnest(range(32))::bigint as d, round((unnest(s) / sqrt(list_dot_product(s, s)))::float::double, 5) as x from su"""
+
+
+def _view(spark, sf, condition):
+    """Chunk vectors of whole documents; every occurrence of a word is placed on its own token (J7 has the other rule)."""
+    read = None if condition == "predicted_trt_gaze" else _reading_rows(spark, sf)
+    return _entries(B.embed(_encoded(spark, sf), read, [condition], 32, compat=False), 5)
+
+
+@query("W5_attention_softmax", "with" + VECTORS + READERS + "weights as (select doc_id, reader_id, word_pos, g from gaze)," + ATTENTION + r"""
+z as (select q.doc_id, reader_id, word_pos, max(g * array_inner_product(q.v, di.v)) as peak, sum(m * exp(g * array_inner_product(q.v, di.v))) as z
+      from q join di using (doc_id) group by 1, 2, 3)
+select doc_id, reader_id, word_pos::bigint as token_pos, round(peak, 9) as peak, round(z * exp(-peak), 6) as total from z""")
+def attention_softmax(spark, sf):
+    """Greatest score and sum of exponentials of every token's softmax over the tokens of its text."""
+    w = _weighed(spark, sf, words_only=True)
+    states = w.select("doc_id", "reader_id", softmax_states(F.col("tokens"), F.col("gaze"), 32).alias("s"))
+    rows = explode_rows(states, ["doc_id", "reader_id"], F.arrays_zip("s.peak", "s.total"), "token_pos", "z")
+    return rows.select(
+        "doc_id", "reader_id", big(F.col("token_pos")).alias("token_pos"), F.round("z.peak", 9).alias("peak"), F.round("z.total", 6).alias("total"))
+
+
+@query("V8_gaze_attention", _view_sql(READERS + "weights as (select doc_id, reader_id, word_pos, g from gaze),", "actual_gaze"))
 def gaze_attention(spark, sf):
-    """Chunk vectors under every reader's attention, whole documents (checked against dense numpy in the tests)."""
-    return _entries(B.embed(_encoded(spark, sf), _reading_rows(spark, sf), ["actual_gaze"], 32))
+    """Chunk vectors under every reader's attention (V9)."""
+    return _view(spark, sf, "actual_gaze")
 
 
-@query("V11_mean_gaze_view")
+@query("V11_mean_gaze_view", _view_sql(READERS + """
+mean as (select doc_id, word_pos, avg(g) g from gaze group by 1, 2),
+weights as (select doc_id, null::varchar as reader_id, word_pos, g / sum(g) over (partition by doc_id) as g from mean),""", "mean_gaze"))
 def mean_view(spark, sf):
-    return _entries(B.embed(_encoded(spark, sf), _reading_rows(spark, sf), ["mean_gaze"], 32))
+    return _view(spark, sf, "mean_gaze")
 
 
-@query("V12_skip_view")
+@query("V12_skip_view", _view_sql(READERS + "weights as (select doc_id, reader_id, word_pos, inspect as g from rd),", "actual_skip_hard"))
 def skip_view(spark, sf):
-    return _entries(B.embed(_encoded(spark, sf), _reading_rows(spark, sf), ["actual_skip_hard"], 32))
+    return _view(spark, sf, "actual_skip_hard")
 
 
-@query("V13_predicted_view")
+@query("V13_predicted_view", _view_sql(r"""
+guess as (select doc_id, word_pos, ln(1 + length(regexp_replace(regexp_replace(word, '^[^A-Za-z0-9]+', ''), '[^A-Za-z0-9]+$', '')) / 10.0::double) + 1e-8::double as w from words),
+weights as (select doc_id, null::varchar as reader_id, word_pos, w / sum(w) over (partition by doc_id) as g from guess),""", "predicted_trt_gaze"))
 def predicted_view(spark, sf):
-    return _entries(B.embed(_encoded(spark, sf), None, ["predicted_trt_gaze"], 32))
+    return _view(spark, sf, "predicted_trt_gaze")
 
 
 @query("V10_text_view", "with" + WORDS + r"""

@@ -16,9 +16,10 @@ def dense(h, g, mask=None):
     return out
 
 
-@pytest.mark.parametrize("cells", [1, 64, 1 << 18])
-def test_attention_matches_dense(monkeypatch, cells):
+@pytest.mark.parametrize(("cells", "keys"), [(1, 1 << 12), (64, 2), (1 << 18, 1), (1 << 18, 1 << 12)])
+def test_attention_matches_dense(monkeypatch, cells, keys):
     monkeypatch.setattr(A, "BLOCK_CELLS", cells)
+    monkeypatch.setattr(A, "KEY_BLOCK", keys)
     rng = np.random.default_rng(0)
     rows, inverse = rng.normal(size=(7, 5)), rng.integers(0, 7, 60)
     g = rng.random(60)
@@ -29,6 +30,24 @@ def test_attention_matches_dense(monkeypatch, cells):
     assert not np.vstack(list(A.attend(rows, inverse, g, np.zeros(60, bool)))).any()
 
 
+def test_attention_of_a_part():
+    rng = np.random.default_rng(2)
+    rows, inverse, g = rng.normal(size=(5, 4)) * 30, rng.integers(0, 5, 40), rng.random(40)
+    assert np.allclose(np.vstack(list(A.attend(rows, inverse, g, begin=7, past=23))), dense(rows[inverse], g)[7:23], atol=1e-12)
+
+
+def test_states_merge_in_any_order():
+    """Scores of hundreds on either side overflow no exponential; the parts of the keys may be merged in any order."""
+    rng = np.random.default_rng(5)
+    q, v, n = rng.normal(size=(6, 3)) * 40, rng.normal(size=(9, 3)) * 10, rng.integers(1, 4, 9).astype(float)
+    whole = A.attention_state(q, v, n)
+    parts = [A.attention_state(q, v[a:b], n[a:b]) for a, b in ((0, 2), (2, 3), (3, 9))]
+    for order in ((0, 1, 2), (2, 0, 1), (1, 2, 0)):
+        a, b, c = (parts[k] for k in order)
+        got = A.merge_states(a, A.merge_states(b, c))
+        assert np.allclose(got[0], whole[0]) and np.allclose(got[1], whole[1]) and np.allclose(got[2] / got[1][:, None], whole[2] / whole[1][:, None])
+
+
 def test_attention_by_hand():
     h = np.eye(2)
     got = np.vstack(list(A.attend(h, np.array([0, 1]), np.array([1.0, 0.0]))))
@@ -157,6 +176,25 @@ def test_embeddings(spark):
     assert rows[0]["embedding_id"].startswith("q1::text::none::p1:chunk=") and {tuple(r["token_indices"]) for r in rows} == {(0, 1), (2, 3)}
 
 
+def test_slices_of_long_texts(spark, monkeypatch):
+    """Texts cut into slices of two tokens have the vectors of whole ones, every chunk once."""
+    conditions = ["text", "actual_gaze", "mean_gaze", "actual_skip_hard"]
+    order = lambda df: sorted((r["embedding_id"], r["text"], tuple(r["token_indices"]), [round(x, 5) for x in r["vec"]]) for r in df.collect())
+    whole = order(embedded(spark, conditions)[0])
+    monkeypatch.setattr(B, "SLICE_BITS", 1)
+    monkeypatch.setattr(A, "OUT_CELLS", 1)
+    assert order(embedded(spark, conditions)[0]) == whole
+
+
+def test_a_weight_changes_a_vector(spark):
+    df, _ = embedded(spark, ["actual_gaze"])
+    q = spark.createDataFrame([("q1", "p1", "Alpha beta. Gamma alpha.", "?", 0)], "example_id string, paragraph_id string, paragraph_text string, question string, example_ordinal bigint")
+    rows = spark.createDataFrame([("q1", "r1", i, w, 900.0 if i == 0 else 1.0, 0.0, i) for i, w in enumerate("Alpha beta. Gamma alpha.".split())], WORDS)
+    other = {r["chunk_id"]: r["vec"] for r in B.embed(B.encode_texts(q), rows, ["actual_gaze"], 16).collect()}
+    first = {r["chunk_id"]: r["vec"] for r in df.collect() if r["reader_id"] == "r1"}
+    assert max(abs(a - b) for c in first for a, b in zip(first[c], other[c])) > 1e-4
+
+
 def test_embedding_errors(spark):
     with pytest.raises(ValueError):
         embedded(spark, ["other"])
