@@ -11,7 +11,7 @@ from dwellrank.operators import embed as B, retrieve as R, tokens as T
 from dwellrank.operators.attention import reader_weights, softmax_states
 from dwellrank.operators.ordering import top_share_sum
 from dwellrank.plans import workload as D
-from dwellrank.plans.corpora import WORDS, big, r6
+from dwellrank.plans.corpora import CANONICAL, WORDS, big, r6
 from dwellrank.plans.registry import query
 from dwellrank.session import shared_dir
 from dwellrank.sources import writers as OUT
@@ -166,14 +166,54 @@ def seeded_derangement(spark, sf):
     return T.deranged_shuffle(e, 13)
 
 
-@query("J7_word_placement")
+_MARKS = r"[!-/:-@\[-`{-~]"  # ASCII punctuation
+
+
+def _placement_sql() -> str:
+    """Words one after the other: each takes the first token from the one before on that a rule places it in, in the order of the rules."""
+
+    def inner(x):
+        return f"regexp_replace(regexp_replace({x}, '^{_MARKS}+', ''), '{_MARKS}+$', '')"
+
+    def bare(x):
+        return CANONICAL.replace("word", x)
+
+    return f"""with recursive{WORDS}
+shown as (select doc_id, word_pos, word as token, "end" - length(word) as s, case
+    when word_pos % 3 = 1 and {inner("word")} <> '' then {inner("word")}
+    when word_pos % 3 = 2 and regexp_full_match(word, '[A-Za-z]+') then upper(word) else word end as word from words),
+texts as materialized (select doc_id, count(*) as total, list({{'token': token, 'bare': {bare("token")}, 's': s, 'word': word, 'inner': {inner("word")}, 'wanted': {bare("word")}}} order by word_pos) as w
+    from shown group by 1),
+placed as (
+  select doc_id, -1::bigint as n, 1::bigint as k, 0::bigint as a, 0::bigint as b from texts
+  union all
+  select doc_id, n, k, a, case when t.token = x.word then a + length(t.token) when a_word >= 0 then a + length(x.word) when a_inner >= 0 then a + length(x.inner)
+           when position(x.word in t.token) > 0 then a + length(x.word) else a + length(t.token) end as b
+  from (select *, case when t.token = x.word then t.s when a_word >= 0 then a_word when a_inner >= 0 then a_inner
+                       when position(x.word in t.token) > 0 then t.s + position(x.word in t.token) - 1 else t.s end as a
+        from (select doc_id, n, k, t, x,
+                     case when position(x.word in t.token) > 0 and t.s + position(x.word in t.token) - 1 >= cursor then t.s + position(x.word in t.token) - 1 else -1 end as a_word,
+                     case when x.inner <> '' and position(x.inner in t.token) > 0 and t.s + position(x.inner in t.token) - 1 >= cursor then t.s + position(x.inner in t.token) - 1 else -1 end as a_inner
+              from (select doc_id, n, cursor, k, w[k] as t, x from (
+                    select doc_id, n, cursor, w, x, list_filter(range(k, n + 2), lambda j: w[j].token = x.word
+                        or (position(x.word in w[j].token) > 0 and w[j].s + position(x.word in w[j].token) - 1 >= cursor)
+                        or (x.inner <> '' and position(x.inner in w[j].token) > 0 and w[j].s + position(x.inner in w[j].token) - 1 >= cursor)
+                        or w[j].bare = x.wanted)[1] as k
+                    from (select p.doc_id, p.n + 1 as n, p.k, p.b as cursor, w, w[p.n + 2] as x from placed p join texts using (doc_id) where p.n + 1 < total)))))
+)
+select doc_id, n as word_pos, a as "start", b as "end" from placed where n >= 0"""
+
+
+@query("J7_word_placement", _placement_sql())
 def word_placement(spark, sf):
-    """Every word of a text placed in its own text; a doubled word lands on its first occurrence."""
+    """Words as a reader's records may spell them (without outer punctuation, in capitals) placed in the words of their text."""
     e = B.encode_texts(D.paragraphs(spark, sf).where(F.col("paragraph_text").rlike(r"\S")), "whole_paragraph", 1)
-    spans = T.align_words_udf(compat=True)("token_starts", "tokens", "tokens")
-    e = e.select("doc_id", "tokens", spans.alias("s"))
-    starts = F.transform("s", lambda x: x["start"])
-    return e.select("doc_id", big(F.size("tokens")).alias("words"), big(F.size(F.array_distinct(starts))).alias("runs"))
+    plain = lambda t: F.regexp_replace(t, r"\A\p{Punct}+|\p{Punct}+\z", "")
+    words = F.transform("tokens", lambda t, i: F.when((i % 3 == 1) & (plain(t) != ""), plain(t)).when((i % 3 == 2) & t.rlike(r"\A[A-Za-z]+\z"), F.upper(t)).otherwise(t))
+    spans = T.align_words_udf(compat=True)("token_starts", "tokens", "words")
+    placed = e.withColumn("words", words).select("doc_id", spans.alias("s"))
+    rows = explode_rows(placed, ["doc_id"], F.col("s"), "word_pos", "x")
+    return rows.select("doc_id", big(F.col("word_pos")).alias("word_pos"), big(F.col("x.start")).alias("start"), big(F.col("x.end")).alias("end"))
 
 
 def _reading_rows(spark, sf):

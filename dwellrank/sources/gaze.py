@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
+import json
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BATCH_ROWS = 250_000
+from dwellrank.sources.stores import matching
+from dwellrank.sources.zipped import ZippedCsv, member_header
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -27,12 +25,13 @@ def require(spark: SparkSession, path: str) -> str:
 def read_interest_areas(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """All columns as text, pruned to ``columns``; ``src_ordinal`` is the source order.
 
-    A plain CSV is split over tasks. A zip archive cannot be split: one task
-    streams each archive, so many archives or unpacked files suit large data.
+    A plain CSV is split over tasks. Of archives (``.zip``, a name or a glob)
+    every member is read by one task as it is inflated, so its memory does not
+    grow with the archive.
     """
-    require(spark, path)
     if path.endswith(".zip"):
         return _read_zipped(spark, path, columns)
+    require(spark, path)
     header = list(spark.read.option("escape", '"').csv(path).first())
     schema = ", ".join(f"`{n}` string" for n in distinct_names(header))
     # every file's header is held against the first one's, unless repeated names had to be changed
@@ -64,43 +63,19 @@ def picked_names(header: list[str], columns: list[str] | None) -> list[str]:
     return unique if columns is None else [unique[header.index(c)] for c in columns]
 
 
-def _zip_header(spark: SparkSession, path: str) -> list[str]:
-    head = spark.read.format("binaryFile").load(path).select("content").limit(1)
-
-    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    with archive.open(_member(archive)) as handle:
-                        yield pd.DataFrame({"name": list(pd.read_csv(handle, nrows=0).columns)})
-
-    return [r["name"] for r in head.mapInPandas(names, "name string").collect()]
-
-
-def _member(archive: zipfile.ZipFile) -> str:
-    return next(n for n in archive.namelist() if n.endswith(".csv") and not n.startswith("__MACOSX"))
-
-
 def _read_zipped(spark: SparkSession, path: str, columns: list[str] | None) -> DataFrame:
-    header = _zip_header(spark, path)
-    raw, names = columns or header, picked_names(header, columns)
+    header = member_header(matching(path, ".zip")[0])
+    names = picked_names(header, columns)
     schema = ", ".join(f"`{n}` string" for n in names) + ", src_ordinal struct<file:string,block:bigint,row:bigint>"
+    spark.dataSource.register(ZippedCsv)
+    options = {"path": path, "header": json.dumps(header), "columns": json.dumps(columns or [])}
+    return spark.read.format("zipped_csv").schema(schema).options(**options).load()
+
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    with archive.open(_member(archive)) as handle:
-                        if list(pd.read_csv(handle, nrows=0).columns) != header:
-                            raise ValueError(f"{file} has other columns than the first archive")
-                with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(_member(archive)) as handle:
-                    for part in pd.read_csv(handle, usecols=raw, dtype=str, chunksize=BATCH_ROWS):
-                        part = part[raw].set_axis(names, axis=1)
-                        part = part.astype(object).where(part.notna(), None)
-                        part["src_ordinal"] = [{"file": file, "block": 0, "row": int(i)} for i in part.index]
-                        yield part
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, schema)
+def write_zipped_csv(df: DataFrame, path: str) -> None:
+    """A folder of zipped CSV files with headers, one for each partition; null is empty."""
+    df.sparkSession.dataSource.register(ZippedCsv)
+    df.select(*[F.col(f"`{c}`").cast("string") for c in df.columns]).write.format("zipped_csv").mode("overwrite").option("path", path).save()
 
 
 def inspect_interest_areas(df: DataFrame) -> DataFrame:
