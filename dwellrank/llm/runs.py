@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellrank.llm.common import BYTE_VALUES, flat, mixed, powers, steps, word_spans
+from dwellrank.llm.common import exact_hashes, flat, mixed, steps, word_spans
 
 #: Words and periods a run has at least.
 LEAST_WORDS, LEAST_PERIODS = 24, 3
@@ -175,14 +175,6 @@ def runs(words: list, least: int = LEAST_WORDS, periods: int = LEAST_PERIODS) ->
     return found[np.lexsort((found[:, 2], found[:, 0]))]
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word as it stands; equal words have equal ones."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * up[:-1], out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
 def stretches(h: np.ndarray, bounds: np.ndarray, least: int = LEAST_WORDS) -> list[tuple[int, int]]:
     """Maximal stretches of words, each within one text, that are covered by sequences of 2 * least / 3 words that recur in their stretch.
 
@@ -250,7 +242,7 @@ def _found(batches, least, periods, tails, full):
                     i, j = int(bounds[k - a]), int(bounds[k - a + 1])
                     if (tail := repeated_tail(names[k], j - i)) is not None:
                         word[i + tail[0] : j] = i + tail[0] + np.arange(j - i - tail[0]) % tail[1]
-            h = _hashes(part, starts, ends)[word] if len(word) else np.zeros(0, np.uint64)
+            h = exact_hashes(part, starts, ends)[word] if len(word) else np.zeros(0, np.uint64)
             raw = part.tobytes()
             found: dict[int, list] = {}
             dropped = np.zeros(len(word) + 1, np.int64)

@@ -16,6 +16,7 @@ The closing byte is the line separator of Spark's text writer, which writes the
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import zlib
@@ -27,7 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dwellrank.llm.common import flat, steps, worker_cache
+from dwellrank.llm.bpe import byte_of_character
+from dwellrank.llm.common import exact_hashes, flat, steps, worker_cache
 from dwellrank.llm.transducer import symbols, word_starts
 
 #: Ids of a block (places in an exception list are single bytes), and the share of them, in percent, that sets its width.
@@ -36,8 +38,10 @@ BLOCK, PERCENTILE = 256, 90
 SEGMENT_IDS = 1 << 18
 #: Bytes of text in a file, and in the smaller files that are made while there are fewer of them than shuffle partitions.
 FILE_BYTES, LEAST_FILE_BYTES = 128 << 20, 4 << 20
-#: Words whose ids a task keeps.
-KEPT_WORDS = 200_000
+#: Words whose ids a worker keeps, in arrays of some 60 bytes each; beyond that it starts anew.
+KEPT_WORDS = 1_000_000
+#: Words that the model encodes at a time.
+JOINED = 64
 
 # fixed values of the format
 MAGIC, CLOSING = b"PFB1", "\n"
@@ -148,27 +152,65 @@ def segments(content: bytes) -> Iterator[Segment]:
 
 
 class Encoder:
-    """Ids as the tokenizers library gives them. Texts are cut into the words the library would cut them into; each new word is encoded by it."""
+    """Ids as the tokenizers library gives them. Texts are cut into the words the library would cut them into; its model encodes each new word."""
 
     def __init__(self, content: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has the core it runs on
         from tokenizers import Tokenizer
 
-        cache = worker_cache()
-        key = ("tokenizer", zlib.crc32(content), len(content))
-        if key not in cache:
-            cache[key] = Tokenizer.from_str(content.decode())
-            cache[key].no_truncation()
-            cache[key].no_padding()
-        self.library = cache[key]
+        self.library = Tokenizer.from_str(content.decode())
+        self.library.no_truncation()
+        self.library.no_padding()
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
-
-    def _of(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.letters = {b: c for c, b in byte_of_character().items()}
+        tokens = self.library.get_vocab()
+        self.size = np.zeros(max(tokens.values()) + 1, np.int64)
+        self.size[list(tokens.values())] = [len(t) for t in tokens]
+        blank = self.letters[0x20]
+        #: Bytes that stand before a blank within some token; words that end in one aren't joined to the next.
+        bytes_of = {c: b for b, c in self.letters.items()}
+        self.sticky = {bytes_of[before] for t in tokens for before, c in zip(t, t[1:]) if c == blank and before in bytes_of}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.id_ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.bytes, self.byte_ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
+    def _model_ids(self, text: bytes) -> list[int]:
+        return [t.id for t in self.library.model.tokenize(text.decode("latin-1").translate(self.letters))]
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Adds words to the table. Words with a leading blank go to the model many at a time: no merge crosses from one to the next."""
+        lone = [not (w[0] == 0x20 and w[-1] not in self.sticky and w.rfind(b" ") == 0) for w in words]
+        order = [k for k, alone in enumerate(lone) if alone] + [k for k, alone in enumerate(lone) if not alone]
+        words, keys, split = [words[k] for k in order], keys[order], sum(lone)
+        collecting = gc.isenabled()
+        gc.disable()  # the many small objects from the model are freed by their counts
+        try:
+            ids = [i for w in words[:split] for i in self._model_ids(w)]
+            ids += [i for k in range(split, len(words), JOINED) for i in self._model_ids(b"".join(words[k : k + JOINED]))]
+        finally:
+            if collecting:
+                gc.enable()
+        byte_ends = np.cumsum([len(w) for w in words])
+        new = np.array(ids, np.uint32)
+        id_ends = np.searchsorted(np.cumsum(self.size[new]), byte_ends) + 1
+        rows = np.arange(len(words)) + len(self.rows)
+        self.ids, self.id_ends = np.r_[self.ids, new], np.r_[self.id_ends, len(self.ids) + id_ends]
+        self.bytes, self.byte_ends = np.r_[self.bytes, np.frombuffer(b"".join(words), np.uint8)], np.r_[self.byte_ends, len(self.bytes) + byte_ends]
+        self.keys, self.rows = np.r_[self.keys, keys], np.r_[self.rows, rows]
+        order = np.argsort(self.keys, kind="stable")
+        self.keys, self.rows = self.keys[order], self.rows[order]
+
+    def _by_library(self, text: bytes) -> bytes:
+        return np.array(self.library.encode(text.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-        """(first row, little-endian ids of the rows from there on), by portions of bounded text; null is empty."""
+        """(first row, little-endian ids of the rows from there on), by portions of bounded text; null is empty.
+
+        Words are looked up by hash, and the bytes found are held against the text's; where they differ, the library encodes the text.
+        """
         data, offsets = flat(texts)
         for a, b in steps(offsets):
             part, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -180,20 +222,39 @@ class Encoder:
             points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
             firsts = cuts[:-1][np.diff(cuts) > 0]
             starts = lead[word_starts(symbols(points, np.searchsorted(lead, firsts)))]
-            at = np.searchsorted(starts, cuts).tolist()
-            starts = starts.tolist()
-            words = [raw[i:j] for i, j in zip(starts, [*starts[1:], len(raw)])]
-            if len(self.known) > KEPT_WORDS:
-                self.known = {}
-            new = list({*words} - self.known.keys())
-            self.known.update(zip(new, self._of([w.decode("utf-8") for w in new])))
-            out = [b"".join(map(self.known.__getitem__, words[i:j])) for i, j in zip(at, at[1:])]
-            odd = {int(np.searchsorted(cuts, k, "right")) - 1 for s in self.special for k in _places(raw, s)}
-            for k in odd:  # special strings divide a text before it is cut into words
-                out[k] = self._of([raw[cuts[k] : cuts[k + 1]].decode("utf-8")])[0]
+            ends = np.r_[starts[1:], len(raw)]
+            if len(self.rows) > KEPT_WORDS:
+                self._forget()
+            keys, first, back = np.unique(exact_hashes(part, starts, ends), return_index=True, return_inverse=True)
+            at = np.searchsorted(self.keys, keys)
+            new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+            if len(new):
+                self._learn(keys[new], [raw[i:j] for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+                at = np.searchsorted(self.keys, keys)
+            row = self.rows[at][back]
+            n = self.byte_ends[row + 1] - self.byte_ends[row]
+            odd = {int(np.searchsorted(cuts, k, "right")) - 1 for s in self.special for k in _places(raw, s)}  # special strings divide a text first
+            if not (n == ends - starts).all() or not (self.bytes[np.arange(len(raw)) + np.repeat(self.byte_ends[row] - starts, n)] == part).all():
+                odd = range(b - a)
+            n = self.id_ends[row + 1] - self.id_ends[row]
+            to = np.r_[0, np.cumsum(n)]
+            ids = self.ids[np.arange(to[-1]) + np.repeat(self.id_ends[row] - to[:-1], n)].astype("<u4", copy=False).tobytes()
+            edges = (4 * to[np.searchsorted(starts, cuts)]).tolist()
+            out = [ids[i:j] for i, j in zip(edges, edges[1:])]
+            for k in odd:
+                out[k] = self._by_library(raw[cuts[k] : cuts[k + 1]])
             yield a, out
 
 
+def encoder(content: bytes) -> Encoder:
+    """One for each worker."""
+    key = ("token files", zlib.crc32(content), len(content))
+    cache = worker_cache()
+    if key not in cache:
+        cache[key] = Encoder(content)
+    return cache[key]
+
+
 def _places(raw: bytes, s: bytes) -> Iterator[int]:
     at = raw.find(s) if s else -1
     while at >= 0:
@@ -203,7 +264,7 @@ def _places(raw: bytes, s: bytes) -> Iterator[int]:
 
 def _packed(batches, content: bytes, end_id: int):
     """The segments of one file, from rows (doc_id, text) in order."""
-    encoder, end = Encoder(content), np.uint32(end_id).tobytes()
+    words, end = encoder(content), np.uint32(end_id).tobytes()
     part, before = TaskContext.get().partitionId(), 0
     names: list[int | None] = []
     lengths: list[int] = []
@@ -219,7 +280,7 @@ def _packed(batches, content: bytes, end_id: int):
     size = 0
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        for first, rows in encoder.encode(batch.column(1)):
+        for first, rows in words.encode(batch.column(1)):
             for k, raw in enumerate(rows):
                 names.append(ids[first + k])
                 held += (raw, end)
