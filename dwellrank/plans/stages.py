@@ -19,6 +19,7 @@ from dwellrank.operators import retrieve as R, rewards as W
 from dwellrank.operators.ordering import position_in_group
 from dwellrank.sources import artifacts as IN, gaze as GS, questions as Q, writers as OUT
 from dwellrank.sources.gaze import _exists
+from dwellrank.sources.nested import write_aligned
 
 
 def inspect_inputs(spark: SparkSession, gaze_path: str, qa_path: str, out: str) -> dict:
@@ -54,7 +55,7 @@ def align_inputs(
     report = A.alignment_report(questions, aligned, aligned).first().asDict()
     OUT.write_jsonl(A.unmatched_questions(questions, aligned), f"{out}/data/unmatched_questions")
     if nested:
-        OUT.write_jsonl(A.nest_aligned(questions, aligned), f"{out}/data/aligned_examples")
+        write_aligned(questions, aligned, f"{out}/data/aligned_examples")
     OUT.write_summary(spark, f"{out}/data/alignment_report", {
         **report, "ia_path": gaze_path, "qa_path": dataset or qa_path, "max_examples": max_examples,
         "max_readers_per_example": max_readers, "shuffle_choices": shuffle_choices, "choice_seed": choice_seed,

@@ -115,3 +115,95 @@ def test_pieces_of_a_list():
 
 def test_paths():
     assert stores.opened("/a/b")[1] == "/a/b" and stores.opened("file:/a/b")[1] == "/a/b" and stores.opened("file:///a/b")[1] == "/a/b"
+
+
+# --- nested lines
+
+
+def records(n_questions, readers, words):
+    for q in range(n_questions):
+        yield (f"q{q}", None, json.dumps({"example_id": f"q{q}", "question": "What?\n\"é\"", "choices": ["a", "b"], "answer_index": q}, ensure_ascii=False))
+        for r in range(readers):
+            for w in range(words):
+                yield (f"q{q}", f'r "{r:05d}"', json.dumps({"reader_id": f"r{r}", "paragraph_id": "p", "word_index": w, "word": f"wörd{w}", "trt": w / 4, "fixation_count": None, "skip": 1.0}, ensure_ascii=False))
+
+
+def batches(rows, size):
+    import itertools
+
+    import pyarrow as pa
+
+    rows = iter(rows)
+    while part := list(itertools.islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*part)], ["example_id", "reader_id", "json"])
+
+
+def written_lines(tmp_path, rows, size=1000):
+    from dwellrank.sources.nested import AlignedWriter
+
+    file = tmp_path / "a.json"
+    n = AlignedWriter(str(tmp_path), True).files(batches(rows, size), lambda: open(file, "wb"))
+    return file, n
+
+
+def test_lines_are_json(tmp_path):
+    rows = [("q9", None, "{}"), *records(3, 2, 3), ("lost", "r", '{"word": "no question"}'), ("q3", None, "{}")]
+    file, n = written_lines(tmp_path, rows, 2)
+    lines = [json.loads(line) for line in file.read_text().splitlines()]
+    assert n == 3 and [line["qa"]["example_id"] for line in lines] == ["q0", "q1", "q2"]
+    assert all(list(line["reader_gaze"]) == ['r "00000"', 'r "00001"'] and [[r["word_index"] for r in v] for v in line["reader_gaze"].values()] == [[0, 1, 2]] * 2 for line in lines)
+
+
+@pytest.mark.parametrize(("split", "piece"), [(1 << 26, 1 << 18), (97, 7), (1000, 1), (3, 50)])
+def test_splits_of_nested_lines(spark, tmp_path, monkeypatch, split, piece):
+    """Every line is read once, wherever splits and pieces cut it."""
+    from dwellrank.sources import nested
+
+    file, _ = written_lines(tmp_path, records(12, 2, 3))
+    monkeypatch.setattr(nested, "SPLIT_BYTES", split)
+    monkeypatch.setattr(nested, "PIECE_BYTES", piece)
+    for part, ddl, wanted in (("questions", schemas.QA_DDL, 12), ("words", nested.WORDS_DDL, 72)):
+        from pyspark.sql.types import StructType, _parse_datatype_string
+
+        reader = nested.AlignedReader(str(tmp_path), part, StructType.fromDDL(ddl) if hasattr(StructType, "fromDDL") else _parse_datatype_string(ddl))
+        got = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+        assert len(got) == wanted
+        assert sorted({r["example_id"] for r in got}) == sorted(f"q{k}" for k in range(12))
+
+
+def test_a_question_with_a_million_records(tmp_path):
+    """Written and read in streams: the memory does not grow with the question."""
+    import resource
+
+    from pyspark.sql.types import StructType
+
+    from dwellrank.sources import nested
+
+    peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+    written_lines(tmp_path, records(1, 2, 500))
+    before = peak()
+    file, n = written_lines(tmp_path, records(1, 1000, 1000), 10_000)
+    assert n == 1 and file.stat().st_size > 100 << 20
+    reader = nested.AlignedReader(str(tmp_path), "words", StructType.fromDDL(nested.WORDS_DDL))
+    count, last = 0, None
+    for p in reader.partitions():
+        for b in reader.read(p):
+            count, last = count + b.num_rows, b
+    assert count == 1_000_000 and last.to_pylist()[-1]["word_index"] == 999
+    assert peak() - before < 100
+
+
+def test_nested_round_trip(spark, tmp_path):
+    from dwellrank.operators import align
+    from dwellrank.plans import workload as D
+    from dwellrank.sources.nested import read_aligned_lines, write_aligned
+
+    qa = D.alignment_questions(spark, "/root/testdata/sf0.001").limit(20)
+    words = spark.createDataFrame([(f"q{k % 25}", f"r{k % 3}", "p", k % 7, f"w{k}", float("nan") if k == 5 else k / 8, None, 0.0, k) for k in range(300)],
+                                  "example_id string, reader_id string, paragraph_id string, word_index int, word string, trt double, fixation_count double, skip double, src_ordinal bigint")
+    write_aligned(qa, words, str(tmp_path / "out"))
+    questions, back = read_aligned_lines(spark, str(tmp_path / "out"))
+    nested = {r["qa"]["example_id"]: r for r in align.nest_aligned(qa, words).collect()}
+    assert {r["example_id"]: r["metadata"] for r in questions.collect()} == {k: r["qa"]["metadata"] for k, r in nested.items()}
+    expected = sorted((k, reader, n, r["word"], None if r["trt"] != r["trt"] else r["trt"]) for k, row in nested.items() for reader, rs in row["reader_gaze"].items() for n, r in enumerate(rs))
+    assert sorted((r["example_id"], r["reader_id"], r["src_ordinal"], r["word"], r["trt"]) for r in back.collect()) == expected
