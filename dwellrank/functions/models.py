@@ -32,8 +32,8 @@ class TokenEncoder(Protocol):
     def encode_passage(self, text: str, max_length: int) -> dict[str, Any]:
         """tokens, offsets of the prefixed text, hidden (tokens × dim)."""
 
-    def encode_query(self, text: str, max_length: int) -> np.ndarray:
-        """Masked mean of the token vectors."""
+    def encode_query(self, text: str, max_length: int) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+        """Token vectors (tokens × dim) with their mask, or the masked mean itself."""
 
 
 class Generator(Protocol):
@@ -43,6 +43,12 @@ class Generator(Protocol):
 
     def token_log_probs(self, prefix: str, choice: str, max_length: int | None) -> list[float]: ...
 
+    def token_ids(self, text: str, special: bool) -> list[int]:
+        """Only for a budget: the tokens, with the model's own leading ones if ``special``."""
+
+    def id_log_probs(self, prefix: list[int], choices: list[list[int]]) -> list[list[float]]:
+        """Only for a budget: the log-probabilities of every choice's tokens after the prefix's."""
+
 
 class ReadingTimeModel(Protocol):
     """Loaded word reading-time predictor: (words, rows of five features)."""
@@ -81,6 +87,23 @@ def passage_encoding(loader: Callable[[], TokenEncoder], text: Column, max_lengt
     return encode(text)
 
 
+def masked_means(hidden: list[np.ndarray], masks: list[np.ndarray]) -> list[np.ndarray]:
+    """Mean of the token vectors that the mask keeps, for texts of any lengths (A16); zero where it keeps none.
+
+    Rows of all texts are summed by text at once; nothing is padded.
+    """
+    sizes = np.array([len(h) for h in hidden])
+    if not sizes.sum():
+        return [np.zeros(h.shape[1]) for h in hidden]
+    kept = np.concatenate([np.asarray(m, np.float64) for m in masks])
+    rows = np.concatenate([np.asarray(h, np.float64) for h in hidden]) * kept[:, None]
+    some = np.flatnonzero(sizes)
+    begins = np.r_[0, np.cumsum(sizes)[:-1]][some]
+    sums, counts = np.zeros((len(hidden), rows.shape[1])), np.zeros(len(hidden))
+    sums[some], counts[some] = np.add.reduceat(rows, begins, axis=0), np.add.reduceat(kept, begins)
+    return list(sums / np.maximum(counts, 1e-9)[:, None])
+
+
 def query_encoding(loader: Callable[[], TokenEncoder], text: Column, max_length: int = QUERY_TOKENS) -> Column:
     """Unit question vector by a plugged-in model."""
 
@@ -88,7 +111,11 @@ def query_encoding(loader: Callable[[], TokenEncoder], text: Column, max_length:
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = once_per_worker(loader)
         for texts in batches:
-            vectors = [np.asarray(model.encode_query(QUERY_PREFIX + t, max_length), dtype=np.float64) for t in texts]
+            found = [model.encode_query(QUERY_PREFIX + t, max_length) for t in texts]
+            if found and isinstance(found[0], tuple):
+                vectors = masked_means([h for h, _ in found], [m for _, m in found])
+            else:
+                vectors = [np.asarray(v, dtype=np.float64) for v in found]
             norms = [float(np.linalg.norm(v)) for v in vectors]
             yield pd.Series([
                 (v / n if n > 0 and np.isfinite(n) else np.zeros_like(v)).astype(np.float32) for v, n in zip(vectors, norms)
@@ -121,6 +148,30 @@ def option_log_probs(loader: Callable[[], Generator], prefix: Column, choice: Co
     return score(prefix, choice)
 
 
+def budgeted_log_probs(loader: Callable[[], Generator], prefix: Column, choices: Column, max_length: int) -> Column:
+    """Token log-probabilities of all options of a prompt within ``max_length`` tokens by a plugged-in model (M4).
+
+    The prefix loses tokens on its left until the longest option fits behind
+    it, and is the same for all options. An option that leaves no room for a
+    token of the prefix is an error.
+    """
+
+    @F.pandas_udf("array<array<double>>")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = once_per_worker(loader)
+        for prefixes, options in batches:
+            out = []
+            for text, row in zip(prefixes, options):
+                ids = [model.token_ids(o, False) for o in row]
+                room = max_length - max(map(len, ids))
+                if room <= 0:
+                    raise ValueError("a response is longer than the maximum length")
+                out.append(model.id_log_probs(model.token_ids(text, True)[-room:], ids))
+            yield pd.Series(out)
+
+    return score(prefix, choices)
+
+
 def predicted_words(loader: Callable[[], ReadingTimeModel] | None, text: Column) -> Column:
     """Word reading times: a plugged-in model, or the length heuristic without one (M8, M9)."""
     if loader is None:
@@ -150,17 +201,22 @@ def predicted_words(loader: Callable[[], ReadingTimeModel] | None, text: Column)
 # NOT a language model: digests of prompt and token make repeatable numbers of the right shape.
 
 
-def standin_log_probs(prefix: Column, choice: Column, max_length: int | None = None) -> Column:
+def last_words(text: Column, n: Column) -> Column:
+    """The last ``n`` words of a text, in one pass over it."""
+    return let(words(text), lambda w: F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - n + 1), n), " "))
+
+
+def standin_log_probs(prefix: Column, choice: Column, max_length: int | None = None, longest: Column | None = None) -> Column:
     """Stand-in token log-probabilities: one value in (-8, 0] per word of the choice.
 
-    With ``max_length`` the prefix keeps its last words only (M4).
+    With ``max_length`` the prefix keeps its last words only (M4): as many as
+    fit before the ``longest`` of the options that are compared, in words (this
+    one's own number without it).
     """
     kept = prefix
     if max_length is not None:
-        room = F.lit(max_length) - F.size(words(choice))
-        kept = F.when(room <= 0, F.raise_error(F.lit("a response is longer than the maximum length")).cast("string")).otherwise(
-            let(words(prefix), lambda w: F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - room + 1), room), " "))
-        )
+        room = F.lit(max_length) - (F.size(words(choice)) if longest is None else longest)
+        kept = F.when(room <= 0, F.raise_error(F.lit("a response is longer than the maximum length")).cast("string")).otherwise(last_words(prefix, room))
     return let(
         F.sha2(kept, 256),
         lambda key: F.transform(

@@ -179,20 +179,22 @@ def build_contexts(
     ).drop("_pair", "_context", "_chunks", "_query_scores", "_trt_scores", "_costs", "_weights", "_selected")
 
 
-def score_pairs(contexts: DataFrame, scorer: Callable[[Column, Column], Column], normalization: str = "mean",
-                store_text: bool = False) -> DataFrame:
+def score_pairs(contexts: DataFrame, scorer: Callable[..., Column], normalization: str = "mean",
+                store_text: bool = False, together: bool = False) -> DataFrame:
     """Scores both responses of every context.
 
     ``scorer(prompt, response)`` gives the token log-probabilities of a
-    response as array<double>; their mean or sum is the score (M4, A18).
+    response as array<double>; their mean or sum is the score (A18). With
+    ``together`` it is ``scorer(prompt, responses)`` and gives those of both as
+    array<array<double>>, so that both follow the same part of the prompt (M4).
     """
     if normalization not in ("sum", "mean"):
         raise ValueError(f"unsupported score normalization: {normalization}")
     prompt = reward_prompt(F.col("compressed_context"), F.col("question"))
 
-    def score(response: str) -> Column:
+    def score(log_probs: Column) -> Column:
         return let(
-            scorer(prompt, F.col(response)),
+            log_probs,
             lambda lp: let(
                 F.aggregate(lp, F.lit(0.0), lambda acc, x: acc + x),
                 lambda s: s / F.greatest(F.lit(1), F.size(lp)) if normalization == "mean" else s,
@@ -200,9 +202,13 @@ def score_pairs(contexts: DataFrame, scorer: Callable[[Column, Column], Column],
         )
 
     identified = row_id(F.col("id"), F.col("row_index"))
-    out = contexts.withColumn("row_id", identified).withColumns(
-        {"chosen_score": score("chosen"), "reject_score": score("reject")}
-    )
+    out = contexts.withColumn("row_id", identified)
+    if together:
+        out = out.withColumn("_both", scorer(prompt, F.array("chosen", "reject")))
+        scores = {"chosen_score": score(F.col("_both")[0]), "reject_score": score(F.col("_both")[1])}
+    else:
+        scores = {"chosen_score": score(scorer(prompt, F.col("chosen"))), "reject_score": score(scorer(prompt, F.col("reject")))}
+    out = out.withColumns(scores)
     texts = ["prompt", "question", "compressed_context", "chosen", "reject"] if store_text else []
     return out.select(
         prediction_id(F.col("row_id"), F.col("condition"), F.col("context_budget_tokens")).alias("id"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dwellrank.functions import scores as S
 from dwellrank.functions.arrays import explode_rows
+from dwellrank.functions.models import query_encoding
 from dwellrank.functions.text import overlapping_tokens, piece_spans, word_spans
 from dwellrank.operators import embed as B, retrieve as R, tokens as T
 from dwellrank.operators.attention import reader_weights, softmax_states
@@ -320,19 +321,27 @@ def text_view(spark, sf):
 
 
 class PieceEncoder:
-    """Stands in for a model with sub-word tokens: pieces of at most four characters, each with its digest's bytes as vector."""
+    """Stands in for a model with sub-word tokens: pieces of at most four characters, at most ``max_length``, each with its digest's bytes as vector."""
 
-    def encode_passage(self, text, max_length):
+    def tokens(self, text, max_length):
         import hashlib
         import re
 
         import numpy as np
 
-        spans = [(w.start() + i, min(w.start() + i + 4, w.end())) for w in re.finditer(r"\S+", text) for i in range(0, w.end() - w.start(), 4)]
+        spans = [(w.start() + i, min(w.start() + i + 4, w.end())) for w in re.finditer(r"\S+", text) for i in range(0, w.end() - w.start(), 4)][:max_length]
         tokens = [text[a:b] for a, b in spans]
-        hidden = np.array([list(hashlib.sha256(t.lower().encode()).digest()) for t in tokens], np.float32)
+        return spans, tokens, np.array([list(hashlib.sha256(t.lower().encode()).digest()) for t in tokens], np.float32)
+
+    def encode_passage(self, text, max_length):
+        spans, tokens, hidden = self.tokens(text, max_length)
         return {"tokens": tokens, "offsets": spans, "hidden": hidden}
 
+    def encode_query(self, text, max_length):
+        """Token vectors and a mask that leaves out every third token."""
+        _, tokens, hidden = self.tokens(text, max_length)
+        return hidden, [k % 3 != 2 for k in range(len(tokens))]
+
 
 PLUGGED = r"""
 pieces as (select doc_id, word_pos // 40 as c, unnest(list_transform(range((length(word) + 3) // 4), lambda i: substring(word, 4 * i + 1, 4))) as piece from words),
@@ -340,13 +349,32 @@ hv as (select w, list_transform(range(32), lambda i: ('0x' || substring(sha256(w
 """
 
 
-@query("M1_plugged_tokens", "with" + WORDS + PLUGGED + """z as (select 1)
+@query("M1_plugged_tokens", "with" + WORDS + r"""
+pieces as (select doc_id, unnest(list_slice(flatten(list(list_transform(range((length(word) + 3) // 4), lambda i: substring(word, 4 * i + 1, 4)) order by word_pos)), 1, 510)) as piece from words group by 1)
 select doc_id, count(*)::bigint as n_tokens, sum(length(piece))::bigint as n_chars from pieces group by 1""")
 def plugged_tokens(spark, sf):
+    """Tokens within the passage limit of 512, of which the prefix takes two."""
     p = D.paragraphs(spark, sf).where(F.col("paragraph_text").rlike(r"\S"))
-    e = B.encode_texts(p, "fixed_words", 40, encoder=PieceEncoder)
-    chars = F.aggregate(F.transform("tokens", lambda t: F.length(t)), F.lit(0), lambda a, x: a + x)
-    return e.select("doc_id", big(F.size("tokens")).alias("n_tokens"), big(chars).alias("n_chars"))
+    e = p.select("doc_id", B.model_tokens(F.col("paragraph_text"), PieceEncoder).alias("t"))
+    chars = F.aggregate(F.transform("t", lambda t: F.length(t["text"])), F.lit(0), lambda a, x: a + x)
+    return e.select("doc_id", big(F.size("t")).alias("n_tokens"), big(chars).alias("n_chars"))
+
+
+@query("M2_query_vectors", r"""
+with q as (select doc_id, 'query: ' || text as t from documents where regexp_matches(text, '\S')),
+w as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from (select doc_id, regexp_extract_all(t, '\S+') as ws from q)),
+p as (select doc_id, list_slice(flatten(list(list_transform(range((length(word) + 3) // 4), lambda i: substring(word, 4 * i + 1, 4)) order by i)), 1, 128) as ps from w group by 1),
+k as (select doc_id, unnest(ps) as piece, generate_subscripts(ps, 1) - 1 as pos from p),
+v as (select piece, list_transform(range(32), lambda i: ('0x' || substring(sha256(lower(piece)), 2 * i + 1, 2))::int::double) as v from (select distinct piece from k where pos % 3 <> 2)),
+x as (select doc_id, unnest(range(32)) as d, unnest(v) as x from k join v using (piece) where pos % 3 <> 2),
+m as (select doc_id, d, avg(x) as m from x group by 1, 2)
+select doc_id, d::bigint as d, round((m / sqrt(sum(m * m) over (partition by doc_id)))::float::double, 5) as x from m""")
+def plugged_queries(spark, sf):
+    """Whole texts as questions: the first 128 tokens of the prefixed text, averaged over what the mask keeps."""
+    q = D.paragraphs(spark, sf).where(F.col("paragraph_text").rlike(r"\S")).withColumn("question", F.col("paragraph_text"))
+    vectors = B.query_vectors(q, encoder=lambda text: query_encoding(PieceEncoder, text))
+    rows = vectors.select(F.col("example_id").cast("bigint").alias("doc_id"), F.posexplode("qvec").alias("d", "x"))
+    return rows.select("doc_id", big(F.col("d")).alias("d"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 @query("E2_plugged_encoder", "with" + WORDS + PLUGGED + """
@@ -357,7 +385,8 @@ select doc_id || '::text::none::p' || doc_id || ':chunk=' || c as embedding_id,
 from su join nn using (doc_id, c)""")
 def plugged_encoder(spark, sf):
     p = D.paragraphs(spark, sf).where(F.col("paragraph_text").rlike(r"\S"))
-    encoded = OUT.write_parquet(B.encode_texts(p, "fixed_words", 40, encoder=PieceEncoder), shared_dir(spark, "encoded"))  # as the stage does
+    encoded = B.encode_texts(p, "fixed_words", 40, encoder=PieceEncoder, max_length=1 << 30)  # no chunk may lie beyond the limit
+    encoded = OUT.write_parquet(encoded, shared_dir(spark, "encoded"))  # as the stage does
     return _entries(B.embed(encoded, None, ["text"], 32))
 
 

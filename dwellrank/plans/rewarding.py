@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dwellrank.functions import scores as S, text as T
 from dwellrank.functions.arrays import explode_rows
-from dwellrank.functions.models import standin_log_probs
+from dwellrank.functions.models import budgeted_log_probs, standin_log_probs
 from dwellrank.functions.prompts import reward_prompt
 from dwellrank.functions.reading import heuristic_trt
 from dwellrank.operators import rewards as W
@@ -243,3 +243,61 @@ def scored_pairs(spark, sf):
     return s.select("id", "row_index", *[r6(F.col(x)).alias(x) for x in ("chosen_score", "reject_score", "score_delta")], "correct", "tie")
 
 
+
+
+PROMPT_TOKENS = 48  # tokens of prompt and response together, fewer than most prompts have
+
+
+class PieceScorer:
+    """Stands in for a model with sub-word tokens: pieces of at most four characters; a token's value is a digest of the prefix, its place and itself."""
+
+    def token_ids(self, text, special):
+        import re
+
+        return ["<s>"] * special + [w[i : i + 4] for w in re.findall(r"\S+", text) for i in range(0, len(w), 4)]
+
+    def id_log_probs(self, prefix, choices):
+        import hashlib
+
+        key = hashlib.sha256("|".join(prefix).encode()).hexdigest()
+        value = lambda k, t: int(hashlib.sha256(f"{key}:{k}:{t}".encode()).hexdigest()[:8], 16) / 2**32 * -8.0
+        return [[value(k, t) for k, t in enumerate(c)] for c in choices]
+
+
+_PIECES = "flatten(list_transform(regexp_extract_all({0}, '\\S+'), lambda w: list_transform(range((length(w) + 3) // 4), lambda i: substring(w, 4 * i + 1, 4))))"
+
+
+@query("M4_budgeted_likelihoods", rf"""
+with pr as (select d.doc_id, 'You are answering a retrieval-augmented question using only the provided references.' || chr(10) || chr(10) || regexp_replace(regexp_replace(d.text, '\s+$', ''), '^\s+', '')
+   || chr(10) || chr(10) || 'Question:' || chr(10) || trim(b.text) || chr(10) || chr(10) || 'Answer:' || chr(10) as prompt,
+   'It is ' || lang || ' from ' || source as chosen, 'No ' || source || ' here' as reject from documents d join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark) where regexp_matches(d.text, '\S')),
+tk as (select doc_id, list_concat(['<s>'], {_PIECES.format('prompt')}) as p, {_PIECES.format('chosen')} as a, {_PIECES.format('reject')} as b from pr),
+ky as (select *, sha256(array_to_string(list_slice(p, -least(len(p), {PROMPT_TOKENS} - greatest(len(a), len(b))), len(p)), '|')) as pkey from tk),
+op as (select doc_id, 'chosen' as which, pkey, a as ts from ky union all select doc_id, 'reject', pkey, b from ky),
+el as (select doc_id, which, pkey, unnest(ts) as t, generate_subscripts(ts, 1) - 1 as i from op)
+select doc_id, which, count(*)::bigint as tokens, round(sum(('0x' || substring(sha256(pkey || ':' || i || ':' || t), 1, 8))::bigint / 4294967296.0::double * -8), 6) as total from el group by 1, 2""")
+def budgeted_likelihoods(spark, sf):
+    """Both responses behind the same last tokens of the prompt, by a model with tokens of its own."""
+    c = W.build_contexts(contexts(spark, sf), [(S.FULL_CONTEXT, None)])
+    p = reward_prompt(F.col("compressed_context"), F.col("question"))
+    both = c.select(F.col("row_index").alias("doc_id"), budgeted_log_probs(PieceScorer, p, F.array("chosen", "reject"), PROMPT_TOKENS).alias("s"))
+    named = F.array(*[F.struct(F.lit(n).alias("which"), F.col("s")[k].alias("lp")) for k, n in enumerate(("chosen", "reject"))])
+    rows = explode_rows(both, ["doc_id"], named, "i", "o")
+    return rows.select("doc_id", F.col("o.which").alias("which"), big(F.size("o.lp")).alias("tokens"), r6(F.aggregate("o.lp", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+@query("M4_budgeted_pairs", rf"""
+with pr as (select d.doc_id, regexp_extract_all('You are answering a retrieval-augmented question using only the provided references.' || chr(10) || chr(10) || d.text
+   || chr(10) || chr(10) || 'Question:' || chr(10) || b.text || chr(10) || chr(10) || 'Answer:' || chr(10), '\S+') as p,
+   regexp_extract_all('It is ' || lang || ' from ' || source, '\S+') as a, regexp_extract_all('No ' || source || ' here', '\S+') as b from documents d join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark) where regexp_matches(d.text, '\S')),
+ky as (select *, sha256(array_to_string(list_slice(p, -least(len(p), 32 - greatest(len(a), len(b))), len(p)), ' ')) as pkey from pr),
+op as (select doc_id, 'chosen' as which, pkey, a as ts from ky union all select doc_id, 'reject', pkey, b from ky),
+el as (select doc_id, which, pkey, unnest(ts) as t, generate_subscripts(ts, 1) - 1 as i from op),
+lp as (select doc_id, which, avg(('0x' || substring(sha256(pkey || ':' || i || ':' || t), 1, 8))::bigint / 4294967296.0::double * -8) as x from el group by 1, 2)
+select doc_id as row_index, round(max(x) filter (which = 'chosen'), 6) as chosen_score, round(max(x) filter (which = 'reject'), 6) as reject_score from lp group by 1""")
+def budgeted_pairs(spark, sf):
+    """The stage's scorer with a limit of 32 words: the longer response sets the room of both."""
+    c = W.build_contexts(contexts(spark, sf), [(S.FULL_CONTEXT, None)])
+    longest = F.greatest(T.word_count(F.col("chosen")), T.word_count(F.col("reject")))
+    s = W.score_pairs(c, lambda p, r: standin_log_probs(p, r, 32, longest))
+    return s.select("row_index", r6(F.col("chosen_score")).alias("chosen_score"), r6(F.col("reject_score")).alias("reject_score"))

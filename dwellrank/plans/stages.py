@@ -14,6 +14,7 @@ from dwellrank import config, schemas
 from dwellrank.functions import conditions as names
 from dwellrank.functions.models import PASSAGE_TOKENS, QUERY_TOKENS, query_encoding, standin_log_probs
 from dwellrank.functions.scores import FULL_CONTEXT
+from dwellrank.functions.text import word_count
 from dwellrank.operators import align as A, answer as N, coverage as C, embed as E, evaluate as V, gaze_table as G
 from dwellrank.operators import retrieve as R, rewards as W
 from dwellrank.operators.ordering import position_in_group
@@ -232,7 +233,8 @@ def score_rewards(
     if not selected.take(1):
         raise ValueError("no rows match the requested filters")
     contexts = W.build_contexts(selected, pairs, **compression)
-    score = scorer or (lambda p, c: standin_log_probs(p, c, max_length))
+    longest = F.greatest(word_count(F.col("chosen")), word_count(F.col("reject")))
+    score = scorer or (lambda p, c: standin_log_probs(p, c, max_length, longest))
     requested = selected.count() * len(pairs)
     keep = resume and not overwrite and _exists(spark, path)
     if keep:

@@ -152,6 +152,40 @@ def test_plugged_in_models(spark):
     assert np.allclose(got["q"], [0.6, 0.8]) and got["p"]["tokens"] == ["passage:", "q"] and got["g"] == "B" and got["l"] == [-1, -1]
 
 
+def test_masked_means():
+    rng = np.random.default_rng(3)
+    hidden = [rng.normal(size=(n, 4)) for n in (3, 0, 1, 7)]
+    masks = [[1, 0, 1], [], [0], [1] * 7]
+    got = M.masked_means(hidden, masks)
+    assert np.allclose(got[0], hidden[0][[0, 2]].mean(axis=0)) and np.allclose(got[3], hidden[3].mean(axis=0))
+    assert not got[1].any() and not got[2].any()
+    assert [len(v) for v in M.masked_means([np.zeros((0, 2))], [[]])] == [2]
+
+
+def test_budget_is_shared_by_the_options(spark):
+    """The longest option sets how much of the prefix both see; the leading token goes first."""
+
+    class BudgetModel:
+        """Words as tokens; an option's value tells the prefix it was given."""
+
+        def token_ids(self, text, special):
+            return [0] * special + [len(w) for w in text.split()]
+
+        def id_log_probs(self, prefix, choices):
+            return [[-float(sum(prefix) + len(prefix) / 100)] * len(c) for c in choices]
+
+    df = spark.createDataFrame([("a bb ccc dddd", ["x", "x y"])], "p string, c array<string>")
+    score = lambda n: df.select(M.budgeted_log_probs(BudgetModel, F.col("p"), F.col("c"), n)).first()[0]
+    assert score(100) == [[-10.05], [-10.05] * 2]
+    assert score(6) == [[-10.04], [-10.04] * 2]
+    assert score(4) == [[-7.02], [-7.02] * 2]
+    with pytest.raises(Exception, match="longer than the maximum"):
+        score(2)
+    both = df.select(*[M.standin_log_probs(F.col("p"), F.lit("x"), 4, F.lit(n))[0].alias(f"n{n}") for n in (1, 2)]).first()
+    assert both["n1"] == df.select(M.standin_log_probs(F.lit("bb ccc dddd"), F.lit("x"))[0].alias("v")).first()["v"]
+    assert both["n2"] == df.select(M.standin_log_probs(F.lit("ccc dddd"), F.lit("x"))[0].alias("v")).first()["v"]
+
+
 def test_row_ids(one):
     assert [one(W.row_id(F.lit(v).cast("string"), F.lit(3))) for v in ("abc", "", None)] == ["abc", "3", "3"]
     assert one(W.prediction_id(F.lit("r"), F.lit("c"), F.lit(None).cast("int"))) == "r::c::budget=full"
