@@ -207,3 +207,22 @@ def test_nested_round_trip(spark, tmp_path):
     assert {r["example_id"]: r["metadata"] for r in questions.collect()} == {k: r["qa"]["metadata"] for k, r in nested.items()}
     expected = sorted((k, reader, n, r["word"], None if r["trt"] != r["trt"] else r["trt"]) for k, row in nested.items() for reader, rs in row["reader_gaze"].items() for n, r in enumerate(rs))
     assert sorted((r["example_id"], r["reader_id"], r["src_ordinal"], r["word"], r["trt"]) for r in back.collect()) == expected
+
+
+# --- rows with columns of their own
+
+
+def test_header_is_the_union_of_keys(spark, tmp_path):
+    from dwellrank.sources import writers as OUT
+
+    rows = [(1, {"b": "x,\"y\"", "a": None}), (2, {}), (3, None), (4, {"z z": "line\nend", "N": ""})]
+    df = spark.createDataFrame(rows, "m_id int, m map<string,string>").repartition(2)
+    names = OUT.write_mapping_csv(df, str(tmp_path / "out"), "m", ("m_id",))
+    assert names == ["N", "a", "b", "m_id", "z z"]
+    files = [p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-")]
+    got = [r for p in files for r in csv.DictReader(io.StringIO(p.read_text()))]
+    assert all(list(r) == names for r in got)
+    assert sorted((r["m_id"], r["b"], r["z z"]) for r in got) == [("1", 'x,"y"', ""), ("2", "", ""), ("3", "", ""), ("4", "", "line\nend")]
+    assert OUT.write_mapping_csv(df.where("false"), str(tmp_path / "none"), "m", ("m_id",)) == ["m_id"]
+    with pytest.raises(ValueError, match="but for case"):
+        OUT.write_mapping_csv(df, str(tmp_path / "clash"), "m", ("m_id", "B"))
