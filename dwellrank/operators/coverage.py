@@ -55,40 +55,28 @@ def resolve_intervals(evidence: DataFrame, records: DataFrame, strict: bool = Tr
     condition; composite conditions then try the reader's actual_gaze record
     and the text record. Of records with one key the last counts (O7).
     """
-    def lookup(suffix: str, condition: Column, with_reader: bool, rows: DataFrame) -> DataFrame:
-        right = rows.select(
-            F.col("condition").alias("_c"), F.col("example_id").alias("_e"), F.col("reader_id").alias("_r"),
-            F.col("chunk_id").alias("_k"), F.struct(F.col("char_start").alias("start"), F.col("char_end").alias("end")).alias(f"_{suffix}"),
-        )
-        reader = F.col("reader_id") if with_reader else F.lit(None).cast("string")
-        on = (
-            (condition == F.col("_c")) & (F.col("example_id") == F.col("_e")) & (F.col("chunk_id") == F.col("_k"))
-            & reader.eqNullSafe(F.col("_r"))
-        )
-        return right, on
-
-    out = evidence.withColumn(
-        "_seen",
-        F.when(
-            F.col("char_start").isNotNull() & F.col("char_end").isNotNull(),
-            F.struct(F.col("char_start").cast("int").alias("start"), F.col("char_end").cast("int").alias("end")),
-        ),
+    interval = lambda c: F.struct(c["char_start"].cast("int").alias("start"), c["char_end"].cast("int").alias("end"))
+    own = F.when(F.col("char_start").isNotNull() & F.col("char_end").isNotNull(), interval({c: F.col(c) for c in ("char_start", "char_end")}))
+    attempt = lambda n, condition, reader: F.struct(F.lit(n).alias("n"), condition.cast("string").alias("c"), reader.cast("string").alias("r"))
+    none = F.lit(None).cast("string")
+    first = attempt(1, F.col("condition"), F.col("reader_id"))
+    others = F.array(attempt(2, F.lit("actual_gaze"), F.col("reader_id")), attempt(3, F.lit("text"), none))
+    tries = F.when(own.isNotNull(), F.array(attempt(0, none, none))).when(is_composite_condition(F.col("condition")), F.concat(F.array(first), others)).otherwise(F.array(first))
+    # every row asks for its records in the order of preference; one join answers all, and the row's best answer counts
+    asked = evidence.select("*", own.alias("_own"), F.explode(tries).alias("_t"))
+    known = last_per_key(records, ["condition", "example_id", "reader_id", "chunk_id"]).select(
+        F.col("condition").alias("_c"), F.col("example_id").alias("_e"), F.col("reader_id").alias("_r"), F.col("chunk_id").alias("_k"),
+        interval({c: F.col(c) for c in ("char_start", "char_end")}).alias("_found"),
     )
-    composite = is_composite_condition(F.col("condition"))
-    records = last_per_key(records, ["condition", "example_id", "reader_id", "chunk_id"])
-    wanted = [
-        ("own", F.col("condition"), True, records),
-        ("gaze", F.when(composite, F.lit("actual_gaze")), True, records.where(F.col("condition") == "actual_gaze")),
-        ("text_rec", F.when(composite, F.lit("text")), False, records.where(F.col("condition") == "text")),
-    ]
-    for suffix, condition, with_reader, rows in wanted:
-        right, on = lookup(suffix, condition, with_reader, rows)
-        out = out.join(right, on, "left").drop("_c", "_e", "_r", "_k")
-    found = F.coalesce("_seen", "_own", "_gaze", "_text_rec")
+    on = (F.col("_t.c") == F.col("_c")) & (F.col("example_id") == F.col("_e")) & (F.col("chunk_id") == F.col("_k")) & F.col("_t.r").eqNullSafe(F.col("_r"))
+    answer = F.coalesce("_own", "_found")
+    best = F.min(F.when(answer.isNotNull(), F.struct(F.col("_t.n").alias("n"), answer.alias("interval"))))
+    rows = asked.join(known, on, "left").groupBy(*evidence.columns).agg(best["interval"].alias("interval"), F.count_if(F.col("_t.n") <= 1).alias("_copies"))
     if strict:
         absent = F.raise_error(F.concat(F.lit("no chunk record for "), F.col("chunk_id")))
-        found = F.coalesce(found, absent.cast("struct<start:int,end:int>"))
-    return out.withColumn("interval", found).drop("_seen", "_own", "_gaze", "_text_rec")
+        rows = rows.withColumn("interval", F.coalesce("interval", absent.cast("struct<start:int,end:int>")))
+    # rows that are alike in everything are one group
+    return rows.select("*", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copies", "_copy")
 
 
 def span_coverage(evidence: DataFrame, gold: DataFrame, cutoffs: list[int]) -> DataFrame:

@@ -236,7 +236,10 @@ def _intervals(spark, sf):
     e = e.withColumns({c: F.when(~hidden, F.col(c)) for c in ("char_start", "char_end")})
     # pooled results have no reader: their offsets stay, as only the text record could name them
     records = D.chunk_vectors(spark, sf).drop("vec")
-    return C.resolve_intervals(e, records)
+    # every key is there twice; the later record counts
+    twice = F.explode(F.array(F.struct(F.lit(0).alias("src_ordinal"), F.lit(-5).alias("shift")), F.struct(F.lit(1).alias("src_ordinal"), F.lit(0).alias("shift"))))
+    records = records.select("*", twice.alias("_o")).withColumns({"src_ordinal": F.col("_o.src_ordinal"), **{c: F.col(c) + F.col("_o.shift") for c in ("char_start", "char_end")}})
+    return C.resolve_intervals(e, records.drop("_o"))
 
 
 @query("J14_chunk_intervals", "with" + ALL_RESULTS + """z as (select 1)

@@ -190,3 +190,21 @@ def test_repeated_chunk_records(spark):
     records = spark.createDataFrame([("text", "a", None, "k", 0, 4, 1), ("text", "a", None, "k", 5, 9, 2)], "condition string, example_id string, reader_id string, chunk_id string, char_start int, char_end int, src_ordinal bigint")
     got = C.resolve_intervals(evidence, records).collect()
     assert len(got) == 1 and tuple(got[0]["interval"]) == (5, 9)
+
+
+def test_interval_preference(spark):
+    """Own offsets, own condition, actual_gaze, text, in this order; the last of equal record keys; alike rows stay as many as they are."""
+    rows = [("q", "r1", "hybrid_gaze_alpha_0p5", 1, "a", 1, 2), ("q", "r1", "hybrid_gaze_alpha_0p5", 2, "a", None, None), ("q", "r1", "hybrid_gaze_alpha_0p5", 2, "a", None, None),
+            ("q", "r1", "hybrid_gaze_alpha_0p5", 3, "b", None, None), ("q", "r2", "hybrid_gaze_alpha_0p5", 4, "b", None, None), ("q", "r1", "actual_gaze", 5, "b", None, None), ("q", None, "text", 6, "c", None, None)]
+    evidence = spark.createDataFrame(rows, "example_id string, reader_id string, condition string, rank int, chunk_id string, char_start int, char_end int")
+    shape = "condition string, example_id string, reader_id string, chunk_id string, char_start int, char_end int, src_ordinal int"
+    records = spark.createDataFrame([("hybrid_gaze_alpha_0p5", "q", "r1", "a", 10, 11, 0), ("actual_gaze", "q", "r1", "a", 20, 21, 0), ("text", "q", None, "a", 30, 31, 0),
+                                     ("actual_gaze", "q", "r1", "b", 40, 41, 5), ("actual_gaze", "q", "r1", "b", 42, 43, 9), ("text", "q", None, "b", 50, 51, 0), ("text", "q", None, "c", 60, 61, 0)], shape)
+    found = C.resolve_intervals(evidence, records)
+    assert sorted((r["rank"], r["interval"]["start"]) for r in found.collect()) == [(1, 1), (2, 10), (2, 10), (3, 42), (4, 50), (5, 42), (6, 60)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    lost = evidence.withColumn("chunk_id", F.lit("z"))
+    with pytest.raises(Exception, match="no chunk record for z"):
+        C.resolve_intervals(lost, records).collect()
+    assert {r["interval"] for r in C.resolve_intervals(lost.where("char_start is null"), records, strict=False).collect()} == {None}
