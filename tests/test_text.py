@@ -16,51 +16,62 @@ AWKWARD = [
 ]
 
 
-def words(text):
-    return [(m.start(), m.end(), m.group()) for m in re.finditer(r"\S+", text)]
-
-
-def sentences(text):
-    out, start = [], 0
-    for m in re.finditer(r"[.!?]+[\"')\]]*(?=\s+|$)", text):
-        if text[start:m.end()].strip():
-            out.append((start, m.end(), text[start:m.end()]))
-        start = m.end()
-        while start < len(text) and text[start].isspace():
-            start += 1
-    return out + ([(start, len(text), text[start:])] if text[start:].strip() else [])
-
-
-def windows(text, size, stride):
-    w, out, at = words(text), [], 0
-    while at < len(w):
-        last = min(at + size, len(w))
-        out.append((w[at][0], w[last - 1][1], text[w[at][0]:w[last - 1][1]]))
-        if last == len(w):
-            break
-        at += size - stride
-    return out
-
-
-def split_long(spans, size, stride):
-    out = []
-    for a, b, t in spans:
-        out += [(a, b, t)] if len(words(t)) <= size else [(a + x, a + y, z) for x, y, z in windows(t, size, stride)]
-    return out
-
-
-def context(text, size):
-    found = []
-    for m in re.finditer(r"[^\n.!?]+(?:[.!?]+|$)", text):
-        body = m.group().strip()
-        if body:
-            at = m.start() + len(m.group()) - len(m.group().lstrip())
-            found.append((at, at + len(body), body))
-    found = split_long(found, size, 0)
-    if not found and text.strip():
-        at = len(text) - len(text.lstrip())
-        found = [(at, at + len(text.strip()), text.strip())]
-    return found
+def in_order(text, spans):
+    """Spans are slices of their text, in order and apart."""
+    assert all(text[a:b] == t for a, b, t in spans)
+    edges = [x for a, b, _ in spans for x in (a, b)]
+    assert edges == sorted(edges) and all(a < b for a, b, _ in spans)
+
+
+def are_words(text, spans):
+    in_order(text, spans)
+    assert [t for _, _, t in spans] == text.split()
+
+
+def are_sentences(text, spans):
+    """Nothing but blanks lies between; each ends where closing marks meet a blank or the end, and at no earlier such place."""
+    in_order(text, spans)
+    assert "".join("".join(t.split()) for _, _, t in spans) == "".join(text.split())
+    for k, (a, b, t) in enumerate(spans):
+        closed = re.search(r"[.!?][.!?\"')\]]*\Z", t) and (b == len(text) or text[b].isspace())
+        assert closed or (k == len(spans) - 1 and b == len(text))
+        assert not re.search(r"[.!?][\"')\]]*\s", t)
+        assert a == 0 or not t[0].isspace()
+
+
+def windows_of(words, size, step):
+    """Each window of words begins ``step`` after the one before; the first that reaches the last word is the last one."""
+    count = 0 if not words else 1 + max(0, -(-(len(words) - size) // step))
+    return [words[k * step : k * step + size] for k in range(count)]
+
+
+def are_windows(size, stride):
+    def check(text, spans):
+        assert all(text[a:b] == t and t == t.strip() for a, b, t in spans)
+        assert [t.split() for _, _, t in spans] == windows_of(text.split(), size, size - stride)
+
+    return check
+
+
+def context_pieces(text):
+    """Words of what counts in a context: line parts that end in marks, and the last line's end; a final line end is no line."""
+    lines, out = text.removesuffix("\n").split("\n"), []
+    for n, line in enumerate(lines):
+        parts = re.split(r"([.!?]+)", line)
+        for body, mark in zip(parts[::2], [*parts[1::2], ""]):
+            if body and (mark or n == len(lines) - 1):
+                out.append((body + mark).split())
+    return [p for p in out if p]
+
+
+def are_context_chunks(size):
+    def check(text, spans):
+        in_order(text, spans)
+        assert all(t == t.strip() for _, _, t in spans)
+        expected = [p for piece in context_pieces(text) for p in windows_of(piece, size, size)]
+        assert [t.split() for _, _, t in spans] == (expected or ([text.split()] if text.strip() else []))
+
+    return check
 
 
 def run(spark, texts, expression):
@@ -69,28 +80,55 @@ def run(spark, texts, expression):
 
 
 CASES = [
-    (lambda: T.word_spans(F.col("text")), words),
-    (lambda: T.sentence_spans(F.col("text")), sentences),
-    (lambda: T.word_windows(F.col("text"), 3, 1), lambda t: windows(t, 3, 1)),
-    (lambda: T.word_windows(F.col("text"), 4), lambda t: windows(t, 4, 0)),
-    (lambda: T.paragraph_chunks(F.col("text"), "sentence", 2, 1), lambda t: [(a, b, c.strip()) for a, b, c in split_long(sentences(t), 2, 1)]),
-    (lambda: T.context_chunks(F.col("text"), 3), lambda t: context(t, 3)),
+    (lambda: T.word_spans(F.col("text")), are_words),
+    (lambda: T.sentence_spans(F.col("text")), are_sentences),
+    (lambda: T.word_windows(F.col("text"), 3, 1), are_windows(3, 1)),
+    (lambda: T.word_windows(F.col("text"), 4), are_windows(4, 0)),
+    (lambda: T.context_chunks(F.col("text"), 3), are_context_chunks(3)),
 ]
 
 
 @pytest.mark.parametrize("case", range(len(CASES)))
-def test_spans_match_python(spark, case):
-    expression, expected = CASES[case]
+def test_spans_of_awkward_texts(spark, case):
+    expression, check = CASES[case]
     found = run(spark, AWKWARD, expression())
-    assert [found[i] for i in range(len(AWKWARD))] == [expected(t) for t in AWKWARD]
+    for i, t in enumerate(AWKWARD):
+        check(t, found[i])
+
+
+def check_sentence_chunks(texts, chunks, sentences):
+    """A sentence of at most two words is a chunk without outer blanks; a longer one is its windows of two words that share one."""
+    for i, t in enumerate(texts):
+        assert all(t[a:b].strip() == c for a, b, c in chunks[i])
+        expected = [w for _, _, s in sentences[i] for w in ([s.split()] if len(s.split()) <= 2 else windows_of(s.split(), 2, 1))]
+        assert [c.split() for _, _, c in chunks[i]] == expected
+
+
+def test_sentence_chunks(spark):
+    check_sentence_chunks(AWKWARD, run(spark, AWKWARD, T.paragraph_chunks(F.col("text"), "sentence", 2, 1)), run(spark, AWKWARD, T.sentence_spans(F.col("text"))))
+
+
+EXPECTED = {
+    '  lead "Hi." Then!? x': ['  lead "Hi."', "Then!?", "x"],
+    "(Really?) 'Yes.' [No!]": ["(Really?)", "'Yes.'", "[No!]"],
+    "Head line\nPi is 3.14. ok\n": ["Head line\nPi is 3.14.", "ok\n"],
+    "...": ["..."], "   ": [], "": [], "a?!x. b.\n\n": ["a?!x.", "b."],
+}
+
+
+def test_expected_sentences(spark):
+    found = run(spark, list(EXPECTED), T.sentence_spans(F.col("text")))
+    assert [[t for _, _, t in found[i]] for i in range(len(EXPECTED))] == list(EXPECTED.values())
 
 
 @settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.text(alphabet="ab .!?\n\t\"')\u00a0\u2009\x1f", max_size=40), min_size=30, max_size=60))
 def test_generated_texts(spark, texts):
-    for expression, expected in (CASES[1], CASES[4], CASES[5]):
+    for expression, check in (CASES[1], CASES[4]):
         found = run(spark, texts, expression())
-        assert [found[i] for i in range(len(texts))] == [expected(t) for t in texts]
+        for i, t in enumerate(texts):
+            check(t, found[i])
+    check_sentence_chunks(texts, run(spark, texts, T.paragraph_chunks(F.col("text"), "sentence", 2, 1)), run(spark, texts, T.sentence_spans(F.col("text"))))
 
 
 def test_whole_paragraph(spark):
