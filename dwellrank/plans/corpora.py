@@ -213,11 +213,11 @@ def hash_vectors(spark, sf):
 
 
 @query("V4_passage_tokens", "with" + HASHED.format(table="documents", kind="passage") + """z as (select 1)
-select w as token, round(v[1], 6) as first, round(v[32], 6) as last, round(list_sum(v), 6) as total from hv""")
+select w as token, array_to_string(list_transform(v, lambda x: round(x * 1000000)::bigint), ',') as entries from hv""")
 def passage_tokens(spark, sf):
     w = D.documents(spark, sf).select(F.explode(T.words(F.col("text"))).alias("w"))
     v = w.select(F.lower("w").alias("token")).distinct().withColumn("v", V.hash_passage(F.col("token"), 32))
-    return v.select("token", r6(F.col("v")[0]).alias("first"), r6(F.col("v")[31]).alias("last"), r6(total(F.col("v"))).alias("total"))
+    return v.select("token", F.array_join(F.transform("v", lambda x: F.round(x * 1000000).cast("bigint")), ",").alias("entries"))
 
 
 @query("V5_hash_queries", "with" + HASHED.format(table="benchmark", kind="query") + r"""

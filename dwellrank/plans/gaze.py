@@ -205,6 +205,19 @@ placed as (
 select doc_id, n as word_pos, a as "start", b as "end" from placed where n >= 0"""
 
 
+@query("V15_seeded_properties", """
+with r as (select distinct event_type as example_id, 'u' || user_id as reader_id from events)
+select example_id, count(*)::bigint as readers, count(*)::bigint as sources, 0::bigint as own, md5(string_agg(reader_id, ',' order by reader_id)) as names_md5 from r group by 1""")
+def seeded_properties(spark, sf):
+    """What holds of the seeded shuffle, whatever its order: every reader has one source, each is one reader's, nobody has their own."""
+    e = D.table(spark, sf, "events").select(
+        F.col("event_type").alias("example_id"), F.concat(F.lit("u"), "user_id").alias("reader_id"), F.ascii("event_type").alias("example_ordinal"))
+    names = F.md5(F.array_join(F.array_sort(F.collect_list("source_reader")), ","))
+    return T.deranged_shuffle(e, 13).groupBy("example_id").agg(
+        F.count_distinct("reader_id").alias("readers"), F.count_distinct("source_reader").alias("sources"),
+        F.count_if(F.col("reader_id") == F.col("source_reader")).alias("own"), names.alias("names_md5"))
+
+
 @query("J7_word_placement", _placement_sql())
 def word_placement(spark, sf):
     """Words as a reader's records may spell them (without outer punctuation, in capitals) placed in the words of their text."""
@@ -271,16 +284,16 @@ def _view(spark, sf, condition):
 
 
 @query("W5_attention_softmax", "with" + VECTORS + READERS + "weights as (select doc_id, reader_id, word_pos, g from gaze)," + ATTENTION + r"""
-z as (select q.doc_id, reader_id, word_pos, max(g * array_inner_product(q.v, di.v)) as peak, sum(m * exp(g * array_inner_product(q.v, di.v))) as z
+z as (select q.doc_id, reader_id, word_pos, max(g * array_inner_product(q.v, di.v)) as peak, sum(m * exp(g * array_inner_product(q.v, di.v))) / sum(m) as z
       from q join di using (doc_id) group by 1, 2, 3)
-select doc_id, reader_id, word_pos::bigint as token_pos, round(peak, 9) as peak, round(z * exp(-peak), 6) as total from z""")
+select doc_id, reader_id, word_pos::bigint as token_pos, round(peak, 9) as peak, round(z * exp(-peak), 6) as mean from z""")
 def attention_softmax(spark, sf):
-    """Greatest score and sum of exponentials of every token's softmax over the tokens of its text."""
+    """Greatest score of every token's softmax over the tokens of its text, and the mean of the exponentials relative to it."""
     w = _weighed(spark, sf, words_only=True)
     states = w.select("doc_id", "reader_id", softmax_states(F.col("tokens"), F.col("gaze"), 32).alias("s"))
-    rows = explode_rows(states, ["doc_id", "reader_id"], F.arrays_zip("s.peak", "s.total"), "token_pos", "z")
+    rows = explode_rows(states, ["doc_id", "reader_id", F.size("s.total").alias("n")], F.arrays_zip("s.peak", "s.total"), "token_pos", "z")
     return rows.select(
-        "doc_id", "reader_id", big(F.col("token_pos")).alias("token_pos"), F.round("z.peak", 9).alias("peak"), F.round("z.total", 6).alias("total"))
+        "doc_id", "reader_id", big(F.col("token_pos")).alias("token_pos"), F.round("z.peak", 9).alias("peak"), F.round(F.col("z.total") / F.col("n"), 6).alias("mean"))
 
 
 @query("V8_gaze_attention", _view_sql(READERS + "weights as (select doc_id, reader_id, word_pos, g from gaze),", "actual_gaze"))
@@ -390,7 +403,17 @@ def plugged_encoder(spark, sf):
     return _entries(B.embed(encoded, None, ["text"], 32))
 
 
-@query("E3_text_evidence")
+@query("E3_text_evidence", "with" + VECTORS + r"""
+su as (select doc_id, word_pos // 40 as c, d, sum(v[d + 1]) s from (select doc_id, word_pos, v, unnest(range(32)) d from tk join hv using (w)) group by 1, 2, 3),
+cx as (select doc_id, c, d, (s / (2 * sqrt(sum(s * s) over (partition by doc_id, c))))::float::double as x from su),
+qt as (select item_id, lower(w) w from (select item_id, unnest(regexp_extract_all(text, '\S+')) w from benchmark)),
+qh as (select w, list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) v from (
+  select w, list_transform(range(32), lambda i: ('0x' || substring(sha256('query::' || w), 2 * i + 1, 2))::int / 255.0::double * 2 - 1) r from (select distinct w from qt))),
+qs as (select item_id, d, sum(v[d + 1]) s from (select item_id, v, unnest(range(32)) d from qt join qh using (w)) group by 1, 2),
+qx as (select item_id, d, (s / (2 * sqrt(sum(s * s) over (partition by item_id))))::float::double as x from qs),
+sc as (select doc_id, c, sum(cx.x * qx.x) / (sqrt(sum(cx.x * cx.x)) * sqrt(sum(qx.x * qx.x))) as score from cx join qx on qx.d = cx.d and qx.item_id = cx.doc_id % (select count(*) from benchmark) group by 1, 2),
+rk as (select *, row_number() over (partition by doc_id order by round(score, 6) desc, doc_id || '::text::none::p' || doc_id || ':chunk=' || c) as rk from sc)
+select doc_id::varchar as example_id, rk as rank, 'p' || doc_id || ':chunk=' || c as chunk_id, round(score, 4) as score from rk where rk <= 3""")
 def text_evidence(spark, sf):
     """Documents and benchmark questions to ranked evidence with the hash encoder, whole texts."""
     p = D.paragraphs(spark, sf).where(F.col("paragraph_text").rlike(r"\S"))

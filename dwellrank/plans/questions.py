@@ -226,14 +226,17 @@ def first_examples(spark, sf):
 
 
 @query("K3_json_values", """
-with z as (select vec_id, case when vec_id % 3 = 0 then null else embedding[1]::double end as v from embeddings)
-select count(*)::bigint as n, count(v)::bigint as kept from z""")
+select vec_id, d::bigint as d, case when (vec_id + d) % 3 <> 0 then round(x, 6) end as x, case when vec_id % 5 = 0 then 'Infinity' else 'none' end as far
+from (select vec_id, unnest(range(len(embedding))) as d, unnest(embedding::double[]) as x from embeddings)""")
 def json_values(spark, sf):
+    """Every entry of every vector with NaN in a third of the places, within nested values; infinities stay."""
     e = D.table(spark, sf, "embeddings")
-    nan = F.when(F.col("vec_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("embedding")[0].cast("double"))
-    rows = OUT.jsonable(e.select("vec_id", F.struct(nan.alias("score")).alias("item")))
-    back = F.from_json(F.to_json("item"), "score double")["score"]
-    return rows.agg(F.count("*").alias("n"), F.count(back).alias("kept"))
+    marked = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: F.when((F.col("vec_id") + i) % 3 == 0, F.lit(float("nan"))).otherwise(x))
+    far = F.when(F.col("vec_id") % 5 == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    rows = OUT.jsonable(e.select("vec_id", F.struct(F.struct(marked.alias("entries")).alias("inner"), far.alias("far")).alias("item")))
+    back = F.from_json(F.to_json("item"), "inner struct<entries:array<double>>, far double")
+    entries = rows.select("vec_id", back.alias("b")).select("vec_id", "b.far", F.posexplode("b.inner.entries").alias("d", "x"))
+    return entries.select("vec_id", big(F.col("d")).alias("d"), F.round("x", 6).alias("x"), F.coalesce(F.col("far").cast("string"), F.lit("none")).alias("far"))
 
 
 @query("S13_gold_spans", "with" + WORDS + r"""
@@ -263,6 +266,20 @@ def choice_shuffle(spark, sf):
                      F.array_join(F.col("metadata.choice_shuffle.order"), ",").alias("order"))
 
 
+@query("V16_shuffled_choices", """
+with d as (select doc_id, lang, list_sort([lang, source, 'neither', 'both']) as choices from documents),
+q as (select (doc_id % 4) || '_' || doc_id as article, (doc_id % 5 + 1) as para, lang, choices, level, i from d, (values ('Adv'), ('Ele')) l(level), (values (0), (1)) n(i) where not (level = 'Ele' and doc_id % 7 = 0))
+select 'local:' || article || ':' || para || ':' || level || ':' || i as example_id, array_to_string(choices, '|') as choices, lang as gold, '0,1,2,3' as places, true as kept from q""")
+def shuffled_choices(spark, sf):
+    """What holds of the seeded order, whatever it is: a permutation, all choices there, the gold index on the first answer, the original kept."""
+    qa = Q.qa_from_articles(D.articles(spark, sf), seed=13, shuffle=True)
+    note = F.col("metadata.choice_shuffle")
+    return qa.select(
+        "example_id", F.array_join(F.array_sort("choices"), "|").alias("choices"), F.get("choices", F.col("answer_index")).alias("gold"),
+        F.array_join(F.array_sort(note["order"]), ",").alias("places"),
+        ((note["original_answer_index"] == 0) & (F.transform(note["order"], lambda i: F.get(note["original_choices"], i)) == F.col("choices"))).alias("kept"))
+
+
 @query("V16_gold_remap", """
 select doc_id, case doc_id % 3 when 0 then 'c|a|b' when 1 then 'b|c|a' else 'a|b|c' end as choices,
        (case doc_id % 3 when 0 then (doc_id % 2 + 1) when 1 then case doc_id % 2 when 0 then 2 else 0 end else doc_id % 2 end)::bigint as answer_index

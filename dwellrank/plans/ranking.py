@@ -65,10 +65,10 @@ def single_view(spark, sf):
 
 @query("L1_unit_vectors", """
 with e as (select vec_id, embedding::double[] v from embeddings), n as (select vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) u from e)
-select vec_id, round(u[1], 6) as first, round(u[64], 6) as last, round(list_dot_product(u, u), 6) as squared from n""")
+select vec_id, unnest(range(len(u)))::bigint as d, round(unnest(u), 6) as x from n""")
 def unit_vectors(spark, sf):
     e = D.table(spark, sf, "embeddings").select("vec_id", V.normalize(V.as_double(F.col("embedding"))).alias("u"))
-    return e.select("vec_id", r6(F.col("u")[0]).alias("first"), r6(F.col("u")[63]).alias("last"), r6(V.dot(F.col("u"), F.col("u"))).alias("squared"))
+    return e.select("vec_id", F.posexplode("u").alias("d", "x")).withColumns({"d": big(F.col("d")), "x": r6(F.col("x"))})
 
 
 @query("V2_cosine", """

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from dwellrank.functions.arrays import explode_rows
 from dwellrank.functions.text import piece_spans, word_spans
+from dwellrank.operators.ordering import position_in_group
 from dwellrank.schemas import CHOICE_SHUFFLE
 
 
@@ -23,9 +24,10 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def with_questions(docs: DataFrame, spark: SparkSession, sf: str, name: str = "question") -> DataFrame:
-    """Each document with one benchmark passage; the passages, numbered from 0, take turns over all documents."""
+    """Each document with one benchmark passage; the passages, numbered from 0 by their ids, take turns over all documents."""
     passages = table(spark, sf, "benchmark")
-    b = passages.select(F.col("item_id").alias("_b"), F.col("text").alias(name))
+    numbered_ = position_in_group(passages, [], F.shiftright("item_id", 12), ["item_id"], "_b")
+    b = numbered_.select(F.col("_b").cast("bigint").alias("_b"), F.col("text").alias(name))
     return docs.withColumn("_b", F.col("doc_id") % max(1, passages.count())).join(b, "_b")
 
 
