@@ -22,6 +22,8 @@ TILE = 256
 FREQUENT_SHARE = 1 / 1000
 #: Times that each group is compared with some of its sets, before what is left is compared in tiles; one set, and so many for groups of over 64.
 HUB_ROUNDS, HUBS = 1, 4
+#: Candidate pairs for each set of a tile, up to which the pairs leave the tile; with more of them, their sets come to the tile.
+DENSE = 2
 
 
 def _sets(texts: pa.Array, width: int):
@@ -181,8 +183,8 @@ def _bounded(batches, percent):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _tiles(batches, percent):
-    """Rows come sorted by tile; a tile that straddles batches is carried over."""
+def _by_tile(batches):
+    """Rows come sorted by tile; a tile that straddles batches is carried over. Gives tables of whole tiles."""
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -190,44 +192,108 @@ def _tiles(batches, percent):
         tile = held.column("tile").combine_chunks().to_numpy(zero_copy_only=False)
         cut = int(np.searchsorted(tile, tile[-1])) if len(tile) else 0
         if cut:
-            yield from _compare(held.slice(0, cut), percent)
+            yield held.slice(0, cut)
             held = held.slice(cut)
     if held is not None and len(held):
-        yield from _compare(held, percent)
-
-
-def _compare(rows: pa.Table, percent):
-    """Pairs of the same tile from different components that sizes and bit counts allow, for all tiles of ``rows`` at once."""
-    tile, ids, comps, sizes = (rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("tile", "id", "component", "n"))
-    order = np.lexsort((sizes, tile))
-    tile, ids, comps, sizes = tile[order], ids[order], comps[order], sizes[order]
-    maps = rows.column("bitmap").combine_chunks().take(pa.array(order)).to_pylist()
-    words = np.array([len(m) // 8 for m in maps])
-    group = np.cumsum(np.r_[0, tile[1:] != tile[:-1]])
-    # of rows sorted by tile and size, a row's partners follow it as far as the sizes allow
-    key = (group.astype(np.int64) << 40) + sizes
-    row = np.arange(len(ids))
-    partners = np.searchsorted(key, (group.astype(np.int64) << 40) + 100 * sizes // percent, "right") - row - 1
-    found = []
-    for size in np.unique(words).tolist():
-        mine = np.flatnonzero((words == size) & (partners > 0))
-        with_same = np.flatnonzero((words == size) | (words == 2 * size))  # sets in reach have bitmaps of this length or twice it
-        table = np.stack([_folded(maps[i], size) for i in with_same]) if len(mine) else None
-        total, at = np.cumsum(partners[mine]), 0
-        while at < len(mine):
-            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 21) // size, "right")))
-            i = np.repeat(mine[at:stop], partners[mine[at:stop]])
-            head = np.cumsum(partners[mine[at:stop]]) - partners[mine[at:stop]]
-            j = i + 1 + np.arange(len(i)) - np.repeat(head, partners[mine[at:stop]])
-            other = comps[i] != comps[j]
-            i, j, at = i[other], j[other], stop
-            least = -(-percent * (sizes[i] + sizes[j]) // (100 + percent))
-            x, y = table[np.searchsorted(with_same, i)], table[np.searchsorted(with_same, j)]
-            ok = sizes[i] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64) >= least
-            ok &= sizes[j] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64) >= least
-            found.append(np.stack([np.minimum(ids[i[ok]], ids[j[ok]]), np.maximum(ids[i[ok]], ids[j[ok]])], 1))
-    found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+        yield held
+
+
+class _Tiles:
+    """The sets of some tiles in order of tile and size."""
+
+    def __init__(self, rows: pa.Table):
+        tile, ids, comps, sizes = (rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("tile", "id", "component", "n"))
+        self.order = np.lexsort((ids, sizes, tile))
+        self.tile, self.ids, self.comps, self.sizes = tile[self.order], ids[self.order], comps[self.order], sizes[self.order]
+        self.maps = rows.column("bitmap").combine_chunks().take(pa.array(self.order)).to_pylist()
+
+    def candidates(self, percent: int):
+        """Arrays (i, j) of pairs of the same tile from different components that sizes and bit counts allow, in portions of bounded size."""
+        sizes, maps = self.sizes, self.maps
+        words = np.array([len(m) // 8 for m in maps])
+        group = np.cumsum(np.r_[0, self.tile[1:] != self.tile[:-1]])
+        # of rows sorted by tile and size, a row's partners follow it as far as the sizes allow
+        key = (group.astype(np.int64) << 40) + sizes
+        row = np.arange(len(sizes))
+        partners = np.searchsorted(key, (group.astype(np.int64) << 40) + 100 * sizes // percent, "right") - row - 1
+        for size in np.unique(words).tolist():
+            mine = np.flatnonzero((words == size) & (partners > 0))
+            with_same = np.flatnonzero((words == size) | (words == 2 * size))  # sets in reach have bitmaps of this length or twice it
+            table = np.stack([_folded(maps[i], size) for i in with_same]) if len(mine) else None
+            total, at = np.cumsum(partners[mine]), 0
+            while at < len(mine):
+                stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 21) // size, "right")))
+                i = np.repeat(mine[at:stop], partners[mine[at:stop]])
+                head = np.cumsum(partners[mine[at:stop]]) - partners[mine[at:stop]]
+                j = i + 1 + np.arange(len(i)) - np.repeat(head, partners[mine[at:stop]])
+                other = self.comps[i] != self.comps[j]
+                i, j, at = i[other], j[other], stop
+                least = -(-percent * (sizes[i] + sizes[j]) // (100 + percent))
+                x, y = table[np.searchsorted(with_same, i)], table[np.searchsorted(with_same, j)]
+                ok = sizes[i] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64) >= least
+                ok &= sizes[j] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64) >= least
+                yield i[ok], j[ok]
+
+
+def _open(batches, percent):
+    """What bit counts leave of each tile: its candidate pairs (id, other) while they are at most DENSE times its sets, else its sets that have one.
+
+    So a tile gives rows in proportion to its sets, however many pairs there are.
+    """
+    for rows in _by_tile(batches):
+        tiles = _Tiles(rows)
+        last = np.searchsorted(tiles.tile, tiles.tile, "right")
+        sets, pairs = last - np.searchsorted(tiles.tile, tiles.tile), np.zeros(len(last), np.int64)  # by the last place of a tile
+        some, held = np.zeros(len(last), bool), []
+        for i, j in tiles.candidates(percent):
+            some[i] = some[j] = True
+            pairs += np.bincount(last[i] - 1, minlength=len(last))
+            held.append((i, j))
+            if sum(len(x) for x, _ in held) > 1 << 20:
+                held = [(x[ok], y[ok]) for x, y in held for ok in [(pairs <= DENSE * sets)[last[x] - 1]]]
+        dense = (pairs > DENSE * sets)[last - 1]
+        some &= dense
+        i, j = (np.concatenate(x) if held else np.zeros(0, np.int64) for x in (zip(*held) if held else ((), ())))
+        i, j = i[~dense[i]], j[~dense[i]]
+        both = np.unique(np.stack([np.minimum(tiles.ids[i], tiles.ids[j]), np.maximum(tiles.ids[i], tiles.ids[j])], 1), axis=0)
+        none = pa.nulls(len(both), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(both[:, 0]), none, pa.array(both[:, 1])], OPEN)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[some]) for x in (tiles.tile, tiles.ids, tiles.comps)), pa.nulls(int(some.sum()), pa.int64())], OPEN)
+
+
+OPEN = ["tile", "id", "component", "other"]
+
+
+def _linked(batches, percent):
+    """Links that span what is linked in each tile: candidates are intersected exactly, unless others have connected them by then."""
+    for rows in _by_tile(batches):
+        tiles = _Tiles(rows)
+        members = rows.column("members").combine_chunks().take(pa.array(tiles.order))
+        node = np.unique(np.stack([tiles.tile, tiles.comps]), axis=1, return_inverse=True)[1].ravel().tolist()  # a component within a tile is one node
+        parent = list(range(len(node)))
+
+        def root(x, parent=parent):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        a, b = [], []
+        for i, j in tiles.candidates(percent):
+            for x, y in zip(i.tolist(), j.tolist()):
+                one, two = root(node[x]), root(node[y])
+                if one != two and _reach(members[x], members[y], percent):
+                    parent[one] = two
+                    a.append(int(tiles.ids[x]))
+                    b.append(int(tiles.ids[y]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _reach(x: pa.Scalar, y: pa.Scalar, percent: int) -> bool:
+    """Whether the sorted arrays overlap enough."""
+    both = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)]))
+    overlap = int((both[1:] == both[:-1]).sum())
+    return 100 * overlap >= percent * (len(both) - overlap)
 
 
 def _set_rows(batches, width):
@@ -238,11 +304,7 @@ def _set_rows(batches, width):
 
 def _intersected(batches, percent):
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            both = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)]))
-            overlap = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * overlap >= percent * (len(both) - overlap))
+        keep = [_reach(x, y, percent) for x, y in zip(batch.column(2), batch.column(3))]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -265,7 +327,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     No group of documents is expanded into pairs. Each member of a group that shares a shingle is compared with the one of its sets
     that meets most others (in large groups with four such); what the links connect needs no further comparison. The rest,
-    sets of different components in one group, is compared in tiles of bounded size.
+    sets of different components in one group, is compared in tiles of bounded size. A tile gives out the pairs that bit counts leave, or, where they are
+    many, the sets of these; with the arrays at hand, such a tile then gives fewer links than it has sets.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -311,8 +374,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = members.where("g > 2").join(open_.hint("rebalance"), "key").join(sides, "id")
     members = _tiled(members, percent)
     rest = members.repartition("tile").sortWithinPartitions("tile").select("tile", "id", "component", "n", "bitmap")
-    rest = rest.mapInArrow(lambda it: _tiles(it, percent), "a long, b long").distinct()
-    more = _verified(source, reps, written(rest, "jaccard-rest"), width, percent)
+    rest = written(rest.mapInArrow(lambda it: _open(it, percent), "tile long, id long, component long, other long"), "jaccard-rest")
+    pairs = rest.where("tile is null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    dense = rest.where("tile is not null").select("tile", "id", "component")
+    names = rest.select("id").union(rest.where("tile is null").select(F.col("other").alias("id"))).distinct()
+    sets = _sets_of(source, reps, names, width)
+    dense = dense.join(sides, "id").join(sets, "id").select("tile", "id", "component", "n", "bitmap", "members")
+    spanning = written(dense.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _linked(it, percent), "a long, b long"), "jaccard-spanning")
+    more = spanning.union(_overlapping(sets, pairs, percent))
 
     whole = components(links.union(more), "jaccard-all")
     named = reps.select("id", "doc_id").join(whole, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -349,15 +418,23 @@ def _tiled(members: DataFrame, percent: int) -> DataFrame:
     return small.unionByName(large.withColumn("tile", tile).drop("low", "other"))
 
 
-def _verified(source: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose sorted arrays overlap enough. Only sets that some pair names are made again from their texts."""
-    names = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+def _sets_of(source: DataFrame, reps: DataFrame, names: DataFrame, width: int) -> DataFrame:
+    """(id, members) of the sets in ``names``; only these are made again from their texts."""
     needed = written(reps.join(names, "id").select("id", "doc_id"), "jaccard-needed")
     bits = _bloom(needed, "doc_id")
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(len(bits) * 64))
     picked = source.withColumn("slot", slot).mapInArrow(lambda it: _passed(it, bits), "doc_id long, text string")
     texts = picked.join(needed, "doc_id").select("id", "text")
-    sets = written(texts.mapInArrow(lambda it: _set_rows(it, width), "id long, members binary"), "jaccard-members")
+    return written(texts.mapInArrow(lambda it: _set_rows(it, width), "id long, members binary"), "jaccard-members")
+
+
+def _verified(source: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose sorted arrays overlap enough."""
+    names = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    return _overlapping(_sets_of(source, reps, names, width), pairs, percent)
+
+
+def _overlapping(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
     both = both.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").select("a", "b", "x", "y")
     return written(both.mapInArrow(lambda it: _intersected(it, percent), "a long, b long"), "jaccard-pairs")

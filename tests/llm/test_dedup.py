@@ -61,8 +61,9 @@ def components_by_hand(rows, width, percent):
     return {i: (len(s), root(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("width,percent,hubs,tile", [(5, 80, 2, 256), (5, 80, 1, 8), (2, 60, 1, 16), (1, 90, 2, 256)])
-def test_jaccard_components(documents, near_texts, monkeypatch, width, percent, hubs, tile):
+@pytest.mark.parametrize("width,percent,hubs,tile,dense", [(5, 80, 2, 256, 2), (5, 80, 1, 8, 0), (2, 60, 1, 16, 0), (2, 60, 1, 16, 1), (1, 90, 2, 256, 2)])
+def test_jaccard_components(documents, near_texts, monkeypatch, width, percent, hubs, tile, dense):
+    monkeypatch.setattr(jaccard, "DENSE", dense)
     monkeypatch.setattr(jaccard, "HUB_ROUNDS", hubs)
     monkeypatch.setattr(jaccard, "TILE", tile)
     rows = list(enumerate([*ODD_TEXTS, *near_texts]))
@@ -71,6 +72,35 @@ def test_jaccard_components(documents, near_texts, monkeypatch, width, percent,
     assert len(got) == len(rows)
 
 
+def tile_rows(sets, tile=7):
+    """A tile of these sets as its functions get it."""
+    import pyarrow as pa
+
+    sets = [np.sort(s) for s in sets]
+    ids = np.arange(len(sets)) + 100
+    columns = {
+        "tile": np.full(len(sets), tile), "id": ids, "component": ids, "n": np.array([len(s) for s in sets]),
+        "bitmap": pa.array([jaccard._bitmap(s) for s in sets], pa.binary()), "members": pa.array([s.tobytes() for s in sets], pa.binary()),
+    }
+    return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v, pa.int64()) for k, v in columns.items()})
+
+
+def test_tiles_give_rows_in_proportion_to_their_sets():
+    """A hundred sets that all link: no pairs leave the tile, and fewer links than sets; pairs of a sparse tile leave as they are."""
+    draw = np.random.default_rng(4)
+    base = draw.integers(0, 2**63, 200).astype(np.uint64)
+    alike = [np.unique(np.r_[base[np.arange(200) != k], draw.integers(0, 2**63, 1).astype(np.uint64)]) for k in range(100)]
+    (pairs, sets) = jaccard._open([tile_rows(alike)], 80)
+    assert (pairs.num_rows, sets.num_rows) == (0, 100)
+    (links,) = jaccard._linked([tile_rows(alike)], 80)
+    assert links.num_rows == 99
+    other = [draw.integers(0, 2**63, 200).astype(np.uint64) for _ in range(50)]
+    (pairs, sets) = jaccard._open([tile_rows([*other, *alike[:2]])], 80)
+    assert (pairs.num_rows, sets.num_rows) == (1, 0) and pairs.column(1)[0].as_py() == 150
+    far = [*other[:3], alike[0]]
+    assert [b.num_rows for b in jaccard._open([tile_rows(far)], 80)] == [0, 0] and [b.num_rows for b in jaccard._linked([tile_rows(far)], 80)] == [0]
+
+
 def test_jaccard_of_nothing(documents):
     assert jaccard.jaccard_components(documents([])).collect() == []
 
