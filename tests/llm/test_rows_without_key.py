@@ -44,3 +44,21 @@ def test_language_model_scores_documents_without_id(documents):
     assert Counter((r["doc_id"], r["held_out"]) for r in got) == Counter((i, i == 1) for i, _, _ in ROWS)
     words = sum(len((t or "").split()) + 1 for i, t, _ in ROWS if i != 1)
     assert {r["train_tokens"] for r in got} == {words}
+
+
+def test_held_out_texts_teach_nothing(documents):
+    """Other held-out texts of the same length change no score of a training document."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from dwellrank.llm import language_model
+
+    draw = random.Random(6)
+    words = [f"w{k:03d}" for k in range(300)]
+    rows = [(k, " ".join(draw.choice(words) for _ in range(40)), "s") for k in range(80)]
+    other = [(k, " ".join(f"x{draw.randrange(1000):03d}" for _ in range(40)) if k % 5 == 0 else t, s) for k, t, s in rows]
+    held = F.col("doc_id") % 5 == 0
+    first, second = ({r["doc_id"]: r["score"] for r in language_model.score_texts(documents(x), held).collect()} for x in (rows, other))
+    assert all(abs(first[k] - second[k]) < 1e-9 for k in first if k % 5)
+    assert any(abs(first[k] - second[k]) > 1 for k in first if k % 5 == 0)
