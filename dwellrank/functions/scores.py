@@ -142,9 +142,5 @@ def first_argmax(scores: Column) -> Column:
     return F.array_position(scores, F.array_max(scores)).cast("int") - 1
 
 
-def normal_interval(mean: Column, se: Column) -> tuple[Column, Column]:
-    return mean - 1.96 * se, mean + 1.96 * se
-
-
 def nan() -> Column:
     return F.lit(math.nan)

@@ -58,13 +58,6 @@ def zeros(dim: int) -> Column:
     return F.array_repeat(F.lit(0.0), dim)
 
 
-def mean_vector(vectors: Column, dim: int) -> Column:
-    """Element-wise mean of a non-empty array of vectors."""
-    return F.aggregate(
-        vectors, zeros(dim), add_vectors, lambda acc: F.transform(acc, lambda x: x / F.size(vectors))
-    )
-
-
 def _digest_values(text: Column) -> Column:
     """The digest bytes of ``text`` scaled to [-1, 1]."""
     return let(

@@ -250,6 +250,11 @@ def reader_weights(tokens: Column, token_starts: Column, word: Column, trt: Colu
 
 def _text_words(tokens, starts) -> tuple[list[str], list[int]]:
     """Words of the text and their starts: tokens that follow each other without a gap are parts of one word."""
+    if len(tokens) and not any(t[:1].isspace() or t[-1:].isspace() for t in tokens):
+        at = np.asarray(starts)
+        ends = at + np.fromiter(map(len, tokens), np.int64, len(tokens))
+        first = np.flatnonzero(np.r_[True, at[1:] != ends[:-1]]).tolist()
+        return ["".join(tokens[a:b]) for a, b in zip(first, [*first[1:], len(tokens)])], at[first].tolist()
     words, begins, end = [], [], -1
     for token, start in zip(tokens, starts):
         inner = token.lstrip()
@@ -262,6 +267,16 @@ def _text_words(tokens, starts) -> tuple[list[str], list[int]]:
     return words, begins
 
 
+def _in_place(texts: list[str], words: list[str], compat: bool) -> bool:
+    """Whether every word is placed on the text's word of the same number: the words are the text's, and with ``compat`` no word is alike to the next."""
+    if texts != words or not all(texts):
+        return False
+    if not compat:
+        return True
+    bare = {t: bare_word(t) for t in set(texts)}
+    return all(bare[a] != bare[b] for a, b in zip(texts, texts[1:]))
+
+
 def token_loads(tokens, token_starts, word, trt, n, inspected, compat=True):
     """Reading time that falls on every token, each word's split equally over its tokens (A12), and the share of its readings that were not skipped.
 
@@ -270,7 +285,12 @@ def token_loads(tokens, token_starts, word, trt, n, inspected, compat=True):
     starts = np.asarray(token_starts)
     ends = starts + np.array([len(t) for t in tokens])
     texts, begins = _text_words(tokens, token_starts)
-    spans = np.array(place_words(begins, texts, word, compat)).reshape(-1, 2)
+    word = list(word)
+    if _in_place(texts, word, compat):
+        at = np.asarray(begins)
+        spans = np.stack([at, at + np.fromiter(map(len, texts), np.int64, len(texts))], 1)
+    else:
+        spans = np.array(place_words(begins, texts, word, compat)).reshape(-1, 2)
     n, trt = np.asarray(n, dtype=np.float64), np.asarray(trt, dtype=np.float64)
     for k in np.flatnonzero(n > 1):
         # a second reading stays put unless the word is only a part of its token

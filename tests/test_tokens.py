@@ -30,6 +30,27 @@ def test_attention_matches_dense(monkeypatch, cells, keys):
     assert not np.vstack(list(A.attend(rows, inverse, g, np.zeros(60, bool)))).any()
 
 
+def test_words_in_place():
+    """The short way gives what the placement gives, with doubled and alike words too."""
+    rng = np.random.default_rng(8)
+    names = ["a", "a.", "A", "b", "bc", "c", "—", "e-", "“a”"]
+    for n in range(300):
+        words = [names[k] for k in rng.integers(0, len(names), rng.integers(1, 12))]
+        starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
+        for compat in (True, False):
+            spans = T.place_words(list(starts), words, words, compat)
+            if A._in_place(words, list(words), compat):
+                assert spans == [(s, s + len(w)) for s, w in zip(starts, words)]
+            mass, looked = A.token_loads(words, starts, words, np.arange(1.0, len(words) + 1), [1] * len(words), [1] * len(words), compat)
+            expected = np.zeros(len(words))
+            for k, (a, b) in enumerate(spans):
+                hit = [j for j, s in enumerate(starts) if s + len(words[j]) > a and s < b]
+                expected[hit] += (k + 1) / len(hit)
+            assert np.allclose(mass, expected)
+    assert A._text_words(["un", "like", " mo", "ped"], [0, 2, 6, 9]) == (["unlike", "moped"], [0, 7])
+    assert A._text_words(["un", "like", "mo", "ped"], [0, 2, 7, 9]) == (["unlike", "moped"], [0, 7])
+
+
 def test_attention_of_a_part():
     rng = np.random.default_rng(2)
     rows, inverse, g = rng.normal(size=(5, 4)) * 30, rng.integers(0, 5, 40), rng.random(40)
