@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dwellrank.llm.common import BLANK, flat, steps, written
 
@@ -125,26 +124,32 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def _tagged(batches, text_at):
-    """The rows with their text's digest and code points."""
-    for batch in batches:
-        found = [(hashlib.sha256(text).hexdigest(), n) for text, n in _normalised(batch.column(text_at))]
-        extra = [pa.array([s for s, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "__sha", "__points"])
-
-
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of equal texts, whether its id is null, on several rows, or neither.
 
-    Rows meet what stays by id, digest and code points; of rows that are alike in these, the texts differ in white space at most, and one stays.
+    Groups are decided on narrow rows; whole rows are sent once, to meet what stays by id, digest and code points. Rows that are alike in all of these
+    differ in white space at most; one of them stays. An empty table gives an empty result; further columns of ``docs`` stay as they are.
     """
-    stays = _best(written(identities(docs, id_col, text_col), "identities"))
-    keep = (-F.col("best.back")).alias("__id")
-    stays = stays.select(keep, F.col("best.points").alias("__points"), F.col("text_sha256").alias("__sha"))
+    named = written(identities(docs, id_col, text_col), "identities")
+    stays = written(_stays(named), "stays")
     keys = ["__key", "__null", "__sha", "__points"]
-    keyed = lambda df, id: df.withColumns({"__key": F.coalesce(F.col(id).cast("long"), F.lit(0).cast("long")), "__null": F.col(id).isNull()})
-    shape = T.StructType([*docs.schema.fields, T.StructField("__sha", T.StringType()), T.StructField("__points", T.LongType())])
-    at = docs.columns.index(text_col)
-    rows = keyed(docs.mapInArrow(lambda it: _tagged(it, at), shape), id_col)
-    chosen = rows.join(keyed(stays, "__id").select(keys), keys, "left_semi").dropDuplicates(keys)
-    return chosen.select(docs.columns)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.withColumns(
+        {
+            "__key": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), "__null": F.col(id_col).isNull(),
+            "__sha": F.sha2(F.regexp_replace(text, "[\\x20\\x09-\\x0D]", ""), 256), "__points": F.char_length(text).cast("long"),
+        }
+    )
+    single = rows.join(stays.where("n = 1").select(keys), keys, "left_semi")
+    alike = rows.join(stays.where("n > 1").select(keys), keys, "left_semi").dropDuplicates(keys)
+    return single.unionByName(alike).select(docs.columns)
+
+
+def _stays(named: DataFrame) -> DataFrame:
+    """For each group the key of the row that stays, and how many rows have that key."""
+    per_key = named.groupBy("n_blocks", "name", "points", F.coalesce("doc_id", F.lit(0).cast("long")).alias("__key"), F.col("doc_id").isNull().alias("__null")).agg(
+        F.count("*").alias("n"), F.min("text_sha256").alias("__sha")
+    )
+    best = F.max(F.struct("points", (~F.col("__null")).alias("known"), (-F.col("__key")).alias("back"), "n", "__sha"))
+    best = per_key.groupBy("n_blocks", "name").agg(best.alias("b"))
+    return best.select((-F.col("b.back")).alias("__key"), (~F.col("b.known")).alias("__null"), F.col("b.__sha").alias("__sha"), F.col("b.points").alias("__points"), F.col("b.n").alias("n"))

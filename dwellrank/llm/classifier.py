@@ -39,11 +39,11 @@ def _shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarra
     return code * np.uint64(2) + same
 
 
-def indicators(texts: pa.Array) -> list[np.ndarray]:
-    """The distinct slots of each text: words, pairs of words, and one to three neighbouring word shapes."""
+def indicators(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The distinct slots of each text: words, pairs of words, and one to three neighbouring word shapes. By portions of texts, with the first one's place."""
     data, offsets = flat(texts)
-    out = []
     for a, b in steps(offsets):
+        out = []
         part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         starts, ends, bounds = word_spans(part, off)
         h = word_hashes(part, starts, ends)
@@ -55,7 +55,7 @@ def indicators(texts: pa.Array) -> list[np.ndarray]:
         for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             slots = np.sort(np.concatenate([g[x : max(x, y - k)] for g, k in grams]))
             out.append(slots[np.r_[True, slots[1:] != slots[:-1]]] if len(slots) else slots)
-    return out
+        yield a, out
 
 
 def _gathered(batches, threshold):
@@ -63,18 +63,22 @@ def _gathered(batches, threshold):
     for batch in batches:
         labels = batch.column(1).to_numpy(zero_copy_only=False)
         draws = batch.column(2).to_numpy(zero_copy_only=False)
-        rows = indicators(batch.column(0))
-        both = [np.concatenate([r for r, l in zip(rows, labels) if l == want] or [np.zeros(0, np.int32)]) for want in (0, 1)]
-        both = [np.bincount(x, minlength=SLOTS) for x in both]
+        both = np.zeros((2, SLOTS), np.int64)
+        ok = draws < threshold
+        for a, rows in indicators(batch.column(0)):
+            own = labels[a : a + len(rows)]
+            for want in (0, 1):
+                found = [r for r, l in zip(rows, own) if l == want]
+                if found:
+                    both[want] += np.bincount(np.concatenate(found), minlength=SLOTS)
+            drawn = np.flatnonzero(ok[a : a + len(rows)])
+            if len(drawn):
+                yield _record([None] * len(drawn), [rows[k].astype(np.int32).tobytes() for k in drawn], own[drawn].tolist(), draws[a + drawn].tolist())
         used = np.flatnonzero(both[0] + both[1])
         for part in np.unique(used >> 14).tolist():
             u = used[used >> 14 == part]
             packed = np.stack([u, both[0][u], both[1][u]]).astype(np.int32).tobytes()
             yield _record([part], [packed], [None], [None])
-        ok = draws < threshold
-        if ok.any():
-            n = int(ok.sum())
-            yield _record([None] * n, [r.astype(np.int32).tobytes() for r, k in zip(rows, ok) if k], labels[ok].tolist(), draws[ok].tolist())
 
 
 def _record(part, packed, label, draw):
@@ -150,7 +154,9 @@ class Model:
         self.ratios, self.weights, self.slope, self.offset = ratios, weights, slope, offset
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        margins = np.array([_unit(self.ratios[r]) @ self.weights[r] for r in indicators(texts)]) + self.weights[-1]
+        margins = np.full(len(texts), self.weights[-1])
+        for a, rows in indicators(texts):
+            margins[a : a + len(rows)] += [_unit(self.ratios[r]) @ self.weights[r] for r in rows]
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.offset, -30, 30)))
 
 
@@ -211,6 +217,8 @@ def accepting(spark, model: Model, text_column: int):
         own = Model(*shared.value)
         for batch in batches:
             if batch.num_rows:
-                yield batch.filter(pa.array(own.scores(batch.column(text_column)) >= 0.5))
+                keep = pa.array(own.scores(batch.column(text_column)) >= 0.5)
+                for a in range(0, batch.num_rows, 512):  # a copy of a few rows at a time
+                    yield batch.slice(a, 512).filter(keep.slice(a, 512))
 
     return run
