@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
@@ -45,6 +46,15 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_llm_tables", {})
 
 
+def trimmed() -> None:
+    """Gives back what earlier tasks of this Python worker have freed; workers live on from stage to stage, and allocators keep pages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in one array, and the offsets; null is empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellrank.llm.common import components, flat, mixed, shingle_sets, steps, written
+from dwellrank.llm.common import components, flat, mixed, shingle_sets, steps, trimmed, written
 
 #: Sets that a tile holds at most.
 TILE = 256
@@ -27,6 +27,7 @@ DENSE = 2
 
 
 def _sets(texts: pa.Array, width: int):
+    trimmed()
     data, offsets = flat(texts)
     for a, b in steps(offsets):
         yield a, b, shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
@@ -143,6 +144,7 @@ def _sharded(keys, owners, shards):
 
 def _meetings(batches):
     """(shingle, set, need) for each shingle that several sets lead with. A partition holds whole shards; their arrays are taken together."""
+    trimmed()
     rows = [[batch.column(c).to_pylist() for c in (1, 2, 3)] for batch in batches]
     if not any(r[0] for r in rows):
         return
