@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from dwellrank.functions.arrays import let, total
+from dwellrank.functions.batches import PORTION, list_rows, struct_column
 from dwellrank.functions.text import TYPOGRAPHIC, TYPOGRAPHIC_ASCII
 
 _TO_ASCII = str.maketrans(TYPOGRAPHIC, TYPOGRAPHIC_ASCII)
@@ -65,18 +67,24 @@ def place_words(starts, tokens, words, compat: bool = True) -> list[tuple[int, i
 def align_words_udf(compat: bool = True, strict: bool = True):
     """Arrow function (token starts, tokens, words) -> spans; the cursor makes it sequential."""
 
-    @F.pandas_udf(SPANS)
-    def align(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf(SPANS)
+    def align(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        column = lambda out: struct_column(out, ("start", "end"), pa.int32())
         for starts, tokens, words in batches:
-            out = []
-            for row in zip(starts, tokens, words):
+            out, held = [], 0
+            for at, *row in zip(*map(list_rows, (starts, tokens, words))):
                 try:
-                    out.append([{"start": a, "end": b} for a, b in place_words(*row, compat=compat)])
+                    out.append(np.array(place_words(at.tolist(), *row, compat=compat), np.int64).reshape(-1, 2))
+                    held += len(out[-1])
                 except ValueError:
                     if strict:
                         raise
                     out.append(None)
-            yield pd.Series(out)
+                if held > PORTION:
+                    yield column(out)
+                    out, held = [], 0
+            if out:
+                yield column(out)
 
     return align
 
