@@ -65,22 +65,16 @@ def word_count(c: Column) -> Column:
     return F.size(words(c))
 
 
-def _spans_of_tiles(tiles: Column) -> Column:
-    """Tiles of the form blank* content to (start, end, content) spans."""
+def _spans_of(c: Column, body: str) -> Column:
+    """Spans (start, end, content) of tiles of the form blank* content; the contents come from the pattern itself."""
+    tile = F.lit(f"{U}{SPACE}*({body})")
     return let(
-        tiles,
-        lambda ts: let(
-            running_totals(F.transform(ts, F.length)),
-            lambda ends: F.transform(
-                ts,
-                lambda t, i: let(
-                    lstrip(t),
-                    lambda body: F.struct(
-                        (F.get(ends, i) - F.length(body)).alias("start"),
-                        F.get(ends, i).alias("end"),
-                        body.alias("text"),
-                    ),
-                ),
+        running_totals(F.transform(F.regexp_extract_all(c, tile, F.lit(0)), F.length)),
+        lambda ends: F.transform(
+            F.regexp_extract_all(c, tile, F.lit(1)),
+            lambda t, i: let(
+                F.get(ends, i),
+                lambda end: F.struct((end - F.length(t)).alias("start"), end.alias("end"), t.alias("text")),
             ),
         ),
     )
@@ -88,12 +82,12 @@ def _spans_of_tiles(tiles: Column) -> Column:
 
 def word_spans(c: Column) -> Column:
     """Every whitespace-delimited word with its character span."""
-    return _spans_of_tiles(F.regexp_extract_all(c, F.lit(f"{U}{SPACE}*{WORD}"), F.lit(0)))
+    return _spans_of(c, WORD)
 
 
 def piece_spans(c: Column, size: int) -> Column:
     """Words cut into pieces of at most ``size`` characters, as a sub-word tokenizer yields."""
-    return _spans_of_tiles(F.regexp_extract_all(c, F.lit(f"{U}{SPACE}*{NON_SPACE}{{1,{size}}}"), F.lit(0)))
+    return _spans_of(c, f"{NON_SPACE}{{1,{size}}}")
 
 
 def sentence_spans(c: Column) -> Column:
