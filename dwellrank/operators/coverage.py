@@ -16,7 +16,7 @@ def gold_spans(articles: DataFrame) -> DataFrame:
 
     ``articles`` has example_id, level, paragraph_text, a_indices, d_indices.
     """
-    spans = articles.withColumn("_words", F.transform(word_spans(F.col("paragraph_text")), lambda s: s.dropFields("text")))
+    spans = articles.withColumn("_words", word_spans(F.col("paragraph_text")))
     return spans.select(
         "example_id", "level",
         span_words_to_chars(F.col("_words"), F.col("a_indices")).alias("a_spans"),

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dwellrank.functions.arrays import let
 from dwellrank.functions.prompts import reward_prompt
-from dwellrank.functions.reading import heuristic_trt
+from dwellrank.functions.reading import heuristic_scores
 from dwellrank.functions.scores import (
     COMPRESSION_CONDITIONS, FULL_CONTEXT, QUERY_ONLY, TRT_ONLY, combine_scores, compression_ratio, is_close, log1p_mean,
 )
-from dwellrank.functions.text import context_chunks, strip, word_count, words
+from dwellrank.functions.text import context_chunks, strip, word_count
 from dwellrank.functions.vectors import dot
 from dwellrank.operators.attention import hash_chunk_scores
 
@@ -99,20 +99,22 @@ def context_scores(rows: DataFrame, max_words: int = 80, dim: int = 128, encoder
     unit vector and for an array of word reading times; the defaults are the
     hash encoder and the length heuristic.
     """
-    texts = F.transform("_chunks", lambda c: c["text"])
+    texts = F.col("_chunks.text")
     if encoder is None:
         similarity = hash_chunk_scores(F.col("question"), texts, dim)
     else:
         similarity = let(encoder(F.col("question"), "query"), lambda q: F.transform(texts, lambda t: dot(q, encoder(t, "passage"))))
-    reading = predictor or (lambda text: F.transform(words(text), heuristic_trt))
+    own = heuristic_scores(texts)
+    reading = own["score"] if predictor is None else F.transform(texts, lambda t: log1p_mean(predictor(t)))
+    costs = own["words"] if token_count is word_count else F.transform(texts, token_count)
     split = rows.withColumn("_context", strip(F.col("prompt"))).withColumn(
         "_chunks", context_chunks(F.col("_context"), max_words)
     )
     return split.withColumns(
         {
             "_query_scores": similarity,
-            "_trt_scores": F.transform("_chunks", lambda c: log1p_mean(reading(c["text"]))),
-            "_costs": F.transform("_chunks", lambda c: token_count(c["text"])),
+            "_trt_scores": reading,
+            "_costs": costs,
             "original_context_tokens": token_count(F.col("_context")),
         }
     )

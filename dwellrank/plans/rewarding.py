@@ -8,7 +8,7 @@ from dwellrank.functions import scores as S, text as T
 from dwellrank.functions.arrays import explode_rows
 from dwellrank.functions.models import budgeted_log_probs, standin_log_probs
 from dwellrank.functions.prompts import reward_prompt
-from dwellrank.functions.reading import heuristic_trt
+from dwellrank.functions.reading import heuristic_scores
 from dwellrank.operators import rewards as W
 from dwellrank.plans import workload as D
 from dwellrank.plans.corpora import CONTEXT_PIECES, big, r6
@@ -52,8 +52,8 @@ def contexts(spark, sf):
 def _chunk_scores(spark, sf):
     """Per context: chunks, costs and rounded reading-time scores."""
     c = contexts(spark, sf).withColumn("c", T.context_chunks(T.strip(F.col("prompt")), 80))
-    trt = F.transform("c", lambda x: S.log1p_mean(F.transform(T.words(x["text"]), heuristic_trt)))
-    return c.select("row_index", "c", trt.alias("raw"), F.transform(trt, lambda x: F.round(x, 9)).alias("t"), F.transform("c", lambda x: T.word_count(x["text"])).alias("k"))
+    c = c.select("row_index", "c", heuristic_scores(F.col("c.text")).alias("s"))
+    return c.select("row_index", "c", F.col("s.score").alias("raw"), F.transform("s.score", lambda x: F.round(x, 9)).alias("t"), F.col("s.words").alias("k"))
 
 
 @query("A17_chunk_trt_scores", "with" + CHUNKS + "z as (select 1) select doc_id, idx::bigint as chunk_index, round(t, 6) as score from trt")
