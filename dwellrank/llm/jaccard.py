@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from dwellrank.llm.common import components, flat, mixed, shingle_sets, steps, trimmed, written
 
-#: Sets that a tile holds at most.
+#: Sets of a group that is one tile; of a larger group's tile the sets that stay in their cut, and those that visit it.
 TILE = 256
 #: A shingle that is found in this share of all documents or more (counting portions where eight or more have it) comes last in the order.
 #: At most average set size / share shingles are that frequent.
@@ -208,9 +208,11 @@ class _Tiles:
         self.order = np.lexsort((ids, sizes, tile))
         self.tile, self.ids, self.comps, self.sizes = tile[self.order], ids[self.order], comps[self.order], sizes[self.order]
         self.maps = rows.column("bitmap").combine_chunks().take(pa.array(self.order)).to_pylist()
+        has_home = "home" in rows.column_names
+        self.home = rows.column("home").combine_chunks().to_numpy(zero_copy_only=False)[self.order] if has_home else np.ones(len(ids), bool)
 
     def candidates(self, percent: int):
-        """Arrays (i, j) of pairs of the same tile from different components that sizes and bit counts allow, in portions of bounded size."""
+        """Arrays (i, j) of pairs of the same tile from different components that sizes and bit counts allow, in portions of bounded size. Two visitors of a tile are no pair."""
         sizes, maps = self.sizes, self.maps
         words = np.array([len(m) // 8 for m in maps])
         group = np.cumsum(np.r_[0, self.tile[1:] != self.tile[:-1]])
@@ -228,7 +230,7 @@ class _Tiles:
                 i = np.repeat(mine[at:stop], partners[mine[at:stop]])
                 head = np.cumsum(partners[mine[at:stop]]) - partners[mine[at:stop]]
                 j = i + 1 + np.arange(len(i)) - np.repeat(head, partners[mine[at:stop]])
-                other = self.comps[i] != self.comps[j]
+                other = (self.comps[i] != self.comps[j]) & (self.home[i] | self.home[j])
                 i, j, at = i[other], j[other], stop
                 least = -(-percent * (sizes[i] + sizes[j]) // (100 + percent))
                 x, y = table[np.searchsorted(with_same, i)], table[np.searchsorted(with_same, j)]
@@ -236,11 +238,21 @@ class _Tiles:
                 ok &= sizes[j] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64) >= least
                 yield i[ok], j[ok]
 
+    def first_common(self, rows: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the tile's group is the first that both sets of a pair belong to."""
+        used, back = np.unique(np.r_[i, j], return_inverse=True)
+        at = pa.array(self.order[used])
+        keys = [None if k is None else np.array(k, np.int64) for k in rows.column("keys").combine_chunks().take(at).to_pylist()]
+        key = rows.column("key").combine_chunks().take(at).to_numpy(zero_copy_only=False)
+        pairs = zip(back[: len(i)].tolist(), back[len(i) :].tolist())
+        return np.array([keys[x] is None or np.intersect1d(keys[x], keys[y], assume_unique=True)[:1].tolist() == [key[x]] for x, y in pairs], bool)
+
 
 def _open(batches, percent):
     """What bit counts leave of each tile: its candidate pairs (id, other) while they are at most DENSE times its sets, else its sets that have one.
 
-    So a tile gives rows in proportion to its sets, however many pairs there are.
+    So a tile gives rows in proportion to its sets, however many pairs there are. A pair that several large groups share leaves the one of their smallest key only
+    (``keys`` has all large open groups of a set, and is null in small groups), or stays in it with its sets if the tile there is dense.
     """
     for rows in _by_tile(batches):
         tiles = _Tiles(rows)
@@ -257,6 +269,9 @@ def _open(batches, percent):
         some &= dense
         i, j = (np.concatenate(x) if held else np.zeros(0, np.int64) for x in (zip(*held) if held else ((), ())))
         i, j = i[~dense[i]], j[~dense[i]]
+        if "keys" in rows.column_names:
+            first = tiles.first_common(rows, i, j)
+            i, j = i[first], j[first]
         both = np.unique(np.stack([np.minimum(tiles.ids[i], tiles.ids[j]), np.maximum(tiles.ids[i], tiles.ids[j])], 1), axis=0)
         none = pa.nulls(len(both), pa.int64())
         yield pa.RecordBatch.from_arrays([none, pa.array(both[:, 0]), none, pa.array(both[:, 1])], OPEN)
@@ -329,8 +344,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     No group of documents is expanded into pairs. Each member of a group that shares a shingle is compared with the one of its sets
     that meets most others (in large groups with four such); what the links connect needs no further comparison. The rest,
-    sets of different components in one group, is compared in tiles of bounded size. A tile gives out the pairs that bit counts leave, or, where they are
-    many, the sets of these; with the arrays at hand, such a tile then gives fewer links than it has sets.
+    sets of different components in one group, is compared in tiles of bounded size: sets of a large group's largest component stay in one, the others visit
+    them. A tile gives out the pairs that bit counts leave (a pair of several large groups once), or, where they are many, the sets of these; with the arrays at hand, such a tile then gives fewer links than it has sets.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -373,12 +388,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     members = _with_components(met, linked)
     open_ = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    members = members.where("g > 2").join(open_.hint("rebalance"), "key").join(sides, "id")
-    members = _tiled(members, percent)
-    rest = members.repartition("tile").sortWithinPartitions("tile").select("tile", "id", "component", "n", "bitmap")
+    members = members.where("g > 2").join(open_.hint("rebalance"), "key").select("key", "g", "id", "component")
+    members = written(members.join(sides.select("id", "n"), "id"), "jaccard-open")
+    keys = members.where(F.col("g") > TILE).groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most as many as a set has leading shingles
+    members = _tiled(members, percent).join(sides.select("id", "bitmap"), "id").join(keys.hint("rebalance"), "id", "left")
+    members = members.withColumn("keys", F.when(F.col("g") > TILE, F.col("keys")))
+    rest = members.repartition("tile").sortWithinPartitions("tile").select("tile", "home", "key", "id", "component", "n", "bitmap", "keys")
     rest = written(rest.mapInArrow(lambda it: _open(it, percent), "tile long, id long, component long, other long"), "jaccard-rest")
     pairs = rest.where("tile is null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-    dense = rest.where("tile is not null").select("tile", "id", "component")
+    dense = rest.where("tile is not null").select("tile", "id", "component").distinct()
     names = rest.select("id").union(rest.where("tile is null").select(F.col("other").alias("id"))).distinct()
     sets = _sets_of(source, reps, names, width)
     dense = dense.join(sides, "id").join(sets, "id").select("tile", "id", "component", "n", "bitmap", "members")
@@ -403,21 +421,27 @@ def _renamed(sides: DataFrame, x: str) -> DataFrame:
 
 
 def _tiled(members: DataFrame, percent: int) -> DataFrame:
-    """Rows with the tiles they take part in.
+    """Rows (key, g, id, component, n, ...) with the tiles they take part in, and whether they are at home there.
 
-    A group of up to TILE sets is one tile. A larger one is cut into bands by size (bands of the ratio of the threshold, so that only
-    equal and neighbouring bands can link) and by a hash, and every two cuts of such bands are a tile.
+    A group of up to TILE sets is one tile. In a larger one only sets outside its largest component are still to be compared, with all sets of the group: every
+    set has its home in one cut of its band by size (bands of the ratio of the threshold, so that only equal and neighbouring bands can link), and
+    those outside the largest component visit, in as many portions as they need, all cuts of the three bands. Sets of the largest component do not move.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    cuts = F.ceil(F.col("g") / (TILE // 2)).cast("int")
-    own = F.pmod(F.xxhash64("id"), cuts).cast("int")
-    members = members.withColumns({"band": band, "cuts": cuts, "own": own})
-    small = members.where(F.col("g") <= TILE).withColumn("tile", F.xxhash64("key"))
+    small = members.where(F.col("g") <= TILE).withColumns({"tile": F.xxhash64("key"), "home": F.lit(True)})
     large = members.where(F.col("g") > TILE)
-    large = large.withColumn("low", F.explode(F.array(F.col("band") - 1, F.col("band"))))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    tile = F.xxhash64("key", "low", F.least("own", "other"), F.greatest("own", "other"))
-    return small.unionByName(large.withColumn("tile", tile).drop("low", "other"))
+    parts = large.groupBy("key", "component").agg(F.count("*").alias("c"))
+    main = parts.groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("main"), (F.sum("c") - F.max("c")).alias("others"))
+    large = large.join(main.hint("rebalance"), "key")
+    cuts, portions = (F.ceil(F.col(c) / TILE).cast("int") for c in ("g", "others"))
+    large = large.withColumns({"band": band, "cuts": cuts, "portions": F.greatest(portions, F.lit(1))})
+    large = large.withColumns({"cut": F.pmod(F.xxhash64("id"), "cuts").cast("int"), "portion": F.pmod(F.xxhash64("id", F.lit(1)), "portions").cast("int")})
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    homes = large.withColumn("portion", every("portions")).withColumn("home", F.lit(True))
+    guests = large.where("component <> main").withColumn("band", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))))
+    guests = guests.withColumn("cut", every("cuts")).withColumn("home", F.lit(False))
+    both = homes.unionByName(guests).withColumn("tile", F.xxhash64("key", "band", "cut", "portion"))
+    return small.unionByName(both.drop("main", "others", "cuts", "portions", "band", "cut", "portion"))
 
 
 def _sets_of(source: DataFrame, reps: DataFrame, names: DataFrame, width: int) -> DataFrame:
