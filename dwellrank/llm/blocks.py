@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellrank.llm.common import BLANK, flat, steps, written
+from dwellrank.llm.common import BLANK, flat, relieved, steps, written
 
 BLOCK_BYTES = 4096
 
@@ -68,11 +68,11 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(
-        source.mapInArrow(lambda it: _digests(it, block_bytes), "doc_id long, points long, text_sha256 string, blocks array<binary>"),
+        source.mapInArrow(lambda it: relieved(_digests(it, block_bytes)), "doc_id long, points long, text_sha256 string, blocks array<binary>"),
         "block-lists",
     )
     texts = written(rows.select("text_sha256", "blocks").distinct().withColumn("key", F.monotonically_increasing_id()), "block-texts")
-    distinct = source.select("text").mapInArrow(lambda it: _blocks(it, block_bytes), "block binary").distinct()
+    distinct = source.select("text").mapInArrow(lambda it: relieved(_blocks(it, block_bytes)), "block binary").distinct()
     names = written(_numbered(distinct.sortWithinPartitions("block")).select(_digest(F.col("block")).alias("digest"), "name"), "block-names")
     names = names.groupBy("digest").agg(F.when(F.count("*") == 1, F.min("name")).otherwise(F.raise_error(F.lit("two blocks share a digest"))).alias("name"))
     parts = texts.select("key", F.size("blocks").alias("n_blocks"), F.posexplode("blocks").alias("place", "digest"))

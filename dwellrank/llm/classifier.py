@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellrank.llm.common import BLANK, LOWER, flat, mixed, steps, word_hashes, word_spans, written
+from dwellrank.llm.common import BLANK, LOWER, flat, mixed, relieved, steps, word_hashes, word_spans, written
 
 #: Hashed indicators; with the bias, the length of the model's weights.
 SLOTS = 1 << 18
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     rows = rows.select("text", "label", F.xxhash64("__id").alias("draw"))
     # a row is drawn by its id's hash, so that about sample_rows are
     threshold = int(-(2**63) + min(1.0, sample_rows / total) * (2**64 - 1)) if total > sample_rows else 2**63 - 1
-    found = written(rows.mapInArrow(lambda it: _gathered(it, threshold), "part int, packed binary, label int, draw long"), "classifier")
+    found = written(rows.mapInArrow(lambda it: relieved(_gathered(it, threshold)), "part int, packed binary, label int, draw long"), "classifier")
     sums = found.where("part is not null").select("part", "packed").repartition("part").mapInArrow(_summed, "part int, sums binary")
     counts = np.zeros((2, SLOTS), np.int64)
     for r in sums.collect():  # SLOTS / 16384 rows of 256 KB
@@ -221,4 +221,4 @@ def accepting(spark, model: Model, text_column: int):
                 for a in range(0, batch.num_rows, 512):  # a copy of a few rows at a time
                     yield batch.slice(a, 512).filter(keep.slice(a, 512))
 
-    return run
+    return lambda batches: relieved(run(batches))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellrank.llm.common import components, flat, mixed, shingle_sets, steps, trimmed, written
+from dwellrank.llm.common import components, flat, mixed, relieved, shingle_sets, steps, trimmed, written
 
 #: Sets of a group that is one tile; of a larger group's tile the sets that stay in their cut, and those that visit it.
 TILE = 256
@@ -350,7 +350,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     summary = written(
-        source.mapInArrow(lambda it: _summaries(it, width), "doc_id long, id long, n long, bitmap binary, shingle long, count long"), "jaccard-summary"
+        source.mapInArrow(lambda it: relieved(_summaries(it, width)), "doc_id long, id long, n long, bitmap binary, shingle long, count long"), "jaccard-summary"
     )
     rows = summary.where("shingle is null").select("doc_id", "id", "n", "bitmap")
     total = rows.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("members")).first()
@@ -360,8 +360,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     reps = rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     reps = written(reps, "jaccard-sets")
-    packed = source.select("text").mapInArrow(lambda it: _postings(it, width, percent, frequent, shards), "shard int, keys binary, owners binary, needs binary")
-    met = written(packed.repartition(shards, "shard").mapInArrow(_meetings, "key long, id long, need int"), "jaccard-meetings")
+    packed = source.select("text").mapInArrow(lambda it: relieved(_postings(it, width, percent, frequent, shards)), "shard int, keys binary, owners binary, needs binary")
+    met = written(packed.repartition(shards, "shard").mapInArrow(lambda it: relieved(_meetings(it)), "key long, id long, need int"), "jaccard-meetings")
     likely = met.groupBy("id").agg(F.count("*").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("id")
     met = met.join(likely.hint("rebalance"), "id").select("key", "id")
     # the shingles of one passage gather the same sets: one such group is enough
