@@ -17,7 +17,7 @@ import pyarrow as pa
 from dwellrank.functions.batches import list_rows
 
 #: Bytes of text whose spans are made at a time.
-PORTION_BYTES = 1 << 20
+PORTION_BYTES = 1 << 18
 
 # what Python counts as whitespace: ASCII by table, the others by their UTF-8 bytes
 _ASCII = np.zeros(256, bool)

@@ -19,7 +19,8 @@ BLOCK_CELLS = 1 << 18  # attention scores held at a time
 KEY_BLOCK = 1 << 12  # distinct tokens that are keys at a time
 OUT_CELLS = PORTION  # items of chunk vectors that are held before they are passed on
 FLAT = 1e-3  # scores up to which the softmax is made from a series
-SCORED_WORDS = 1 << 16  # words whose vectors are held at a time
+SCORED_WORDS = 1 << 14  # words whose vectors are held at a time
+HASHED_ROWS = 1 << 10  # vectors that are made of digests at a time
 
 
 def unit_rows(m: np.ndarray) -> np.ndarray:
@@ -32,7 +33,12 @@ def hash_rows(tokens: list[str], dim: int, prefix: str = "passage::") -> np.ndar
     """Hash-encoder vectors of distinct lower-case tokens (V4)."""
     digests = [hashlib.sha256((prefix + t).encode("utf-8")).digest() for t in tokens]
     raw = np.frombuffer(b"".join(digests), dtype=np.uint8).reshape(len(tokens), 32)
-    return unit_rows(raw[:, np.arange(dim) % 32] / 255.0 * 2.0 - 1.0)
+    columns, rows = np.arange(dim) % 32, np.empty((dim, len(tokens))).T
+    parts = -(-len(tokens) // HASHED_ROWS)
+    for k in range(parts):
+        part = slice(k * len(tokens) // parts, (k + 1) * len(tokens) // parts)
+        rows[part] = unit_rows(raw[part, columns] / 255.0 * 2.0 - 1.0)
+    return rows
 
 
 def attention_state(queries: np.ndarray, values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,20 +184,25 @@ def hash_chunk_scores(question: Column, texts: Column, dim: int) -> Column:
     @F.arrow_udf("array<double>")
     def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for questions, chunks in batches:
-            known, pooled, asked, held = {}, [], [], 0
-            for question, row in zip(questions, list_rows(chunks)):
-                asked.append(_word_ids(question.as_py(), "query", known))
-                pooled.append([_word_ids(t, "passage", known) for t in row])
-                held += sum(map(len, pooled[-1]))
-                if held > SCORED_WORDS:
-                    yield _cosines(known, pooled, asked, dim)
-                    known, pooled, asked, held = {}, [], [], 0
-            if pooled:
-                yield _cosines(known, pooled, asked, dim)
+            yield from portioned_cosines(questions, chunks, dim)
 
     return score(question, texts)
 
 
+def portioned_cosines(questions: pa.Array, chunks: pa.ListArray, dim: int) -> Iterator[pa.Array]:
+    """The scores of a batch in portions of rows, each of about SCORED_WORDS words with the questions'."""
+    known, pooled, asked, held = {}, [], [], 0
+    for question, row in zip(questions, list_rows(chunks)):
+        asked.append(_word_ids(question.as_py(), "query", known))
+        pooled.append([_word_ids(t, "passage", known) for t in row])
+        held += len(asked[-1]) + sum(map(len, pooled[-1]))
+        if held > SCORED_WORDS:
+            yield _cosines(known, pooled, asked, dim)
+            known, pooled, asked, held = {}, [], [], 0
+    if pooled:
+        yield _cosines(known, pooled, asked, dim)
+
+
 def _cosines(known: dict[str, int], pooled: list[list[np.ndarray]], asked: list[np.ndarray], dim: int) -> pa.Array:
     rows = hash_rows(list(known), dim, "")
     return list_column([_mean_cosines(rows, ids, q) for ids, q in zip(pooled, asked)])
@@ -201,9 +212,15 @@ def _mean_cosines(rows: np.ndarray, chunks: list[np.ndarray], question: np.ndarr
     """Cosine of the question's mean row with every chunk's mean row; 0 for a blank chunk."""
     lengths = np.array([len(c) for c in chunks])
     sums = np.zeros((len(chunks), rows.shape[1]))
-    if lengths.any():
-        begins = np.concatenate([[0], np.cumsum(lengths[lengths > 0])[:-1]])
-        sums[lengths > 0] = np.add.reduceat(rows[np.concatenate(chunks)], begins, axis=0)
+    some, upto = np.flatnonzero(lengths), np.cumsum(lengths[lengths > 0])
+    at = 0
+    while at < len(some):  # whole chunks of some thousand words at a time
+        before = int(upto[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(upto, before + SCORED_WORDS, "right")))
+        part = some[at:stop]
+        begins = np.concatenate([[0], upto[at:stop - 1] - before])
+        sums[part] = np.add.reduceat(rows[np.concatenate([chunks[k] for k in part])], begins, axis=0)
+        at = stop
     return unit_rows(sums) @ unit_rows(rows[question].sum(axis=0, keepdims=True))[0]
 
 
