@@ -24,6 +24,8 @@ FREQUENT_SHARE = 1 / 1000
 HUB_ROUNDS, HUBS = 1, 4
 #: Candidate pairs for each set of a tile, up to which the pairs leave the tile; with more of them, their sets come to the tile.
 DENSE = 2
+#: Words of bitmaps that are compared at a time, and pairs that a tile holds or looks up at a time.
+MAP_WORDS, HELD_PAIRS = 1 << 18, 1 << 16
 
 
 def _sets(texts: pa.Array, width: int):
@@ -226,7 +228,7 @@ class _Tiles:
             table = np.stack([_folded(maps[i], size) for i in with_same]) if len(mine) else None
             total, at = np.cumsum(partners[mine]), 0
             while at < len(mine):
-                stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 21) // size, "right")))
+                stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + MAP_WORDS // size, "right")))
                 i = np.repeat(mine[at:stop], partners[mine[at:stop]])
                 head = np.cumsum(partners[mine[at:stop]]) - partners[mine[at:stop]]
                 j = i + 1 + np.arange(len(i)) - np.repeat(head, partners[mine[at:stop]])
@@ -263,14 +265,15 @@ def _open(batches, percent):
             some[i] = some[j] = True
             pairs += np.bincount(last[i] - 1, minlength=len(last))
             held.append((i, j))
-            if sum(len(x) for x, _ in held) > 1 << 20:
+            if sum(len(x) for x, _ in held) > HELD_PAIRS:
                 held = [(x[ok], y[ok]) for x, y in held for ok in [(pairs <= DENSE * sets)[last[x] - 1]]]
         dense = (pairs > DENSE * sets)[last - 1]
         some &= dense
         i, j = (np.concatenate(x) if held else np.zeros(0, np.int64) for x in (zip(*held) if held else ((), ())))
         i, j = i[~dense[i]], j[~dense[i]]
         if "keys" in rows.column_names:
-            first = tiles.first_common(rows, i, j)
+            cuts = [slice(k, k + HELD_PAIRS) for k in range(0, len(i), HELD_PAIRS)]
+            first = np.concatenate([np.zeros(0, bool), *(tiles.first_common(rows, i[c], j[c]) for c in cuts)])
             i, j = i[first], j[first]
         both = np.unique(np.stack([np.minimum(tiles.ids[i], tiles.ids[j]), np.maximum(tiles.ids[i], tiles.ids[j])], 1), axis=0)
         none = pa.nulls(len(both), pa.int64())
@@ -381,7 +384,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         stars = members.join(hubs.hint("rebalance"), "key").where(F.col("component") != F.col("hub.component"))
         stars = stars.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
         stars = stars.join(_renamed(sides, "a"), "a").join(_renamed(sides, "b"), "b")
-        stars = stars.select("a", "b", "na", "map_a", "nb", "map_b").mapInArrow(lambda it: _bounded(it, percent), "a long, b long")
+        stars = stars.select("a", "b", "na", "map_a", "nb", "map_b").mapInArrow(lambda it: relieved(_bounded(it, percent)), "a long, b long")
         found = _verified(source, reps, written(stars, "jaccard-stars"), width, percent)
         links = found if links is None else links.union(found)
         linked = written(components(links, "jaccard-links"), "jaccard-linked")
@@ -394,13 +397,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = _tiled(members, percent).join(sides.select("id", "bitmap"), "id").join(keys.hint("rebalance"), "id", "left")
     members = members.withColumn("keys", F.when(F.col("g") > TILE, F.col("keys")))
     rest = members.repartition("tile").sortWithinPartitions("tile").select("tile", "home", "key", "id", "component", "n", "bitmap", "keys")
-    rest = written(rest.mapInArrow(lambda it: _open(it, percent), "tile long, id long, component long, other long"), "jaccard-rest")
+    rest = written(rest.mapInArrow(lambda it: relieved(_open(it, percent)), "tile long, id long, component long, other long"), "jaccard-rest")
     pairs = rest.where("tile is null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
     dense = rest.where("tile is not null").select("tile", "id", "component").distinct()
     names = rest.select("id").union(rest.where("tile is null").select(F.col("other").alias("id"))).distinct()
     sets = _sets_of(source, reps, names, width)
     dense = dense.join(sides, "id").join(sets, "id").select("tile", "id", "component", "n", "bitmap", "members")
-    spanning = written(dense.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _linked(it, percent), "a long, b long"), "jaccard-spanning")
+    spanning = written(dense.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: relieved(_linked(it, percent)), "a long, b long"), "jaccard-spanning")
     more = spanning.union(_overlapping(sets, pairs, percent))
 
     whole = components(links.union(more), "jaccard-all")
@@ -449,9 +452,9 @@ def _sets_of(source: DataFrame, reps: DataFrame, names: DataFrame, width: int) -
     needed = written(reps.join(names, "id").select("id", "doc_id"), "jaccard-needed")
     bits = _bloom(needed, "doc_id")
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(len(bits) * 64))
-    picked = source.withColumn("slot", slot).mapInArrow(lambda it: _passed(it, bits), "doc_id long, text string")
+    picked = source.withColumn("slot", slot).mapInArrow(lambda it: relieved(_passed(it, bits)), "doc_id long, text string")
     texts = picked.join(needed, "doc_id").select("id", "text")
-    return written(texts.mapInArrow(lambda it: _set_rows(it, width), "id long, members binary"), "jaccard-members")
+    return written(texts.mapInArrow(lambda it: relieved(_set_rows(it, width)), "id long, members binary"), "jaccard-members")
 
 
 def _verified(source: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -463,7 +466,7 @@ def _verified(source: DataFrame, reps: DataFrame, pairs: DataFrame, width: int,
 def _overlapping(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
     both = both.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").select("a", "b", "x", "y")
-    return written(both.mapInArrow(lambda it: _intersected(it, percent), "a long, b long"), "jaccard-pairs")
+    return written(both.mapInArrow(lambda it: relieved(_intersected(it, percent)), "a long, b long"), "jaccard-pairs")
 
 
 def _passed(batches, bits):

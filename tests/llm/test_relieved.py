@@ -42,3 +42,21 @@ def test_tasks_of_exact_dedup_give_memory_back(spark, documents, tmp_path):
         pass
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b"])], ["doc_id", "text"])
     assert plans[0]([batch]).gi_code is common.relieved.__code__
+
+
+def test_tiles_compare_bounded_portions():
+    """What a tile's comparison holds at a time, many sets of one size in one tile; and every pair is a candidate once."""
+    import tracemalloc
+
+    from dwellrank.llm import jaccard
+
+    n = 2000
+    whole = pa.array([bytes([255]) * 32] * n)
+    rows = pa.table({"tile": [7] * n, "id": list(range(n)), "component": list(range(n)), "n": [60] * n, "bitmap": whole})
+    tiles = jaccard._Tiles(rows)
+    tracemalloc.start()
+    pairs = sum(len(i) for i, _ in tiles.candidates(80))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs == n * (n - 1) // 2
+    assert peak < 30e6
